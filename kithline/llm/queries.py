@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kithline.llm.bpe_lexicon import encode
 from kithline.llm.exact_dedup import exact_dedup
 from kithline.llm.simhash import near_duplicates
+from kithline.llm.substring_dedup import substring_dedup
+from kithline.llm.suffix_dedup import suffix_dedup
+from kithline.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +25,33 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _digest(passages: DataFrame) -> DataFrame:
+    return passages.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(substring_dedup(_table(spark, sf_dir, "documents")))
+
+
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(suffix_dedup(_table(spark, sf_dir, "documents")))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +59,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": _op1,
+        "op3_substring_dedup": _op3,
+        "op4_suffix_dedup": _op4,
+        "op5_token_counts": _op5,
+        "op7_bpe_codec": _op7,
         "op10_simhash_near_dedup": _op10,
     }
 
@@ -41,5 +77,26 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+_PASSAGES = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), w AS (
+  SELECT doc_id, p, sha256(array_to_string(words[p:p + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM d WHERE len(words) >= 50)
+), m AS (
+  SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM w) WHERE doc_id > least
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS at FROM m
+), kept AS (
+  SELECT d.doc_id, string_agg(u.word, ' ' ORDER BY u.at) AS t, count(*) AS n
+  FROM d, LATERAL (SELECT unnest(d.words) AS word, unnest(range(1, len(d.words) + 1)) AS at) u
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.at = u.at)
+  GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(d.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1}
+    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _PASSAGES, "op4_suffix_dedup": _PASSAGES}
