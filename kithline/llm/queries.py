@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline.llm.bpe_lexicon import encode
+from kithline.llm.decontaminate import contaminated
 from kithline.llm.exact_dedup import exact_dedup
+from kithline.llm.license_scan import BASE, NOTICES, scan_licenses
+from kithline.llm.secret_scan import scan_secrets
 from kithline.llm.simhash import near_duplicates
 from kithline.llm.substring_dedup import substring_dedup
 from kithline.llm.suffix_dedup import suffix_dedup
@@ -25,6 +28,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _digest(passages: DataFrame) -> DataFrame:
     return passages.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -47,11 +54,20 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"), "source", F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_live", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,10 +75,13 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": _op1,
+        "op2_decontamination": _op2,
         "op3_substring_dedup": _op3,
         "op4_suffix_dedup": _op4,
         "op5_token_counts": _op5,
+        "op6_secret_scan": _op6,
         "op7_bpe_codec": _op7,
+        "op8_license_scan": _op8,
         "op10_simhash_near_dedup": _op10,
     }
 
@@ -77,6 +96,94 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark
+), i AS (
+  SELECT item_id, r, s, n, count(*) OVER (PARTITION BY r) AS n_shingles FROM (
+    SELECT DISTINCT item_id, r, n, array_to_string(w[p:p + n - 1], ' ') AS s
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT *, least(5, len(w)) AS n FROM b WHERE len(w) > 0)))
+), x AS (
+  SELECT DISTINCT doc_id, r, n, array_to_string(w[p:p + n - 1], ' ') AS s
+  FROM (SELECT d.*, k.n, unnest(range(1, len(w) - k.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i) k WHERE len(w) >= k.n)
+)
+SELECT x.doc_id, i.item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
+FROM x JOIN i ON x.s = i.s AND x.n = i.n GROUP BY x.doc_id, x.r, i.item_id, i.r HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
+"""
+
+_OP6 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents
+), k AS (
+  SELECT * FROM (VALUES
+    ('assign', '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+    ('access', 'AKIA[A-Z0-9]+'), ('hex', '[0-9a-f]+'), ('other', '[A-Za-z0-9+/_-]{20,}')) t(kind, pattern)
+), m AS (
+  SELECT doc_id, rid, owner, 'assign' AS kind, string_split_regex(text, (SELECT pattern FROM k WHERE kind = 'assign')) AS gaps,
+         regexp_extract_all(text, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS found,
+         regexp_extract_all(text, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vals FROM d
+  UNION ALL SELECT doc_id, rid, owner, 'access', string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) FROM d
+  UNION ALL SELECT doc_id, rid, owner, 'hex', string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0) FROM d
+  UNION ALL SELECT doc_id, rid, owner, 'other', string_split_regex(text, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0) FROM d
+), u AS (
+  SELECT doc_id, rid, owner, kind, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS found, unnest(vals) AS val FROM m WHERE len(found) > 0
+), p AS (
+  SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM u
+), good AS (
+  SELECT doc_id, rid, owner, kind, CAST(stop - length(found) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, val, CAST(stop - length(val) AS BIGINT) AS val_start FROM p
+  WHERE CASE kind WHEN 'assign' THEN length(val) >= 12 WHEN 'access' THEN length(val) >= 18 WHEN 'hex' THEN length(val) >= 16
+        ELSE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') END
+), live AS (
+  SELECT val FROM good GROUP BY val HAVING count(DISTINCT owner) <= 1
+), s AS (
+  SELECT rid, kind, start, stop FROM good WHERE kind <> 'other'
+  UNION ALL SELECT DISTINCT rid, 'live', val_start, stop FROM good WHERE val IN (SELECT val FROM live)
+), r AS (
+  SELECT rid, kind, start, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS rk, stop, concat_ws(':', kind, start, stop) AS label FROM s
+), a AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'live') AS n_live,
+         string_agg(label, ',' ORDER BY start, rk, stop) FILTER (kind <> 'live') AS base, string_agg(label, ',' ORDER BY start, rk, stop) AS spans FROM r GROUP BY rid
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+def _op8_sql() -> str:
+    """The templates are the operator's own; everything else is written anew."""
+    rows = ", ".join(f"({i}, {str(i < len(BASE)).lower()}, '{phrase}', '{label}')" for i, (phrase, label) in enumerate(BASE + NOTICES))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), t AS (
+  SELECT *, len(w) - 2 AS n_grams FROM (SELECT id, is_base, label, string_split(phrase, ' ') AS w FROM (VALUES {rows}) v(id, is_base, phrase, label))
+), tg AS (
+  SELECT id, is_base, label, n_grams, k - 1 AS t, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS k FROM t)
+), h AS (
+  SELECT x.rid, tg.*, x.p - tg.t AS diagonal
+  FROM (SELECT rid, p - 1 AS p, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)) x JOIN tg USING (g)
+), dg AS (
+  SELECT rid, id, is_base, label, n_grams, diagonal, count(*) AS votes, list(t) AS ts FROM h GROUP BY ALL
+), c AS (
+  SELECT *, sum(apart) OVER (PARTITION BY rid, id ORDER BY diagonal) AS cluster
+  FROM (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal) > 2 AS INT), 0) AS apart FROM dg)
+), m AS (
+  SELECT rid, id, is_base, label, n_grams, cluster, len(list_distinct(flatten(list(ts)))) / n_grams AS part,
+         count(*) FILTER (is_base AND votes = n_grams) AS places, min(diagonal) FILTER (is_base AND votes = n_grams) AS lo, max(diagonal) FILTER (is_base AND votes = n_grams) AS hi
+  FROM c GROUP BY rid, id, is_base, label, n_grams, cluster
+), a AS (
+  SELECT rid, sum(places) AS n_base, min(lo) AS lo, max(hi) AS hi, max(part) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0 OR part >= 0.8) AS labels
+  FROM m GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
 _PASSAGES = r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
@@ -99,4 +206,4 @@ FROM d LEFT JOIN kept k USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _PASSAGES, "op4_suffix_dedup": _PASSAGES}
+    return {"op1_exact_dedup": _OP1, "op2_decontamination": _OP2, "op3_substring_dedup": _PASSAGES, "op4_suffix_dedup": _PASSAGES, "op6_secret_scan": _OP6, "op8_license_scan": _op8_sql()}
