@@ -16,6 +16,7 @@ from kithline.llm.simhash import near_duplicates
 from kithline.llm.substring_dedup import substring_dedup
 from kithline.llm.suffix_dedup import suffix_dedup
 from kithline.llm.token_counts import token_counts
+from kithline.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +69,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op6_secret_scan": _op6,
         "op7_bpe_codec": _op7,
         "op8_license_scan": _op8,
+        "op9_toxicity": _op9,
         "op10_simhash_near_dedup": _op10,
     }
 
