@@ -77,6 +77,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": _op1,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": _op8,
         "op9_toxicity": _op9,
         "op10_simhash_near_dedup": _op10,
+        "pipeline": _pipeline,
     }
 
 
