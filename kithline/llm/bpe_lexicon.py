@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from kithline.llm.frequent import LONGEST, frequent_pieces
 from kithline.llm.token_counts import _Shared
+from kithline.shipping import ship
 
 TABLE_SIZE = 50_000
 CACHE_SIZE = 1_000_000
@@ -265,6 +266,7 @@ def encode(docs: DataFrame, tokenizer_path: str, table_size: int = TABLE_SIZE) -
     decode(ids, skip_special_tokens=False).  A null or empty text has no tokens.  Strings of
     special tokens in a text are these tokens.  No rows give no rows.
     """
+    ship(docs.sparkSession)
     with open(tokenizer_path, "rb") as f:
         spec = f.read()
     context = docs.sparkSession.sparkContext

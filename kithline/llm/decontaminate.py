@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.words import Words, parts
+from kithline.shipping import ship
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -171,6 +172,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     texts contain nothing; items without words are contained in nothing.  Repeated rows on
     either side give repeated matches.  Without documents or items there are no rows.
     """
+    ship(docs.sparkSession)
     ids, item_ids = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = f"doc_id {ids.simpleString()}, item_id {item_ids.simpleString()}, n_shared long, n_shingles long"
     out = None
@@ -195,6 +197,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of docs that contain none of the items, with all their columns; nothing is shuffled."""
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
     for block in _blocks(items, shingle_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)

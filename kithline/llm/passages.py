@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.llm.words import Words, mix, parts
+from kithline.shipping import ship
 
 #: Given words, their hashes: the first word of each anchor, and its hash.
 Anchors = Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -199,6 +200,7 @@ def remove_repeats(docs: DataFrame, anchors: Anchors, window: int, reach: int) -
     loses nothing and takes nothing from others.  Rows that repeat a doc_id take nothing from
     each other.  Shorter texts than a window stay whole.  No rows give no rows.
     """
+    ship(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Both joins read the same rows and columns, so that they share one shuffle of the texts.
     texts, without = every.filter("doc_id is not null"), every.filter("doc_id is null")

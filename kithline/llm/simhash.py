@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from kithline.llm.components import components
 from kithline.llm.scratch import materialise
 from kithline.llm.words import word_runs
+from kithline.shipping import ship
 
 SEGMENTS = 7
 DISTANCE = 2
@@ -75,6 +76,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             found = pa.array((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     ids = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
 

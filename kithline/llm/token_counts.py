@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kithline.llm.frequent import LONGEST, frequent_pieces
+from kithline.shipping import ship
 
 TABLE_SIZE = 50_000
 CACHE_SIZE = 1_000_000
@@ -113,6 +114,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, table_size
     begin or end marks; special strings are plain text to it.  A null or empty text has no
     bytes and no tokens.  over_limit: more than limit tokens.  No rows give no rows.
     """
+    ship(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     check_model(model)
