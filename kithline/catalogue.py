@@ -1,17 +1,646 @@
-"""Registry of the queries and of the SQL that gives the same rows."""
+"""Registry of the queries and of the SQL that gives the same rows.
+
+The tables at hand hold no entities, so some stand in for them: parts are equipment,
+customers persons, suppliers organizations, nations locations; orders are records that trace
+to parts; events are positions and decisions; documents are articles; labels are
+annotators.  Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kithline.functions import replies, text
+from kithline.operators import blocking, crosslingual, evaluation, graph, learning, listing, mutations, scorer
+from kithline.plans import fusion
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        name = f.__name__.strip("_")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- pairs of parts -------------------------------------------------------------------
+
+
+def _props(c: str = "") -> dict:
+    state = F.when(F.col(f"{c}p_partkey") % 4 == 0, "active").when(F.col(f"{c}p_partkey") % 4 == 1, "retired").when(F.col(f"{c}p_partkey") % 4 == 2, "__NULL__")
+    return {"category": F.col(f"{c}p_brand"), "equip_type": F.col(f"{c}p_type"), "state": state, "description": F.concat_ws(" ", f"{c}p_name", f"{c}p_type"), "created_at": F.lit("x")}
+
+
+def _equipment(s: SparkSession, d: str) -> DataFrame:
+    p = _t(s, d, "part")
+    return p.select(F.concat(F.lit("equip_"), F.col("p_partkey").cast("string")).alias("vid"), F.lit("equipment").alias("entity_type"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"),
+                    F.create_map(*(x for k, v in _props().items() for x in (F.lit(k), v))).alias("props"), "p_partkey", "p_type", "p_size", "p_brand")
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    """Parts with the same name and size."""
+    e = _equipment(s, d)
+    a, b = (e.select("p_size", "name", *(F.col(c).alias(f"{c}_{x}") for c in ("vid", "props", "p_partkey", "p_type", "p_brand")), F.col("name").alias(f"name_{x}")) for x in "ab")
+    both = a.join(b.drop("name_b"), ["name", "p_size"]).filter("p_partkey_a < p_partkey_b")
+    return both.select(F.lit("equipment").alias("entity_type"), "vid_a", "vid_b", "name_a", F.col("name").alias("name_b"), "props_a", "props_b", "p_brand_a", (F.col("p_type_a") == F.col("p_type_b")).cast("int").alias("label"))
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return fusion.score_pairs(_pairs(s, d))
+
+
+def _sql_compare(x: str, y: str, strong: bool) -> str:
+    words = f"list_filter(list_distinct(string_split_regex({{0}}, '\\s+')), lambda w: w <> '')"
+    u, v = words.format(x), words.format(y)
+    low = "'conflict'" if strong else f"CASE WHEN len(list_intersect({u}, {v})) / len(list_distinct(list_concat({u}, {v}))) >= 0.65 THEN 'match' ELSE 'conflict' END"
+    return f"CASE WHEN {x} = '' OR {y} = '' THEN 'unknown' WHEN {x} = {y} OR contains({x}, {y}) OR contains({y}, {x}) THEN 'match' ELSE {low} END"
+
+
+_PAIRS_SQL = f"""
+e AS (
+  SELECT *, 'equip_' || p_partkey AS vid, lower(p_brand) AS category, lower(p_type) AS equip_type, CASE p_partkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retired' ELSE '' END AS state, lower(p_name || ' ' || p_type) AS description FROM part
+), c AS (
+  SELECT a.vid AS vid_a, b.vid AS vid_b, a.p_name AS name, a.p_brand AS p_brand_a, CAST(a.p_type = b.p_type AS INT) AS label,
+    [{_sql_compare('a.category', 'b.category', True)}, {_sql_compare('a.description', 'b.description', False)}, {_sql_compare('a.equip_type', 'b.equip_type', True)}] || CASE WHEN a.state = '' AND b.state = '' THEN [] ELSE [{_sql_compare('a.state', 'b.state', True)}] END AS r
+  FROM e a JOIN e b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+), b AS (
+  SELECT *, greatest(-1.0, least(1.0, list_reduce(list_transform(r, lambda x: CASE x WHEN 'match' THEN 1.0::DOUBLE / len(r) WHEN 'conflict' THEN -((1.0::DOUBLE / len(r)) * 1.5) ELSE 0.0::DOUBLE END), lambda x, y: x + y, 0.0::DOUBLE))) AS raw FROM c
+), s AS (
+  SELECT *, greatest(-1.0, least(1.0, raw + 0.3)) AS bonus FROM b
+), scored AS (
+  SELECT vid_a, vid_b, p_brand_a, label, r, CASE WHEN raw <= -0.9 THEN raw ELSE bonus END AS score,
+    CASE WHEN raw <= -0.9 THEN 'reject' WHEN bonus >= 0.6 THEN 'merge' WHEN bonus <= -0.4 THEN 'reject' ELSE 'escalate' END AS decision FROM s
+)"""
+
+
+@_query(f"WITH {_PAIRS_SQL} SELECT vid_a, vid_b, round(score, 6) AS score, decision FROM scored")
+def l1_pair_scores(s, d):
+    return _scored(s, d).select("vid_a", "vid_b", F.round("score", 6).alias("score"), "decision")
+
+
+@_query(f"""WITH {_PAIRS_SQL}, n AS (SELECT decision, count(*) AS n FROM scored GROUP BY 1)
+SELECT decision, n, round(n * 100.0 / sum(n) OVER (), 1) AS pct, round(sum(CASE WHEN decision <> 'escalate' THEN n ELSE 0 END) OVER () * 100.0 / sum(n) OVER (), 1) AS interception_pct FROM n""")
+def l1_decision_distribution(s, d):
+    return evaluation.decision_distribution(_scored(s, d))
+
+
+def _report_sql(by: str) -> str:
+    g = f"{by}, " if by else ""
+    pct = lambda a, b: f"round(CASE WHEN {b} > 0 THEN ({a}) * 100.0 / {b} ELSE 0.0 END, 1)"
+    return f"""WITH {_PAIRS_SQL}, n AS (
+  SELECT {g} count(*) AS total, count(*) FILTER (decision <> 'escalate') AS decided, count(*) FILTER ((decision = 'merge' AND label = 1) OR (decision = 'reject' AND label = 0)) AS correct,
+    count(*) FILTER (decision = 'merge') AS merges, count(*) FILTER (decision = 'merge' AND label = 0) AS false_merges, count(*) FILTER (decision = 'reject') AS rejects, count(*) FILTER (decision = 'reject' AND label = 1) AS false_rejects
+  FROM scored {f'GROUP BY {by}' if by else ''})
+SELECT {g} total, decided, correct, false_merges, false_rejects, {pct('correct', 'decided')} AS accuracy_pct, {pct('decided', 'total')} AS interception_pct, {pct('merges - false_merges', 'merges')} AS merge_precision_pct, {pct('rejects - false_rejects', 'rejects')} AS reject_precision_pct FROM n"""
+
+
+@_query(_report_sql(""))
+def l1_accuracy_report(s, d):
+    return evaluation.accuracy_report(_scored(s, d))
+
+
+@_query(_report_sql("p_brand_a"))
+def per_type_accuracy(s, d):
+    return evaluation.accuracy_report(_scored(s, d), "p_brand_a")
+
+
+@_query(f"WITH {_PAIRS_SQL} SELECT decision, count(*) AS n, count(*) FILTER (label = 1) AS same, round(count(*) FILTER (label = 1) * 100.0 / count(*), 1) AS same_pct FROM scored GROUP BY 1")
+def expert_bucket(s, d):
+    return evaluation.label_buckets(_scored(s, d))
+
+
+@_query(f"WITH {_PAIRS_SQL} SELECT x AS result, count(*) AS n FROM (SELECT unnest(r) AS x FROM c) GROUP BY 1")
+def field_results(s, d):
+    return fusion.prepared(_pairs(s, d)).select(F.explode("_fields").alias("f")).groupBy(F.col("f.result").alias("result")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_PAIRS_SQL} SELECT vid_a, vid_b, CAST(len(r) AS BIGINT) AS n_fields FROM c")
+def effective_fields(s, d):
+    return _pairs(s, d).select("vid_a", "vid_b", F.size(scorer.effective_fields(F.col("props_a"), F.col("props_b"))).cast("long").alias("n_fields"))
+
+
+@_query(f"""WITH {_PAIRS_SQL}, f AS (SELECT len(list_filter(r, lambda x: x = 'match')) / len(r) AS o, len(list_filter(r, lambda x: x = 'conflict')) / len(r) AS k, len(r) AS n FROM c)
+SELECT 'property_overlap_rate' AS feature, round(avg(o), 6) AS mean, count(*) AS n FROM f UNION ALL SELECT 'property_conflict_rate', round(avg(k), 6), count(*) FROM f UNION ALL SELECT 'n_effective_fields', round(avg(n), 6), count(*) FROM f UNION ALL SELECT 'name_exact', 1.0, count(*) FROM f""")
+def property_feature_long(s, d):
+    m = scorer.features(F.col("props_a"), F.col("props_b"), F.col("entity_type"), F.col("name_a"), F.col("name_b"), compared=F.col("_fields"), values=(F.col("_a"), F.col("_b")))
+    long = fusion.prepared(_pairs(s, d)).select(F.explode(m).alias("feature", "value")).filter(F.col("feature").isin("property_overlap_rate", "property_conflict_rate", "n_effective_fields", "name_exact"))
+    return long.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@_query(f"WITH {_PAIRS_SQL} SELECT count(*) FILTER (decision = 'merge') AS merged, count(*) FILTER (decision = 'escalate') AS pending FROM scored")
+def fusion_summary(s, d):
+    out = _scored(s, d)
+    return out.agg(F.count_if(F.col("decision") == "merge").alias("merged"), F.count_if(F.col("decision") == "escalate").alias("pending"))
+
+
+# --- names ----------------------------------------------------------------------------
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    """The distinct names of parts, nations and regions, some with aliases."""
+    p = _t(s, d, "part").select(F.col("p_name").alias("name"))
+    rest = _t(s, d, "nation").select(F.col("n_name").alias("name")).unionByName(_t(s, d, "region").select(F.col("r_name").alias("name")))
+    both = p.unionByName(rest).distinct()
+    return both.select(F.lit("location").alias("entity_type"), F.concat(F.lit("loc_"), "name").alias("vid"), "name", F.array(F.reverse("name")).alias("aliases"))
+
+
+_NAMES_SQL = """n AS (SELECT 'loc_' || name AS vid, lower(name) AS name, list_filter(string_split(lower(name), ' '), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'uss', 'usns', 'hmas', 'hmcs', 'in', 'of', 'on', 'at', 'to')) AS words, [lower(name), lower(reverse(name))] AS keys
+  FROM (SELECT p_name AS name FROM part UNION SELECT n_name FROM nation UNION SELECT r_name FROM region))"""
+_RELATED = "contains(a.name, b.name) OR contains(b.name, a.name) OR list_has_any(a.keys, b.keys) OR list_has_any(a.words, b.words)"
+
+
+@_query(f"WITH {_NAMES_SQL} SELECT a.vid AS vid_a, b.vid AS vid_b FROM n a JOIN n b ON a.vid < b.vid WHERE {_RELATED}")
+def blocked_pairs(s, d):
+    return blocking.blocked_pairs(_names(s, d)).select("vid_a", "vid_b")
+
+
+@_query(f"WITH {_NAMES_SQL} SELECT a.vid AS vid_a, b.vid AS vid_b FROM n a JOIN n b ON a.vid < b.vid WHERE list_has_any(a.keys, b.keys) OR list_has_any(a.words, b.words)")
+def blocked_pairs_tokens(s, d):
+    return blocking.token_pairs(_names(s, d)).select("vid_a", "vid_b")
+
+
+@_query(f"""WITH {_NAMES_SQL}, w AS (SELECT *, list_distinct(string_split(name, ' ')) AS t FROM n), p AS (
+  SELECT a.vid AS vid_a, b.vid AS vid_b, CASE WHEN list_contains(b.keys[2:2], a.name) OR list_contains(a.keys[2:2], b.name) THEN 0.95 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END AS score
+  FROM w a JOIN w b ON a.vid < b.vid AND (list_has_any(a.keys, b.keys) OR list_has_any(a.words, b.words)))
+SELECT vid_a, vid_b, round(score, 6) AS score FROM p WHERE score > 0.3""")
+def name_similarity_tiers(s, d):
+    return blocking.similar_pairs(_names(s, d)).select("vid_a", "vid_b", F.round("score", 6).alias("score"))
+
+
+@_query("""SELECT d.p_partkey, d.p_name, 'equip_' || p.k AS vid FROM part d LEFT JOIN (SELECT p_name, min('equip_' || p_partkey) AS v, min_by(p_partkey, 'equip_' || p_partkey) AS k FROM part WHERE p_size < 25 GROUP BY 1) p USING (p_name)""")
+def resolve_name_then_alias(s, d):
+    e = _equipment(s, d)
+    known = e.filter("p_size < 25").select("entity_type", "vid", "name", F.lit("").alias("aliases"))
+    wanted = e.select("entity_type", "name").distinct()
+    vids = fusion.resolve_names(wanted, known.limit(0), known).select("name", "vid")
+    return e.select("p_partkey", F.col("name").alias("p_name")).join(vids, F.col("p_name") == F.col("name")).select("p_partkey", "p_name", "vid")
+
+
+# --- evaluation -----------------------------------------------------------------------
+
+
+def _probabilities(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "labels")
+    p = ((F.col("doc_id") * 37) % 101) / 101.0
+    return x.select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("label"), F.when(F.col("quality") == 1, 0.3 + 0.7 * p).otherwise(0.8 * p).alias("p"), "toxic")
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "labels")
+    k = F.col("doc_id") % 5
+    return x.filter(F.col("doc_id") % 7 != 0).select(F.col("doc_id").alias("pair_id"), F.when(k == 0, "unknown").when((k == 1) != (F.col("quality") == 1), "same").otherwise("different").alias("verdict"), F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")).alias("type"))
+
+
+_PROB_SQL = """x AS (SELECT doc_id AS pair_id, quality AS label, toxic, ((doc_id * 37) % 101) / 101.0::DOUBLE AS q FROM labels),
+pr AS (SELECT pair_id, label, toxic, CASE WHEN label = 1 THEN 0.3::DOUBLE + 0.7::DOUBLE * q ELSE 0.8::DOUBLE * q END AS p FROM x),
+v AS (SELECT doc_id AS pair_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN (doc_id % 5 = 1) <> (quality = 1) THEN 'same' ELSE 'different' END AS verdict, 't' || (doc_id % 3) AS type FROM labels WHERE doc_id % 7 <> 0),
+j AS (SELECT pr.*, CASE verdict WHEN 'same' THEN 1 WHEN 'different' THEN 0 ELSE -1 END AS judged FROM pr LEFT JOIN v USING (pair_id))"""
+
+
+def _grid_sql(rows: list[tuple[float, float]]) -> str:
+    return "g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {m!r}::DOUBLE, {r!r}::DOUBLE)" for i, (m, r) in enumerate(rows)) + ") t(ordinal, merge_t, reject_t))"
+
+
+_EMPIRICAL = evaluation.steps(0.05, 0.96, 0.05, 2)
+_EMPIRICAL_GRID = [(m, r) for m in _EMPIRICAL for r in _EMPIRICAL if r < m]
+_LEGACY_GRID = [(m, r) for m in evaluation.steps(0.55, 0.95, 0.05) for r in evaluation.steps(0.05, 0.45, 0.05)]
+_PRODUCTION_GRID = [(m, r) for m in evaluation.steps(0.50, 0.96, 0.05) for r in evaluation.steps(0.05, 0.46, 0.05)]
+
+
+def _sweep_sql(rows: list[tuple[float, float]], digits: int | None) -> str:
+    r = lambda x: f"round({x}, {digits})" if digits is not None else x
+    pct = lambda a, b: r(f"CASE WHEN {b} > 0 THEN ({a}) * 100.0 / ({b}) ELSE 0.0 END")
+    return f"""{_PROB_SQL}, {_grid_sql(rows)}, d AS (SELECT g.*, j.label, j.judged, CASE WHEN p <= reject_t THEN 0 WHEN p >= merge_t THEN 1 ELSE -1 END AS k FROM j, g),
+w AS (SELECT ordinal, merge_t, reject_t, count(*) AS total, count(*) FILTER (k >= 0) AS l1_decided, count(*) FILTER (k >= 0 AND k = label) AS l1_correct, count(*) FILTER (k < 0) AS l2_used, count(*) FILTER (k < 0 AND judged = label) AS l2_correct,
+  count(*) FILTER (k < 0 AND judged = -1) AS unresolved, count(*) FILTER (k = 1) AS merges, count(*) FILTER (k = 1 AND label = 1) AS true_merges FROM d GROUP BY ALL),
+swept AS (SELECT *, total - unresolved AS resolved, {pct('l1_correct', 'l1_decided')} AS l1_acc_pct, {pct('l1_correct + l2_correct', 'total')} AS strict_pct, {pct('l1_correct + l2_correct', 'total - unresolved')} AS resolved_pct, {pct('l1_decided', 'total')} AS intercept_pct FROM w)"""
+
+
+_SWEPT_COLUMNS = "merge_t, reject_t, total, l1_decided, l1_correct, l2_used, l2_correct, unresolved, l1_acc_pct, strict_pct, resolved_pct, intercept_pct"
+
+
+def _swept(s: SparkSession, d: str, rows: list[tuple[float, float]], digits: int | None) -> DataFrame:
+    g = s.createDataFrame([(i, m, r) for i, (m, r) in enumerate(rows)], "ordinal int, merge_t double, reject_t double")
+    return evaluation.sweep(_probabilities(s, d), g, _verdicts(s, d), digits)
+
+
+@_query(f"""WITH {_sweep_sql([(0.6, 0.25)], 3)} SELECT total, l1_decided, l1_correct, l2_used, l2_correct, unresolved, resolved, l1_acc_pct, strict_pct, resolved_pct, intercept_pct FROM swept""")
+def empirical_pipeline(s, d):
+    p = _probabilities(s, d).withColumn("prediction", evaluation.routed(F.col("p"), F.lit(0.6), F.lit(0.25)))
+    return evaluation.cascade_report(p, _verdicts(s, d))
+
+
+@_query(f"WITH {_sweep_sql(_EMPIRICAL_GRID, 3)} SELECT {_SWEPT_COLUMNS} FROM swept")
+def threshold_sweep(s, d):
+    return _swept(s, d, _EMPIRICAL_GRID, 3).select(*_SWEPT_COLUMNS.split(", "))
+
+
+@_query(f"WITH {_sweep_sql(_LEGACY_GRID, None)} SELECT round(merge_t, 6) AS merge_t, round(reject_t, 6) AS reject_t FROM swept WHERE l1_decided >= 5 AND l1_acc_pct >= 75 ORDER BY l1_acc_pct * intercept_pct DESC, ordinal LIMIT 1")
+def threshold_argmax_legacy(s, d):
+    return evaluation.best_legacy(_swept(s, d, _LEGACY_GRID, None)).select(F.round("merge_t", 6).alias("merge_t"), F.round("reject_t", 6).alias("reject_t"))
+
+
+@_query(f"""WITH {_sweep_sql(_PRODUCTION_GRID, None)} SELECT round(merge_t, 6) AS merge_t, round(reject_t, 6) AS reject_t, round(l1_correct / l1_decided, 6) AS accuracy FROM swept
+WHERE l1_decided > 0 AND l1_correct / l1_decided >= 0.75 AND (merges = 0 OR true_merges / merges >= 0.75) ORDER BY (l1_correct / l1_decided) * (l1_decided / total) DESC, ordinal LIMIT 1""")
+def threshold_argmax_production(s, d):
+    b = evaluation.best_production(_swept(s, d, _PRODUCTION_GRID, None))
+    return b.select(F.round("merge_t", 6).alias("merge_t"), F.round("reject_t", 6).alias("reject_t"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@_query(f"""WITH {_sweep_sql(_EMPIRICAL_GRID, 3)} SELECT merge_t, reject_t FROM swept WHERE l1_decided >= 5
+ORDER BY strict_pct DESC, intercept_pct DESC, l1_acc_pct DESC, abs(merge_t - 0.8) + abs(reject_t - 0.3), ordinal LIMIT 1""")
+def threshold_argmax_pipeline(s, d):
+    return evaluation.best_pipeline(_swept(s, d, _EMPIRICAL_GRID, 3)).select("merge_t", "reject_t")
+
+
+@_query(f"""WITH {_sweep_sql(_EMPIRICAL_GRID, 3)} SELECT merge_t, reject_t FROM swept WHERE l1_decided >= 5 AND strict_pct >= 70.0
+ORDER BY intercept_pct DESC, strict_pct DESC, l1_acc_pct DESC, abs(merge_t - 0.8) + abs(reject_t - 0.3), ordinal LIMIT 1""")
+def threshold_match_target(s, d):
+    return evaluation.best_pipeline(_swept(s, d, _EMPIRICAL_GRID, 3), target=70.0).select("merge_t", "reject_t")
+
+
+@_query(f"""WITH {_sweep_sql(_EMPIRICAL_GRID, 3)} SELECT merge_t, reject_t, strict_pct, intercept_pct FROM swept a WHERE NOT EXISTS (
+  SELECT 1 FROM swept b WHERE b.strict_pct >= a.strict_pct AND b.intercept_pct >= a.intercept_pct AND (b.strict_pct > a.strict_pct OR b.intercept_pct > a.intercept_pct))""")
+def pareto_frontier(s, d):
+    return evaluation.pareto_frontier(_swept(s, d, _EMPIRICAL_GRID, 3)).select("merge_t", "reject_t", "strict_pct", "intercept_pct")
+
+
+_THRESHOLDS = evaluation.steps(0.35, 0.91, 0.05, 2)
+
+
+@_query(f"""WITH {_PROB_SQL}, g AS (SELECT unnest([{', '.join(map(str, _THRESHOLDS))}]::DOUBLE[]) AS threshold), n AS (
+  SELECT threshold, count(*) AS total, count(*) FILTER (k >= 0) AS decided, count(*) FILTER (k >= 0 AND k = label) AS correct, count(*) FILTER (k = 1) AS merges, count(*) FILTER (k = 1 AND label = 1) AS tm
+  FROM (SELECT threshold, label, CASE WHEN p >= threshold THEN 1 WHEN p < 0.3 THEN 0 ELSE -1 END AS k FROM pr, g) GROUP BY 1)
+SELECT threshold, round(correct / decided * 100, 2) AS accuracy_pct, round(decided / total * 100, 2) AS interception_pct, round((correct / decided * (decided / total) + 0.933 * (1 - decided / total)) * 100, 2) AS pipeline_pct,
+  round(CASE WHEN merges > 0 THEN tm * 100.0 / merges ELSE 0.0 END, 2) AS merge_precision_pct FROM n""")
+def merge_threshold_sweep(s, d):
+    return evaluation.merge_threshold_sweep(_probabilities(s, d).withColumnRenamed("p", "score"), _THRESHOLDS, 0.933)
+
+
+@_query(f"""WITH {_PROB_SQL}, n AS (SELECT count(*) FILTER (k = 1 AND label = 1) AS tp, count(*) FILTER (k = 1 AND label = 0) AS fp, count(*) FILTER (k = 0 AND label = 1) AS fn, count(*) FILTER (k = 0 AND label = 0) AS tn FROM (SELECT label, CAST(p >= 0.5 AS INT) AS k FROM pr)),
+r AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM n)
+SELECT tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM r""")
+def confusion_prf(s, d):
+    return evaluation.confusion(_probabilities(s, d).withColumn("prediction", (F.col("p") >= 0.5).cast("int")))
+
+
+@_query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (quality = 0 AND toxic = 0) AS n00, count(*) FILTER (quality = 0 AND toxic = 1) AS n01, count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 1 AND toxic = 1) AS n11 FROM labels),
+k AS (SELECT *, (n00 + n11) / n AS po, ((n00 + n01) * (n00 + n10) + (n10 + n11) * (n01 + n11)) / (n * n) AS pe FROM n)
+SELECT n, n00, n01, n10, n11, round(po * 100, 1) AS agreement_pct, round((po - pe) / (1 - pe), 4) AS kappa FROM k""")
+def cohen_kappa(s, d):
+    return evaluation.agreement(_t(s, d, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b")))
+
+
+@_query("""WITH v AS (SELECT quality AS a, toxic AS b, CAST(doc_id % 2 AS INT) AS c, 't' || (doc_id % 3) AS type FROM labels)
+SELECT type, count(*) AS n, count(*) FILTER (a = b AND b = c) AS all_agree, count(*) FILTER (a = b AND b <> c) AS only_c_differs, count(*) FILTER (a <> b AND a = c) AS a_right, count(*) FILTER (a <> b AND b = c) AS b_right, count(*) FILTER (a <> b AND a <> c AND b <> c) AS none_right FROM v GROUP BY 1""")
+def three_way_agreement(s, d):
+    v = _t(s, d, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b"), (F.col("doc_id") % 2).cast("int").alias("c"), F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")).alias("type"))
+    return evaluation.three_way(v, "type")
+
+
+@_query(f"WITH {_PROB_SQL} SELECT type, count(*) FILTER (verdict = 'same') AS same, count(*) FILTER (verdict = 'different') AS \"different\", count(*) FILTER (verdict = 'unknown') AS unknown FROM v GROUP BY 1")
+def verdict_histogram(s, d):
+    return evaluation.verdict_histogram(_verdicts(s, d))
+
+
+@_query(f"""WITH {_PROB_SQL}, l AS (SELECT label, 'p' AS signal, p AS x FROM pr UNION ALL SELECT label, 'toxic', toxic FROM pr)
+SELECT signal, round(avg(x) FILTER (label = 1), 4) AS mean_same, round(avg(x) FILTER (label = 0), 4) AS mean_different, round(avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0), 4) AS gap FROM l GROUP BY 1""")
+def signal_gaps(s, d):
+    return evaluation.signal_gaps(_probabilities(s, d), ["p", "toxic"])
+
+
+@_query(f"WITH {_PROB_SQL} SELECT pair_id, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, pair_id) AS rank FROM pr WHERE p >= 0.3 AND p < 0.5) WHERE rank <= 250")
+def hard_case_topk_per_label(s, d):
+    return evaluation.hardest(_probabilities(s, d).withColumnRenamed("p", "score"), 250, 0.3, 0.5).select("pair_id", "label", "rank")
+
+
+# --- graph ----------------------------------------------------------------------------
+
+
+def _vertices(s: SparkSession, d: str) -> DataFrame:
+    rows = (("customer", "person", "c_custkey", "c_name"), ("part", "equip", "p_partkey", "p_name"), ("supplier", "org", "s_suppkey", "s_name"), ("nation", "loc", "n_nationkey", "n_name"))
+    out = None
+    for table, prefix, key, name in rows:
+        part = _t(s, d, table).select(F.concat(F.lit(prefix + "_"), F.col(key).cast("string")).alias("vid"), F.lit(prefix).alias("tag"), F.col(name).alias("name"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p + "_"), F.col(c).cast("string"))
+    rows = (_t(s, d, "customer").select(key("person", "c_custkey").alias("src"), key("loc", "c_nationkey").alias("dst"), F.lit("locate").alias("type")),
+            _t(s, d, "supplier").select(key("org", "s_suppkey").alias("src"), key("loc", "s_nationkey").alias("dst"), F.lit("locate").alias("type")),
+            _t(s, d, "lineitem").select(key("record", "l_orderkey").alias("src"), key("equip", "l_partkey").alias("dst"), F.lit("trace").alias("type")).distinct())
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+_GRAPH_SQL = """vx AS (SELECT 'person_' || c_custkey AS vid, 'person' AS tag, c_name AS name FROM customer UNION ALL SELECT 'equip_' || p_partkey, 'equip', p_name FROM part UNION ALL SELECT 'org_' || s_suppkey, 'org', s_name FROM supplier UNION ALL SELECT 'loc_' || n_nationkey, 'loc', n_name FROM nation),
+ed AS (SELECT 'person_' || c_custkey AS src, 'loc_' || c_nationkey AS dst, 'locate' AS type FROM customer UNION ALL SELECT 'org_' || s_suppkey, 'loc_' || s_nationkey, 'locate' FROM supplier UNION ALL SELECT DISTINCT 'record_' || l_orderkey, 'equip_' || l_partkey, 'trace' FROM lineitem)"""
+
+
+@_query(f"""WITH {_GRAPH_SQL} SELECT 'vertex' AS kind, tag AS value, count(*) AS n FROM vx GROUP BY 2 UNION ALL SELECT 'vertex', 'total', count(*) FROM vx UNION ALL SELECT 'edge', type, count(*) FROM ed GROUP BY 2 UNION ALL SELECT 'edge', 'total', count(*) FROM ed""")
+def graph_stats(s, d):
+    return graph.graph_stats(_vertices(s, d), _edges(s, d))
+
+
+@_query(f"WITH {_GRAPH_SQL} SELECT src AS vid, count(*) AS degree FROM ed WHERE type = 'trace' GROUP BY 1")
+def degree_per_record(s, d):
+    return graph.degrees(_edges(s, d).filter("type = 'trace'"))
+
+
+@_query(f"""WITH {_GRAPH_SQL}, h AS (SELECT vid, 'out' AS direction, type, dst AS neighbour FROM vx JOIN ed ON vid = src UNION ALL SELECT vid, 'in', type, src FROM vx JOIN ed ON vid = dst)
+SELECT h.vid, direction, type, neighbour, coalesce(name, neighbour) AS neighbour_name FROM h LEFT JOIN vx ON neighbour = vx.vid WHERE h.vid LIKE 'org%'""")
+def one_hop_relations(s, d):
+    v = _vertices(s, d)
+    return graph.one_hop(v.filter("tag = 'org'").select("vid"), _edges(s, d), v)
+
+
+_BOTH_SQL = "two AS (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed)"
+
+
+@_query(f"WITH {_GRAPH_SQL}, {_BOTH_SQL} SELECT a.src AS vid, CAST(sum(b.n) AS BIGINT) AS n_paths FROM two a JOIN (SELECT src, count(*) AS n FROM two GROUP BY 1) b ON a.dst = b.src GROUP BY 1")
+def two_hop_count(s, d):
+    e = _edges(s, d).select("src", "dst")
+    return graph.two_hop_counts(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+
+
+@_query("""SELECT vid, article_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY o_orderdate DESC NULLS LAST, article_id DESC) AS rank FROM (SELECT DISTINCT 'equip_' || l_partkey AS vid, o_orderkey AS article_id, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) WHERE rank <= 20""")
+def provenance_articles(s, d):
+    o = _t(s, d, "orders")
+    records = o.select(F.concat(F.lit("record_"), F.col("o_orderkey").cast("string")).alias("vid"), F.col("o_orderkey").cast("string").alias("source_pk"))
+    articles = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("published_at"))
+    return graph.provenance(_equipment(s, d).select("vid"), _edges(s, d), records, articles).select("vid", "article_id", "rank")
+
+
+def _withdrawn(s: SparkSession, d: str) -> tuple[DataFrame, object]:
+    """Trace edges, with a mark for those of the records that are withdrawn."""
+    own = _t(s, d, "orders").select(F.concat(F.lit("record_"), F.col("o_orderkey").cast("string")).alias("src"), (F.col("o_orderpriority") != "5-LOW").alias("own"))
+    return _edges(s, d).filter("type = 'trace'").join(own, "src"), F.col("own")
+
+
+_OWN_SQL = "t AS (SELECT DISTINCT 'equip_' || l_partkey AS vid, o_orderpriority <> '5-LOW' AS own FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@_query(f"WITH {_OWN_SQL} SELECT DISTINCT vid FROM t WHERE own AND vid NOT IN (SELECT vid FROM t WHERE NOT own)")
+def orphan_entities(s, d):
+    e, own = _withdrawn(s, d)
+    trace = e.select("own", F.col("dst").alias("vid"))
+    return trace.filter(own).select("vid").distinct().join(trace.filter(~own).select("vid"), "vid", "left_anti")
+
+
+@_query(f"WITH {_OWN_SQL} SELECT DISTINCT vid FROM t WHERE own AND vid IN (SELECT vid FROM t WHERE NOT own)")
+def shared_entities(s, d):
+    e, own = _withdrawn(s, d)
+    trace = e.select("own", F.col("dst").alias("vid"))
+    return trace.filter(own).select("vid").distinct().join(trace.filter(~own).select("vid"), "vid", "left_semi")
+
+
+@_query("""WITH m AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS k FROM customer), e AS (SELECT DISTINCT 'person_' || k AS src, o_orderpriority AS dst, o_orderstatus AS type FROM orders JOIN m ON o_custkey = c_custkey)
+SELECT src, dst, type FROM e""")
+def merge_rewire_edges(s, d):
+    w = Window.partitionBy("c_nationkey", "c_mktsegment")
+    mapping = _t(s, d, "customer").select(F.concat(F.lit("person_"), F.col("c_custkey").cast("string")).alias("vid"), F.concat(F.lit("person_"), F.min("c_custkey").over(w).cast("string")).alias("keep"))
+    e = _t(s, d, "orders").select(F.concat(F.lit("person_"), F.col("o_custkey").cast("string")).alias("src"), F.col("o_orderpriority").alias("dst"), F.col("o_orderstatus").alias("type"),
+                                  F.lit("").alias("sub_type"), F.lit(1.0).alias("confidence"), F.lit("").alias("source"), F.lit("").alias("created_at"))
+    return graph.rewire(e, mapping).select("src", "dst", "type")
+
+
+@_query("""SELECT 'loc_' || c_nationkey AS vid, array_to_string(list_sort(list_distinct(list(c_mktsegment))), '||') AS aliases FROM customer GROUP BY 1""")
+def alias_union(s, d):
+    table = _t(s, d, "nation").select(F.concat(F.lit("loc_"), F.col("n_nationkey").cast("string")).alias("vid"), F.lit("").alias("aliases"))
+    new = _t(s, d, "customer").select(F.concat(F.lit("loc_"), F.col("c_nationkey").cast("string")).alias("vid"), F.array("c_mktsegment").alias("aliases"))
+    return mutations.with_aliases(table, new).filter("aliases <> ''")
+
+
+@_query("""WITH c AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2) SELECT l_partkey AS entity, l_suppkey AS ordinal, score FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, l_suppkey) = 1""")
+def best_candidate_per_entity(s, d):
+    c = _t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("entity"), F.col("l_suppkey").alias("ordinal")).agg(F.sum("l_quantity").alias("score"))
+    return listing.best_candidate(c)
+
+
+# --- lists, pages, positions ----------------------------------------------------------
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'ring')")
+def entity_list_filtered(s, d):
+    return listing.filtered(_t(s, d, "part"), {"p_type": "ECONOMY", "p_brand": None}, "RING", ("p_name",), "p_partkey").select("p_partkey", "p_name")
+
+
+@_query("""SELECT type, vid, name FROM (SELECT 0 AS o, 'equipment' AS type, 'equip_' || p_partkey AS vid, p_name AS name FROM part UNION ALL SELECT 1, 'person', 'person_' || c_custkey, c_name FROM customer UNION ALL SELECT 2, 'location', 'loc_' || n_nationkey, n_name FROM nation) WHERE contains(lower(name), 'on') ORDER BY o, vid LIMIT 30""")
+def global_search(s, d):
+    v = _vertices(s, d)
+    return listing.global_search([(k, v.filter(F.col("tag") == t)) for k, t in (("equipment", "equip"), ("person", "person"), ("location", "loc"))], "On")
+
+
+@_query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'machinery')")
+def node_search(s, d):
+    return listing.node_search(_t(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "Machinery").select("c_custkey")
+
+
+def _queue(s: SparkSession, d: str) -> DataFrame:
+    e = _t(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "pending").otherwise("merged").alias("status"), F.lit("person").alias("entity_type"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("similarity"), F.col("ts").alias("created_at"))
+
+
+@_query("SELECT event_id AS id FROM events WHERE event_type = 'error' ORDER BY CASE WHEN event_id % 10 <> 0 THEN value END DESC NULLS LAST, ts DESC NULLS FIRST, event_id LIMIT 50 OFFSET 20")
+def pending_queue_page(s, d):
+    return listing.queue_page(_queue(s, d), limit=50, offset=20).select("id")
+
+
+@_query("SELECT id, row_number() OVER (ORDER BY sim DESC NULLS FIRST, id) AS n FROM (SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN value END AS sim FROM events WHERE event_type = 'error') ORDER BY n LIMIT 100")
+def null_ordering_page(s, d):
+    first = listing.execution_order(_queue(s, d)).limit(100)
+    return first.withColumn("n", F.row_number().over(Window.orderBy(F.col("similarity").desc_nulls_first(), "id")).cast("long")).select("id", "n")
+
+
+@_query("SELECT user_id AS id, max_by(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
+def latest_status_view(s, d):
+    log = _t(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
+    return listing.latest_status(log).select("id", "status", "seq")
+
+
+def _positions(s: SparkSession, d: str) -> DataFrame:
+    e = _t(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("equip_"), F.col("user_id").cast("string")).alias("vid"), F.round(F.col("value") % 90, 4).alias("lat"), F.round((F.col("event_id") % 360 - 180).cast("double"), 4).alias("lng"), F.col("ts").alias("reported_at"))
+
+
+@_query("SELECT event_id AS id, ts AS reported_at FROM events WHERE user_id = 7 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY")
+def track_since_cutoff(s, d):
+    now = F.lit("2024-01-31").cast("timestamp_ntz")
+    return listing.track(_positions(s, d), F.lit("equip_7"), now, 20).select("id", "reported_at")
+
+
+@_query("SELECT 'equip_' || user_id AS vid, max_by(event_id, (ts, event_id)) AS id FROM events GROUP BY 1")
+def latest_position(s, d):
+    return listing.latest_position(_positions(s, d)).select("vid", "id")
+
+
+@_query("SELECT 'equip_' || user_id AS vid, event_id AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50")
+def newest_positions(s, d):
+    return listing.newest_positions(_positions(s, d)).select("vid", "id", "rank")
+
+
+@_query("SELECT floor(round(value % 90, 4) / 10) * 10 AS lat, floor((event_id % 360 - 180) / 10) * 10 AS lng, count(*) AS weight FROM events GROUP BY 1, 2")
+def heat_map(s, d):
+    return listing.heat_cells(_positions(s, d).withColumn("weight", F.lit(1)), 10.0).select(F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "weight")
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS distinct_names, 1 + (SELECT max(p_partkey) FROM part) AS lowest, count(*) + (SELECT max(p_partkey) FROM part) AS highest FROM orders")
+def next_id_per_prefix(s, d):
+    new = _t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("name"))
+    out = listing.next_ids(new, _equipment(s, d), "equip", "name").withColumn("k", text.vid_number(F.col("vid")))
+    return out.agg(F.count("*").alias("n"), F.count_distinct("k").alias("distinct_names"), F.min("k").alias("lowest"), F.max("k").alias("highest"))
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90")
+def json_property_filter(s, d):
+    k = F.from_json("props", "k long")["k"]
+    return _t(s, d, "events").withColumn("k", k).filter("k > 90").select("event_id", "k")
+
+
+# --- articles -------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)\\b(USS|USNS|CVN|DDG|SSN|SSBN|CG-|LHD|LHA|LPD|LSD|LCAC|Navy|Naval|fleet|carrier|destroyer|submarine|cruiser|amphibious|sealift|strike group|battle group|license|INDOPACOM|EUCOM|CENTCOM|SOUTHCOM|AFRICOM)\\b')")
+def keyword_filter_documents(s, d):
+    return _t(s, d, "documents").filter(text.any_word(F.col("text"), (*text.KEYWORDS, "license"))).select("doc_id")
+
+
+@_query("SELECT doc_id, n_chars, length(text) AS content_length FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
+def ilike_article_search(s, d):
+    a = _t(s, d, "documents")
+    return a.filter(listing.has_text("text", "License") | listing.has_text("source", "License")).select("doc_id", "n_chars", F.length("text").cast("long").alias("content_length"))
+
+
+@_query("""SELECT doc_id, coalesce(substring(trim(list_filter(string_split(text, '.'), lambda x: contains(x, 'the'))[1]), 1, 300), substring(text, 1, 200)) AS context FROM documents WHERE lang = 'en'""")
+def context_sentence(s, d):
+    a = _t(s, d, "documents").filter("lang = 'en'")
+    return a.select("doc_id", text.first_sentence_with(F.lit("the"), F.col("text")).alias("context"))
+
+
+@_query("SELECT doc_id, len(string_split(lower(text), 'license')) - 1 AS n FROM documents WHERE contains(lower(text), 'license')")
+def mention_windows(s, d):
+    a = _t(s, d, "documents").filter(listing.has_text("text", "license"))
+    return a.select("doc_id", F.size(text.mentions(F.lit("License"), F.col("text"))).cast("long").alias("n"))
+
+
+@_query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM pages""")
+def html_to_text(s, d):
+    return _t(s, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("content"))
+
+
+@_query("SELECT DISTINCT url FROM pages")
+def url_dedupe(s, d):
+    p = _t(s, d, "pages")
+    return mutations.absent(p.select("url"), p.select("url").limit(0), "url")
+
+
+@_query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'same' ELSE 'unknown' END AS verdict FROM conversations")
+def verdict_parse(s, d):
+    c = _t(s, d, "conversations")
+    reply = F.when(F.lower("text").rlike(r"\bthe\b"), F.concat(F.lit("<think>x</think> Same. "), "conv_id")).otherwise("no answer")
+    return c.select("conv_id", "turn", replies.verdict(reply).alias("verdict"))
+
+
+@_query("SELECT event_type AS status, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 END AS label, count(*) AS n FROM events GROUP BY 1, 2")
+def feedback_labels(s, d):
+    st = F.when(F.col("event_type") == "click", "merged").when(F.col("event_type") == "view", "disambig").otherwise("pending")
+    return _t(s, d, "events").groupBy(F.col("event_type").alias("status"), replies.status_label(st).alias("label")).agg(F.count("*").alias("n"))
+
+
+@_query("""WITH r AS (SELECT event_id AS id, CAST(event_id % 2 AS INT) AS label, ts AS resolved_at FROM events WHERE event_type = 'signup' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 10)
+SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY resolved_at DESC NULLS LAST, id DESC) AS k FROM r) WHERE k <= 2 ORDER BY resolved_at DESC NULLS LAST, id DESC LIMIT 5""")
+def fewshot_balanced(s, d):
+    rows = _t(s, d, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("id"), (F.col("event_id") % 2).cast("int").alias("label"), F.col("ts").alias("resolved_at"))
+    return learning.few_shot(rows).select("id", "label")
+
+
+# --- cross-lingual --------------------------------------------------------------------
+
+
+def _sides(s: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers of a nation as two sides; degree: their orders and lines."""
+    o = _t(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("degree_a"))
+    line = _t(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("degree_b"))
+    c = _t(s, d, "customer").join(o, "c_custkey", "left").select(F.concat(F.lit("http://x/c/"), F.regexp_replace("c_name", "#", "_")).alias("uri_a"), F.col("c_name").alias("label_a"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("attributes_a"), F.coalesce("degree_a", F.lit(0)).alias("degree_a"), F.col("c_custkey").alias("k"))
+    p = _t(s, d, "supplier").join(line, "s_suppkey", "left").select(F.concat(F.lit("http://y/s/"), F.regexp_replace("s_name", "#", "_")).alias("uri_b"), F.col("s_name").alias("label_b"), F.array(F.col("s_nationkey").cast("string")).alias("attributes_b"), F.coalesce("degree_b", F.lit(0)).alias("degree_b"), F.col("s_suppkey").alias("k"))
+    return c.join(p, "k")
+
+
+_SIDES_SQL = """x AS (SELECT c_custkey AS k, 'http://x/c/' || replace(c_name, '#', '_') AS uri_a, [lower(c_mktsegment), c_nationkey::VARCHAR] AS at_a, [c_mktsegment, c_nationkey::VARCHAR] AS raw_a, coalesce(o.n, 0) AS da, 'http://y/s/' || replace(s_name, '#', '_') AS uri_b, [s_nationkey::VARCHAR] AS at_b, coalesce(l.n, 0) AS db, lower(c_name) AS na, lower(s_name) AS nb
+  FROM customer JOIN supplier ON c_custkey = s_suppkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_suppkey = s_suppkey),
+g AS (SELECT *, CAST(na = nb AS INT)::DOUBLE AS name, len(list_intersect(at_a, at_b)) / len(list_distinct(list_concat(at_a, at_b))) AS attr, CASE WHEN da > 0 AND db > 0 THEN least(da, db) / greatest(da, db) ELSE 0.0 END AS deg,
+  len(list_intersect(string_split(lower(string_split(uri_a, '/')[-1]), '_'), string_split(lower(string_split(uri_b, '/')[-1]), '_'))) / len(list_distinct(list_concat(string_split(lower(string_split(uri_a, '/')[-1]), '_'), string_split(lower(string_split(uri_b, '/')[-1]), '_')))) AS uri FROM x)"""
+
+
+@_query(f"WITH {_SIDES_SQL} SELECT k, round(name, 6) AS name_similarity, round(attr, 6) AS attr_overlap, round(deg, 6) AS degree_similarity, round(uri, 6) AS uri_similarity, round((name * 0.40 + attr * 0.35 + deg * 0.15 + uri * 0.10) * CASE WHEN attr = 0 AND (da > 5 OR db > 5) THEN 0.7 ELSE 1 END, 6) AS l1_score FROM g")
+def crosslingual_signals(s, d):
+    out = crosslingual.signals(_sides(s, d))
+    return out.select("k", *(F.round(c, 6).alias(c) for c in ("name_similarity", "attr_overlap", "degree_similarity", "uri_similarity", "l1_score")))
+
+
+@_query(f"WITH {_SIDES_SQL} SELECT k, round(deg, 6) AS ratio FROM g")
+def degree_ratio_signal(s, d):
+    return _sides(s, d).select("k", F.round(text.ratio(F.col("degree_a"), F.col("degree_b")), 6).alias("ratio"))
+
+
+@_query(f"WITH {_SIDES_SQL} SELECT k, round(uri, 6) AS overlap FROM g")
+def uri_token_jaccard(s, d):
+    return _sides(s, d).select("k", F.round(text.jaccard(text.uri_tokens(F.col("uri_a")), text.uri_tokens(F.col("uri_b"))), 6).alias("overlap"))
+
+
+@_query(f"WITH {_SIDES_SQL} SELECT k, array_to_string(list_sort(list_filter(raw_a, lambda v: NOT list_contains(at_b, v))), ',') AS only_a FROM x")
+def tsv_set_difference(s, d):
+    return _sides(s, d).select("k", F.array_join(F.array_sort(F.array_except("attributes_a", "attributes_b")), ",").alias("only_a"))
+
+
+@_query()
+def prefix_block_negatives(s, d):
+    side = lambda t, k, n, p: _t(s, d, t).select(F.concat(F.lit(p), F.col(k).cast("string")).alias("uri"), F.col(n).alias("label"))
+    left = side("part", "p_partkey", "p_name", "a")
+    right = side("part", "p_partkey", "p_name", "b")
+    gold = _t(s, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("uri_a"), F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("uri_b"))
+    return crosslingual.negatives(left, right, gold)
+
+
+# --- windows over events (extensions of the batch indicators) --------------------------
+
+
+@_query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_counts(s, d):
+    e = _t(s, d, "events")
+    return e.groupBy("event_type", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
+
+
+@_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b, event_id FROM events), k AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, session""")
+def event_sessions(s, d):
+    e = _t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query("SELECT page_id, url FROM pages WHERE regexp_matches(html, '(?i)\\b(community event|mental health|therapy|partnership with|charity|fundrais|volunteer|wellness|yoga|diversity|inclusion|talkspace|insurance|hiring|recruitment fair|title)\\b')")
+def excluded_topics(s, d):
+    return _t(s, d, "pages").filter(text.any_word(F.col("html"), (*text.EXCLUDED_TOPICS, "title"))).select("page_id", "url")
