@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.scratch import materialise
+from kithline.llm.scratch import free_name, materialise
 
 #: White space that separates words, as a regular expression's class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -116,9 +116,9 @@ def _resolved(named: DataFrame, repeated: bool) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     named, repeated = _named(docs, block_bytes)
-    stays = _resolved(named, repeated).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    own = "_kithline_sha"
+    own, keep_id, keep_sha = (free_name(docs, n) for n in ("own_sha", "keep_id", "keep_sha"))
+    stays = _resolved(named, repeated).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
     keyed = docs.withColumn(own, F.sha2(normalise(F.col("text")), 256))
-    kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col(own) == F.col("_keep_sha")), "left_semi")
+    kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_sha)), "left_semi")
     # Rows that repeat both doc_id and text pass the join together; one of each stays.
     return (kept.dropDuplicates(["doc_id", own]) if repeated else kept).drop(own)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.components import components
-from kithline.llm.scratch import materialise
+from kithline.llm.scratch import free_name, materialise
 from kithline.llm.words import word_runs
 from kithline.shipping import ship
 
@@ -148,5 +148,6 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bu
     Rows whose doc_id is null are all kept.  A doc_id that several rows have goes if any of
     them is linked to a smaller one.
     """
-    goes = near_duplicates(docs, shingle_words, bucket_limit).filter("component_id < doc_id").select(F.col("doc_id").alias("_goes")).distinct()
-    return docs.join(goes, F.col("doc_id") == F.col("_goes"), "left_anti")
+    goes = free_name(docs, "goes")
+    ids = near_duplicates(docs, shingle_words, bucket_limit).filter("component_id < doc_id").select(F.col("doc_id").alias(goes)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(goes), "left_anti")
