@@ -201,8 +201,11 @@ def remove_repeats(docs: DataFrame, anchors: Anchors, window: int, reach: int) -
     each other.  Shorter texts than a window stay whole.  No rows give no rows.
     """
     ship(docs.sparkSession)
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Both joins read the same rows and columns, so that they share one shuffle of the texts.
+    # A cast would be left in one of the two plans only, so it is made where it is needed.
+    every = docs.select("doc_id", "text")
+    if dict(every.dtypes)["doc_id"] != "bigint":
+        every = every.withColumn("doc_id", F.col("doc_id").cast("long"))
     texts, without = every.filter("doc_id is not null"), every.filter("doc_id is null")
     rows = texts.mapInArrow(_anchor_rows(anchors, window), "k long, salt long, doc_id long, pos long, known boolean")
     of = Window.partitionBy("k", "salt")
