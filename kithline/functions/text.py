@@ -90,7 +90,7 @@ def parse_aliases(value: Column, bars: bool = True) -> Column:
     listed = F.from_json(s, "array<string>")
     out = F.when(s == "", F.array().cast("array<string>")).when(s.startswith("{") & s.endswith("}"), F.array_remove(braces, ""))
     if bars:
-        out = out.when(s.contains("||"), F.array_remove(F.transform(F.split(s, r"\|\|"), F.trim), ""))
+        out = out.when(s.contains("||"), F.array_remove(F.transform(F.split(s, r"\|\|"), lambda x: F.trim(x)), ""))
     return out.when(s.startswith("[") & listed.isNotNull(), listed).otherwise(F.array(s))
 
 

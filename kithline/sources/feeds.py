@@ -17,7 +17,7 @@ def rss(spark: SparkSession, path: str, source: str) -> DataFrame:
     items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     first = items.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("at"))).filter(F.col("r") <= RSS_ENTRIES)
     rows = first.dropDuplicates(["link"]).select(F.lit(source).alias("source"), "title", F.col("link").alias("url"), F.substring(plain_text(F.coalesce("description", F.lit(""))), 1, RSS_LENGTH).alias("content"),
-                                                 F.coalesce(feed_time(F.col("pubDate")), F.try_to_timestamp("pubDate", F.lit("EEE, d MMM yyyy HH:mm:ss Z"))).alias("published_at"))
+                                                 F.coalesce(feed_time(F.col("pubDate")), F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))).alias("published_at"))
     special = any(w in source.lower() for w in ("fleet", "tracker"))
     return rows if special else rows.filter(on_topic())
 

@@ -18,10 +18,13 @@ def new_articles(spark: SparkSession, source: DataFrame, table: str, checkpoint:
     """Append articles whose URL the table lacks; each micro-batch is joined with the table."""
 
     def batch(rows: DataFrame, _: int) -> None:
+        # A micro-batch has a session of its own; the caller's may remember the table's old files.
+        session = rows.sparkSession
         own = rows.dropDuplicates(["url"])
-        if spark.catalog.tableExists(table):
-            own = own.join(spark.table(table).select("url"), "url", "left_anti")
+        if session.catalog.tableExists(table):
+            own = own.join(session.table(table).select("url"), "url", "left_anti")
         own.write.mode("append").saveAsTable(table)
+        spark.catalog.refreshTable(table)
 
     return _start(source.writeStream.foreachBatch(batch), checkpoint, at_once)
 
@@ -69,6 +72,7 @@ def retrain_every(source: DataFrame, count_table: str, every: int, train: Callab
         seen = spark.table(count_table).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if spark.catalog.tableExists(count_table) else 0
         n = rows.count()
         spark.createDataFrame([(n,)], "n long").write.mode("append").saveAsTable(count_table)
+        source.sparkSession.catalog.refreshTable(count_table)
         if (seen + n) // every > seen // every:
             train()
 
