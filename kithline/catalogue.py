@@ -644,3 +644,55 @@ def event_sessions(s, d):
 @_query("SELECT page_id, url FROM pages WHERE regexp_matches(html, '(?i)\\b(community event|mental health|therapy|partnership with|charity|fundrais|volunteer|wellness|yoga|diversity|inclusion|talkspace|insurance|hiring|recruitment fair|title)\\b')")
 def excluded_topics(s, d):
     return _t(s, d, "pages").filter(text.any_word(F.col("html"), (*text.EXCLUDED_TOPICS, "title"))).select("page_id", "url")
+
+
+@_query(f"""WITH {_PAIRS_SQL} SELECT a.vid AS vid_a, b.vid AS vid_b, CAST((a.p_brand <> b.p_brand)::INT + (a.p_type <> b.p_type)::INT + ((a.p_name || a.p_type) <> (b.p_name || b.p_type))::INT + (a.p_partkey % 4 <> b.p_partkey % 4)::INT AS BIGINT) AS n_differ
+FROM e a JOIN e b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def property_diff(s, d):
+    diff = text.property_diff(F.col("props_a"), F.col("props_b"))
+    return _pairs(s, d).select("vid_a", "vid_b", F.explode(diff).alias("x")).groupBy("vid_a", "vid_b").agg(F.count_if(F.col("x.differs")).alias("n_differ"))
+
+
+def _articles(s: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("doc_id") % 7 == 0, "failed").when(F.col("doc_id") % 5 != 0, F.when(F.col("doc_id") % 2 == 0, "pending").otherwise("done"))
+    return _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), status.alias("status"), F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("published_at"))
+
+
+_ARTICLES_SQL = "a AS (SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'done' END END AS status, CASE WHEN doc_id % 11 <> 0 THEN n_chars END AS published_at FROM documents)"
+
+
+@_query(f"WITH {_ARTICLES_SQL} SELECT id, length(content) AS content_length FROM a ORDER BY (status <> 'failed') DESC NULLS FIRST, published_at DESC NULLS LAST, id DESC LIMIT 50 OFFSET 10")
+def article_page(s, d):
+    return listing.article_page(_articles(s, d), limit=50, offset=10).select("id", F.col("content_length").cast("long").alias("content_length"))
+
+
+@_query(f"WITH {_ARTICLES_SQL} SELECT id FROM a WHERE status = 'pending' AND content IS NOT NULL ORDER BY published_at DESC NULLS FIRST, id LIMIT 5")
+def pending_articles(s, d):
+    return listing.pending_articles(_articles(s, d)).select("id")
+
+
+@_query(r"""SELECT url, substring(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 10000) AS content FROM pages""")
+def import_articles(s, d):
+    p = _t(s, d, "pages").select("url", F.col("html").alias("content"))
+    return mutations.import_articles(p.filter(F.lit(False)), p).select("url", "content")
+
+
+@_query("""SELECT (SELECT count(*) FROM part WHERE p_type = 'ECONOMY') AS n_ship, (SELECT count(*) FROM part WHERE p_type = 'SMALL') AS n_aircraft, 0 AS n_weapon, (SELECT count(*) FROM events) AS n_located, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS n_week, (SELECT count(*) FROM orders) AS n_events""")
+def map_kpis(s, d):
+    kind = F.when(F.col("p_type") == "ECONOMY", "ship").when(F.col("p_type") == "SMALL", "aircraft").otherwise("other")
+    e = _t(s, d, "events")
+    places = e.select(F.col("event_id").cast("string").alias("vid"), F.concat_ws(",", F.col("value").cast("string"), F.lit("0")).alias("coordinates"))
+    return listing.map_kpis(_t(s, d, "part").select(kind.alias("equip_type")), places, e.select(F.col("ts").alias("published_at")), _t(s, d, "orders"), F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+@_query("SELECT l_orderkey, CAST(floor((k - 1) / 3) AS INT) AS batch, count(*) AS n FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS k FROM lineitem) GROUP BY 1, 2")
+def queue_batches(s, d):
+    return listing.batches(_t(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey", 3, "l_orderkey").groupBy("l_orderkey", "batch").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n_kept, count(*) FILTER (label = 1) AS n_same, min(k) AS lowest FROM (SELECT event_id AS k, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 END AS label FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0 ORDER BY event_id LIMIT 5000)")
+def human_feedback(s, d):
+    e = _t(s, d, "events")
+    status = F.when(F.col("event_type") == "click", "merged").when(F.col("event_type") == "view", "disambig").otherwise("pending")
+    log = e.select(F.col("event_id").alias("id"), status.alias("status"), F.lit("llm").alias("notes"), F.when(F.col("user_id") % 2 == 0, "someone").alias("resolved_by"))
+    return learning.feedback_pairs(log, -1).agg(F.count("*").alias("n_kept"), F.count_if(F.col("label") == 1).alias("n_same"), F.min("id").alias("lowest"))

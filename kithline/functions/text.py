@@ -222,3 +222,9 @@ def days_since(ts: Column, now: Column) -> Column:
     """Infinity for a missing or bad time."""
     then = F.try_to_timestamp(ts.cast("string"))
     return F.coalesce((F.unix_timestamp(now) - F.unix_timestamp(then)) / 86400.0, F.lit(float("inf")))
+
+
+def property_diff(a: Column, b: Column) -> Column:
+    """(field, a, b, differs) of every key of either map, sorted; two nulls do not differ."""
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    return F.transform(keys, lambda k: F.struct(k.alias("field"), F.try_element_at(a, k).alias("a"), F.try_element_at(b, k).alias("b"), (~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k))).alias("differs")))
