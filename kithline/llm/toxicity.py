@@ -13,16 +13,19 @@ seen, gives the score.
 
 Counts are gathered over all labelled rows of the training folds.  The shared estimates
 cancel out in the ratio of unseen bytes, so scoring needs two tables: ratios of known
-six-byte sequences and of known contexts.  Only the max_grams most frequent sequences are
-kept (a parameter of the model, which bounds what is broadcast); the rest count as unseen.
+six-byte sequences and of known contexts.  All of them are kept.  They are broadcast in
+blocks of about block_grams sequences, each with its contexts; a worker holds the first few
+and loads the others one after another, so that its memory does not grow with the tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ from kithline.shipping import ship
 
 ORDER = 6
 DISCOUNT = 0.75
-MAX_GRAMS = 400_000
+#: Sequences that are collected and broadcast at once, and the blocks that a worker keeps in memory.
+BLOCK_GRAMS = 1 << 20
+HELD_BLOCKS = 4
 WINDOWS = (1, 4, 16)
 FOLDS = 5
 #: Folds by crc32 of the doc_id: 0 is held out, 4 fits the logistic function, the others the models.
@@ -92,18 +97,14 @@ def _small(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) ->
             yield batch.slice(lo, hi - lo)
 
 
-class Model:
-    """Ratios of known sequences and contexts, and the logistic function."""
+class Block:
+    """Ratios of the known contexts of one block, and of the known sequences that begin with them."""
 
     def __init__(self, grams: np.ndarray, gram_ratio: np.ndarray, contexts: np.ndarray, context_ratio: np.ndarray):
         by = np.argsort(grams)
         self.grams, self.gram_ratio = grams[by], gram_ratio[by].astype(np.float32)
         by = np.argsort(contexts)
         self.contexts, self.context_ratio = contexts[by], context_ratio[by].astype(np.float32)
-        self.weights = np.zeros(len(WINDOWS) + 1)
-        self.weights[1], self.bias = 1.0, PLAIN_BIAS
-        #: The score of every text if the labels do not tell two classes apart.
-        self.constant: float | None = None
 
     @staticmethod
     def _look_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,15 +114,35 @@ class Model:
         hit = known[at] == keys
         return hit, np.where(hit, value[at], 0)
 
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Of each sequence; 0 where this block does not have its context."""
+        hit, ratio = self._look_up(keys, self.grams, self.gram_ratio)
+        _, unseen = self._look_up(keys >> 8, self.contexts, self.context_ratio)
+        return np.where(hit, ratio, unseen)
+
+
+class Model:
+    """Ratios of known sequences and contexts in broadcast blocks, and the logistic function."""
+
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
+        self.weights = np.zeros(len(WINDOWS) + 1)
+        self.weights[1], self.bias = 1.0, PLAIN_BIAS
+        #: The score of every text if the labels do not tell two classes apart.
+        self.constant: float | None = None
+
     def word_ratios(self, data: np.ndarray, spans: np.ndarray) -> np.ndarray:
         out = np.zeros(len(spans))
         step = 50_000  # bounds the memory for batches of many distinct words
         for lo in range(0, len(spans), step):
             key, word = _grams(data, spans[lo: lo + step])
             distinct, of = np.unique(key, return_inverse=True)
-            hit, ratio = self._look_up(distinct, self.grams, self.gram_ratio)
-            _, unseen = self._look_up(distinct >> 8, self.contexts, self.context_ratio)
-            out[lo: lo + step] = np.bincount(word, np.where(hit, ratio, unseen)[of], len(spans[lo: lo + step]))
+            ratio = np.zeros(len(distinct))
+            for i, block in enumerate(self.blocks):
+                ratio += block.value.ratios(distinct)
+                if i >= HELD_BLOCKS:
+                    block.__dict__.pop("_value", None)  # the worker reads it from its file again
+            out[lo: lo + step] = np.bincount(word, ratio[of], len(spans[lo: lo + step]))
         return out
 
     def features(self, column: pa.Array) -> np.ndarray:
@@ -199,16 +220,25 @@ def _shared_estimates(grams: DataFrame) -> DataFrame:
     return lower
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> Model:
     """The model of the labelled rows of all folds but HELD_OUT."""
     ship(docs.sparkSession)
     grams = materialise(_gram_counts(_labelled(docs, labels, tuple(f for f in range(FOLDS) if f not in (HELD_OUT, CALIBRATION)))), "grams")
     seen = grams.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
-    none = np.zeros(0, np.int64), np.zeros(0)
     if not (seen[0] and seen[1]):
-        model = Model(*none, *none)
+        model = Model([])
         model.constant = 1.0 if seen[0] else 0.0
         return model
+    model = Model(_blocks(grams, block_grams))
+    _calibrate(model, _labelled(docs, labels, (CALIBRATION,)))
+    return model
+
+
+def _blocks(grams: DataFrame, block_grams: int) -> list[Broadcast]:
+    """The ratios of all sequences and contexts, dealt by context; a context has 256 sequences at most, so the blocks are even.
+
+    grams: gram, c1, c0.  Each block is collected on its own.
+    """
     context = F.shiftright("gram", 8)
     contexts = grams.groupBy(context.alias("context")).agg(*(f for c in (1, 0) for f in (F.sum(f"c{c}").alias(f"total{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"types{c}"))))
     row = grams.withColumn("context", context).join(contexts, "context").withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (ORDER - 1))) - 1)))
@@ -221,23 +251,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> Model
     def rest(c: int) -> Column:
         return F.when(F.col(f"total{c}") > 0, DISCOUNT * F.col(f"types{c}") / F.col(f"total{c}")).otherwise(F.lit(1.0))
 
-    kept = row.select("gram", F.log(likelihood(1) / likelihood(0)).alias("ratio"), "context", F.log(rest(1) / rest(0)).alias("unseen"), (F.col("c1") + F.col("c0")).alias("n"))
-    kept = kept.orderBy(F.desc("n"), "gram").limit(max_grams).toArrow()
-    context_keys, at = np.unique(kept.column("context").to_numpy(), return_index=True)
-    model = Model(kept.column("gram").to_numpy(), kept.column("ratio").to_numpy(), context_keys, kept.column("unseen").to_numpy()[at])
-    _calibrate(model, _labelled(docs, labels, (CALIBRATION,)))
-    return model
+    blocks = max(1, math.ceil(grams.count() / block_grams))
+    ratios = row.select("gram", F.log(likelihood(1) / likelihood(0)).cast("float").alias("ratio"), "context", F.log(rest(1) / rest(0)).cast("float").alias("unseen"))
+    ratios = materialise(ratios.withColumn("block", F.pmod(F.xxhash64("context"), F.lit(blocks))), "ratios")
+    out = []
+    for b in range(blocks):
+        own = ratios.filter(F.col("block") == b).drop("block").toArrow()
+        contexts, at = np.unique(own.column("context").to_numpy(), return_index=True)
+        block = Block(own.column("gram").to_numpy(), own.column("ratio").to_numpy(), contexts, own.column("unseen").to_numpy()[at])
+        out.append(grams.sparkSession.sparkContext.broadcast(block))
+    return out
 
 
 def _calibrate(model: Model, labelled: DataFrame) -> None:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 0):
-            x = shared.value.features(batch.column(0))
+            x = model.features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.float64())], ["x", "label"])
 
     rows = materialise(labelled.select("text", "toxic").mapInArrow(run, "x array<double>, label double"), "calibration")
@@ -248,7 +280,7 @@ def _calibrate(model: Model, labelled: DataFrame) -> None:
     model.weights, model.bias = fitted.coefficients.toArray(), float(fitted.intercept)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
     docs needs doc_id and text, labels doc_id and toxic.  Labels of the held-out fold are
@@ -256,11 +288,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAM
     zeros.  Without labelled rows of both classes every score is that of the class there
     is, 0 without any.  A null doc_id is not held out.  No rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_grams))
+    model = fit(docs, labels, block_grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 2):
-            score = shared.value.scores(batch.column(2))
+            score = model.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -268,13 +300,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAM
     return docs.select("doc_id", held_out, "text").mapInArrow(run, f"doc_id {ids}, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The rows of docs whose score is below one half, with all their columns; texts are not shuffled for it."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_grams))
+    model = fit(docs, labels, block_grams)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, at):
-            yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < 0.5))
+            yield batch.filter(pa.array(model.scores(batch.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

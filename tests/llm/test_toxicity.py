@@ -60,3 +60,11 @@ def test_estimates_sum_to_one(spark):
     grams = spark.createDataFrame([(k, 1, 1) for k in (0x020202026162, 0x020202026163, 0x020202616263, 0x020202616303, 0x020261626303)], "gram long, c1 long, c0 long")
     p = module._shared_estimates(grams).collect()
     assert p and all(0 < r.p < 1 for r in p)
+
+
+def test_scores_do_not_depend_on_the_size_of_blocks(spark):
+    rows, labels = _corpus(300)
+    docs, marks = documents(spark, rows), _labels(spark, labels)
+    whole, small = ({r.doc_id: r.score for r in module.score_toxicity(docs, marks, *size).collect()} for size in ((), (40,)))
+    assert len(module.fit(docs, marks, 40).blocks) > module.HELD_BLOCKS
+    assert all(abs(whole[i] - small[i]) < 1e-6 for i in whole)
