@@ -11,7 +11,8 @@ largest mean over any 1, 4 and 16 consecutive words, as abuse is often a short p
 text.  A logistic function of these, fitted on labelled rows that the models have not
 seen, gives the score.
 
-Counts are gathered over all labelled rows of the training folds.  The shared estimates
+The logistic function is fitted on one fold with the models of the other training folds;
+the final models count all labelled rows of all folds but the held-out one.  The shared estimates
 cancel out in the ratio of unseen bytes, so scoring needs two tables: ratios of known
 six-byte sequences and of known contexts.  All of them are kept.  They are broadcast in
 blocks of about block_grams sequences, each with its contexts; a worker holds the first few
@@ -40,7 +41,7 @@ BLOCK_GRAMS = 1 << 20
 HELD_BLOCKS = 4
 WINDOWS = (1, 4, 16)
 FOLDS = 5
-#: Folds by crc32 of the doc_id: 0 is held out, 4 fits the logistic function, the others the models.
+#: Folds by crc32 of the doc_id: 0 is held out; 4 fits the logistic function before it joins the others in the models.
 HELD_OUT, CALIBRATION = 0, 4
 #: Used where the calibration fold has one class only: the largest word's ratio less this.
 PLAIN_BIAS = -8.0
@@ -184,19 +185,21 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> Dat
 
 
 def _gram_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, c1, c0): how often each class has each sequence."""
+    """(gram, c1, c0, d1, d0): how often each class has each sequence, outside and inside the calibration fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 0):
             data, first, of, spans = _word_table(batch.column(0))
-            toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
+            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
             key, word = _grams(data, spans)
             distinct, at = np.unique(key, return_inverse=True)
-            counts = [np.bincount(at, np.bincount(of[toxic == c], minlength=len(spans))[word], len(distinct)).astype(np.int64) for c in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], ["gram", "c1", "c0"])
+            counts = [np.bincount(at, np.bincount(of[part == c], minlength=len(spans))[word], len(distinct)).astype(np.int64) for c in (1, 0, 3, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], ["gram", *names])
 
-    rows = labelled.select("text", "toxic").mapInArrow(run, "gram long, c1 long, c0 long")
-    return rows.groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    names = ["c1", "c0", "d1", "d0"]
+    part = F.col("toxic") + F.when(fold("doc_id") == CALIBRATION, 2).otherwise(0)
+    rows = labelled.select("text", part.cast("int").alias("part")).mapInArrow(run, "gram long, c1 long, c0 long, d1 long, d0 long")
+    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def _shared_estimates(grams: DataFrame) -> DataFrame:
@@ -221,16 +224,24 @@ def _shared_estimates(grams: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> Model:
-    """The model of the labelled rows of all folds but HELD_OUT."""
+    """The model of the labelled rows of all folds but HELD_OUT.
+
+    The logistic function is fitted on CALIBRATION with a model that has not counted it.
+    """
     ship(docs.sparkSession)
-    grams = materialise(_gram_counts(_labelled(docs, labels, tuple(f for f in range(FOLDS) if f not in (HELD_OUT, CALIBRATION)))), "grams")
-    seen = grams.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
-    if not (seen[0] and seen[1]):
+    counts = materialise(_gram_counts(_labelled(docs, labels, tuple(f for f in range(FOLDS) if f != HELD_OUT))), "grams")
+    n = {k: v or 0 for k, v in counts.agg(*(F.sum(c).alias(c) for c in ("c1", "c0", "d1", "d0"))).first().asDict().items()}
+    if not (n["c1"] + n["d1"] and n["c0"] + n["d0"]):
         model = Model([])
-        model.constant = 1.0 if seen[0] else 0.0
+        model.constant = 1.0 if n["c1"] + n["d1"] else 0.0
         return model
-    model = Model(_blocks(grams, block_grams))
-    _calibrate(model, _labelled(docs, labels, (CALIBRATION,)))
+    model = Model(_blocks(counts.select("gram", (F.col("c1") + F.col("d1")).alias("c1"), (F.col("c0") + F.col("d0")).alias("c0")), block_grams))
+    if all(n.values()):
+        first = Model(_blocks(counts.filter("c1 + c0 > 0").select("gram", "c1", "c0"), block_grams))
+        _calibrate(first, _labelled(docs, labels, (CALIBRATION,)))
+        model.weights, model.bias = first.weights, first.bias
+        for block in first.blocks:
+            block.unpersist()
     return model
 
 

@@ -68,3 +68,19 @@ def test_scores_do_not_depend_on_the_size_of_blocks(spark):
     whole, small = ({r.doc_id: r.score for r in module.score_toxicity(docs, marks, *size).collect()} for size in ((), (40,)))
     assert len(module.fit(docs, marks, 40).blocks) > module.HELD_BLOCKS
     assert all(abs(whole[i] - small[i]) < 1e-6 for i in whole)
+
+
+def test_words_of_the_calibration_fold_are_learned(spark):
+    def of(fold):
+        return [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 == fold]
+
+    rows, labels = _corpus()
+    rows = dict(rows)
+    for i in of(4)[:60]:
+        rows[i] += " quizzimork" * 3
+    tried = [i for i in of(0) if i in rows and not labels[i][2]][:30]
+    for i in tried:
+        rows[i] += " quizzimork" * 3
+    labels = [(i, 0, int(t or i in of(4)[:60])) for i, _, t in labels]
+    out = {r.doc_id: r for r in module.score_toxicity(documents(spark, list(rows.items())), _labels(spark, labels)).collect()}
+    assert len(tried) == 30 and all(out[i].held_out and out[i].predicted for i in tried)
