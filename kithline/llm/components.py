@@ -1,36 +1,5 @@
-"""Connected components of an undirected graph, by alternating stars."""
+"""Connected components; see kithline.operators.components."""
 
-from __future__ import annotations
+from kithline.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from kithline.llm.scratch import materialise
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of an edge.
-
-    Each round links the larger neighbours of a node to its smallest neighbour, then the
-    smaller ones.  The number of rounds grows with the logarithm of the graph's width.
-    Only a count and a checksum of the links come to the driver.  A node with very many
-    links is a hot key of a join between links and per-node minima; minima are combined
-    before the shuffle and the adaptive planner splits the links.
-    """
-    links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct()
-    links, before = materialise(links, "links"), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        # Now every link goes from a larger node v to a smaller one u.
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(least, "v")
-        small = joined.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(joined.select(F.col("m").alias("u"), "v"))
-        links = materialise(small.filter("u <> v").distinct(), "links")
-    members = links.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component")
-    return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())
+__all__ = ["components"]

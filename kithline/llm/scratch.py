@@ -1,47 +1,5 @@
-"""Tables written to the folder that all executors share."""
+"""Tables in the shared folder; see kithline.scratch."""
 
-from __future__ import annotations
+from kithline.scratch import free_name, materialise, shared_dir
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.
-
-    Only where the setting is absent (a local session, as in tests) a folder of this
-    machine is made and used; a cluster must name a shared one.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    known = getattr(context, "_kithline_scratch", None)
-    if known is None:
-        known = context._kithline_scratch = tempfile.mkdtemp(prefix="spark-kithline-")
-    return f"file://{os.path.abspath(known)}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks that were running, and the
-    rows that later plans read are the same rows each time.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kithline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while stem in taken:
-        stem += "_"
-    return stem
+__all__ = ["free_name", "materialise", "shared_dir"]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithline.operators.components import components
+from kithline.scratch import materialise
+
 #: The type of an edge by the relation's name; others are social.
 EDGE_TYPES = {"social": "social", "employ": "employ", "locate": "locate", "participate": "participate", "org_relation": "org_relation", "use": "use_edge", "spatial": "spatial", "trace": "trace"}
 #: Relations that say too little to be stored.
@@ -93,33 +96,14 @@ def delete_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> t
     return vertices.join(gone, "vid", "left_anti"), kept.select(edges.columns)
 
 
-def merge_map(merges: DataFrame, rounds: int = 50) -> DataFrame:
+def merge_map(merges: DataFrame) -> DataFrame:
     """(vid, keep): the smallest id that each vertex of a merge is connected to.
 
-    merges: vid_a, vid_b.  Chains of merges end in one vertex; labels travel by the smallest
-    neighbour and its own label, so rounds grow with the logarithm of a chain's length.
+    merges: vid_a, vid_b.  Chains of merges end in one vertex, whatever their length.
     """
-    links = merges.select(F.col("vid_a").alias("x"), F.col("vid_b").alias("y"))
-    links = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    label = links.groupBy("x").agg(F.least("x", F.min("y")).alias("keep")).select(F.col("x").alias("vid"), "keep")
-    label = _cut(label)
-    for _ in range(rounds):
-        near = links.join(label.select(F.col("vid").alias("y"), F.col("keep").alias("other")), "y").groupBy(F.col("x").alias("vid")).agg(F.min("other").alias("other"))
-        step = label.join(near, "vid").select("vid", F.least("keep", "other").alias("next"), "keep")
-        jump = step.select(F.col("vid").alias("next"), F.col("next").alias("far"))
-        new = _cut(step.join(jump, "next", "left").select("vid", F.least("next", F.coalesce("far", "next")).alias("new"), "keep"))
-        label = new.select("vid", F.col("new").alias("keep"))
-        if new.filter("new <> keep").isEmpty():
-            break
-    return label
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that executors share, if one is set."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    reached = components(merges, "vid_a", "vid_b")
+    vids = merges.select(F.explode(F.array("vid_a", "vid_b")).alias("vid")).filter("vid is not null").distinct()
+    return materialise(vids.join(reached, F.col("vid") == F.col("node"), "left").select("vid", F.coalesce("component", "vid").alias("keep")), "merges")
 
 
 def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:

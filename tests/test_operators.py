@@ -219,3 +219,14 @@ def test_crosslingual(spark):
     gold = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(40)], "uri_a string, uri_b string")
     neg = crosslingual.negatives(side("a"), side("b"), gold).collect()
     assert neg and all(int(n.uri_a[1:]) % 2 == int(n.uri_b[1:]) % 2 and n.uri_a[1:] != n.uri_b[1:] for n in neg)
+
+
+def test_long_chains_of_merges_end_in_one_vertex(spark):
+    from kithline.operators.graph import merge_map
+
+    chain = [0, *range(60, 0, -1)]
+    merges = [(f"a{x:03}", f"a{y:03}") for x, y in zip(chain, chain[1:])]
+    shuffled = random.Random(3).sample(range(120), 120)
+    merges += [(f"b{x:03}", f"b{y:03}") for x, y in zip(shuffled, shuffled[1:])] + [("c1", "c1")]
+    found = {r.vid: r.keep for r in merge_map(spark.createDataFrame(merges, "vid_a string, vid_b string")).collect()}
+    assert found == {f"a{i:03}": "a000" for i in range(61)} | {f"b{i:03}": "b000" for i in range(120)} | {"c1": "c1"}
