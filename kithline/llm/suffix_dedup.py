@@ -1,11 +1,11 @@
-"""Repeated passages, found with a sparse suffix array.
+"""Repeated passages, found at the positions of a sparse suffix array.
 
 Of the suffixes that begin in a stretch of 31 consecutive positions only the one at the
 minimiser stays: the leftmost position whose 20 words have the smallest hash.  The choice
 depends on the content alone, so two equal windows of 50 words retain the suffix at the same
-offset.  About one suffix in sixteen is retained.  They are shuffled and sorted by their
-first 20 words; neighbours in this order that agree and belong to different documents are
-matches, which are then extended to the left and right by whole windows.
+offset.  About one suffix in sixteen is retained.  They are not sorted: they are
+grouped by a hash of their first 20 words, and where a group has different documents, every
+window of 50 words around the position is hashed and matched.
 """
 
 from __future__ import annotations
