@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from kithline.llm.frequent import LONGEST, frequent_pieces
 from kithline.llm.token_counts import _Shared
-from kithline.shipping import ship
+from kithline.llm.shipping import ship
 
 TABLE_SIZE = 50_000
 CACHE_SIZE = 400_000

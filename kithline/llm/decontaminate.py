@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.words import Words, parts
-from kithline.shipping import ship
+from kithline.llm.shipping import ship
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8

@@ -1,4 +1,4 @@
-"""Makes this package importable in the Python workers of every executor."""
+"""Makes this library importable in the Python workers of every executor."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_kithline_shipped", False):
         return
-    root = Path(__file__).resolve().parent
+    root = Path(__file__).resolve().parent.parent
     handle, path = tempfile.mkstemp(prefix="kithline-", suffix=".zip")
     os.close(handle)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

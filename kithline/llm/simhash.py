@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kithline.llm.components import components
 from kithline.llm.scratch import free_name, materialise
 from kithline.llm.words import word_runs
-from kithline.shipping import ship
+from kithline.llm.shipping import ship
 
 SEGMENTS = 7
 DISTANCE = 2

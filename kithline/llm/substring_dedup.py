@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from kithline.llm.passages import Anchors, remove_repeats
-from kithline.llm.words import Words
+from kithline.llm.passages import Anchors, by_key, remove_repeats
+from kithline.llm.words import Piece
 
 WINDOW = 50
 #: A perfect difference set: each residue but 0 is the difference of one pair.
@@ -28,9 +28,9 @@ def cover_anchors(window: int = WINDOW, period: int = PERIOD, cover: tuple[int,
     chosen = np.zeros(period, bool)
     chosen[list(cover)] = True
 
-    def anchors(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, key = words.window_hashes(hashes, window - period + 1)
-        use = chosen[(at - words.first[words.doc[at]]) % period] if len(at) else np.zeros(0, bool)
+    def anchors(piece: Piece, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, key = piece.words.window_hashes(hashes, window - period + 1)
+        use = chosen[piece.place(at) % period]
         return at[use], key[use]
 
     return anchors
@@ -39,4 +39,4 @@ def cover_anchors(window: int = WINDOW, period: int = PERIOD, cover: tuple[int,
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept); see remove_repeats for rows and edge cases."""
     period, cover = (PERIOD, COVER) if window >= PERIOD else (1, (0,))
-    return remove_repeats(docs, cover_anchors(window, period, cover), window, period - 1)
+    return remove_repeats(docs, cover_anchors(window, period, cover), by_key, window, period - 1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kithline.llm.frequent import LONGEST, frequent_pieces
-from kithline.shipping import ship
+from kithline.llm.shipping import ship
 
 TABLE_SIZE = 50_000
 CACHE_SIZE = 1_000_000

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kithline.llm.scratch import materialise
 from kithline.llm.words import _LOWER, Words, parts, text_bytes
-from kithline.shipping import ship
+from kithline.llm.shipping import ship
 
 ORDER = 6
 DISCOUNT = 0.75
