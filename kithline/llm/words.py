@@ -191,7 +191,7 @@ class Piece(NamedTuple):
         return self.rows[self.words.doc[word]]
 
 
-def pieces(column: pa.Array, overlap: int, size: int = 1 << 20) -> Iterator[Piece]:
+def pieces(column: pa.Array, overlap: int, size: int = 1 << 20, lower: bool = False) -> Iterator[Piece]:
     """The words of a column in pieces of about size bytes.
 
     A longer text comes in several pieces; each repeats the last `overlap` words of the one
@@ -200,14 +200,14 @@ def pieces(column: pa.Array, overlap: int, size: int = 1 << 20) -> Iterator[Piec
     for lo, hi, data, bounds in parts(column, size):
         if hi - lo > 1 or len(data) <= 2 * size:
             none = np.zeros(hi - lo, np.int64)
-            yield Piece(Words(data, bounds), np.arange(lo, hi), none, none)
+            yield Piece(Words(data, bounds, lower), np.arange(lo, hi), none, none)
             continue
         at, base, seen, step = 0, 0, 0, size
         while True:
             to = min(at + step, len(data))
             while to < len(data) and not _IS_SPACE[data[to]]:
                 to += 1
-            words = Words(data[at:to], np.array([0, to - at]))
+            words = Words(data[at:to], np.array([0, to - at]), lower)
             n = len(words.start)
             if to < len(data) and n <= 2 * overlap:  # very long words
                 step *= 2

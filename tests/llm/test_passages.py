@@ -91,7 +91,7 @@ def test_texts_longer_than_a_piece(spark, dedup, monkeypatch):
     shared = [f"s{rng.randrange(500)}" for _ in range(3000)]
     rows = [(1, " ".join(shared)), (2, " ".join(f"v{rng.randrange(900)}" for _ in range(500)) + " \n" + "  ".join(shared[700:2500])), (3, "q" * 3000 + " " + " ".join(shared)), (4, " ".join(shared)), (4, " ".join(shared[:100]))]
     rows += [(5, "z " * 4000), (6, "z " * 70)]
-    monkeypatch.setattr(pieces, "__defaults__", (512,))
+    monkeypatch.setattr(pieces, "__defaults__", (512, False))
     monkeypatch.setattr(passages, "HELD", 4096)
     # The tasks see neither change, so their functions are run here on the rows of a single task.
     columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])]
