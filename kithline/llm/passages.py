@@ -40,7 +40,7 @@ Anchors = Callable[[Piece, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Repeats = Callable[[DataFrame], DataFrame]
 
 ANCHOR_ROWS = "k long, salt long, doc_id long, pos long, known boolean, copy boolean"
-WINDOW_ROWS = "a long, b long, doc_id long, seq long, pos long, n long, sure boolean"
+WINDOW_ROWS = "a long, b long, doc_id long, seq long, pos long, n long, more array<long>, sure boolean"
 #: Bytes of text whose anchors or windows are held at once.
 HELD = 8 << 20
 
@@ -150,6 +150,15 @@ def _settled(found: list[tuple[np.ndarray, ...]], marked: list[tuple[int, int, i
     order, _, least, _ = _groups(d, a, b)
     known = d[order] > least
     go = order[~known]
+    # A window that recurs in one document is one row, with its further places and their numbers in a list.
+    new = np.ones(len(go), bool)
+    if len(go):
+        new[1:] = np.any([x[go[1:]] != x[go[:-1]] for x in (a, b, d, s)], axis=0)
+    first = np.flatnonzero(new)
+    spare = np.flatnonzero(~new)
+    further = np.stack([p[go[spare]], n[go[spare]]], 1).ravel()
+    lists = 2 * (np.diff(np.append(first, len(go))) - 1)
+    go = go[first]
     # Windows that are decided here, as runs of one document.
     here = order[known]
     here = here[np.lexsort((p[here], s[here], d[here]))]
@@ -165,14 +174,19 @@ def _settled(found: list[tuple[np.ndarray, ...]], marked: list[tuple[int, int, i
     mp = np.concatenate([p[mine], np.zeros(len(marked), np.int64)])
     mn = np.concatenate([length, np.array([m[2] for m in marked], np.int64)])
     spread = mix(ms ^ md.astype(_U))
+    ends = np.cumsum(np.concatenate([[0], lists, np.zeros(len(md), np.int64)])).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(ends), pa.array(further, pa.int64()), mask=pa.array(np.diff(ends) == 0))
     return pa.RecordBatch.from_arrays(
         [_signed(np.concatenate([a[go], spread])), _signed(np.concatenate([b[go], mix(mp.astype(_U) ^ spread)])), pa.array(np.concatenate([d[go], md])), _signed(np.concatenate([s[go], ms])),
-         pa.array(np.concatenate([p[go], mp])), pa.array(np.concatenate([n[go], mn])), pa.array(np.arange(len(go) + len(md)) >= len(go))],
-        ["a", "b", "doc_id", "seq", "pos", "n", "sure"])
+         pa.array(np.concatenate([p[go], mp])), pa.array(np.concatenate([n[go], mn])), more, pa.array(np.arange(len(go) + len(md)) >= len(go))],
+        ["a", "b", "doc_id", "seq", "pos", "n", "more", "sure"])
 
 
 def _window_rows(window: int, reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows as in WINDOW_ROWS: n windows from pos on.  sure: they are marked; else all have the hash (a, b)."""
+    """Rows as in WINDOW_ROWS: n windows from pos on, and more of them, as positions and numbers in turn.
+
+    sure: they are marked; else all have the hash (a, b).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -221,9 +235,10 @@ def _window_rows(window: int, reach: int) -> Callable[[Iterator[pa.RecordBatch]]
 
 def _without(text: bytes, marks: pa.StructArray, window: int, sequence: int) -> tuple[int, list[bytes]]:
     """(number of words, kept words in runs); marks of another text with the same doc_id are passed over."""
-    mine = marks.field("seq").to_numpy(zero_copy_only=False) == sequence
-    pos = marks.field("pos").to_numpy(zero_copy_only=False)[mine]
-    to = pos + marks.field("n").to_numpy(zero_copy_only=False)[mine] + window - 1
+    marks = marks.filter(pa.array(marks.field("seq").to_numpy(zero_copy_only=False) == sequence))
+    more = marks.field("more").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    pos = np.concatenate([marks.field("pos").to_numpy(zero_copy_only=False), more[:, 0]])
+    to = pos + np.concatenate([marks.field("n").to_numpy(zero_copy_only=False), more[:, 1]]) + window - 1
     steps, by = np.unique(np.concatenate([pos, to]), return_inverse=True)
     depth = np.cumsum(np.bincount(by, np.repeat([1, -1], len(pos)), len(steps)))
     n, kept = 0, []
@@ -289,7 +304,7 @@ def remove_repeats(docs: DataFrame, anchors: Anchors, repeats: Repeats, window:
     flags = found.groupBy("doc_id").agg(F.collect_list("pos").alias("flags"))
     windows = texts.join(flags, "doc_id").mapInArrow(_window_rows(window, reach), WINDOW_ROWS)
     windows = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b"))).filter("sure or doc_id > least")
-    marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "pos", "n")).alias("marks"))
+    marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "pos", "n", "more")).alias("marks"))
     marked = texts.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
     none = without.select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
     return marked.unionByName(none).mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept string")

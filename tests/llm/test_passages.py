@@ -111,8 +111,8 @@ def test_texts_longer_than_a_piece(spark, dedup, monkeypatch):
     got = pa.Table.from_batches(list(windows)).to_pandas()
     got["least"] = got.groupby(["a", "b"]).doc_id.transform("min")
     got = got[got.sure | (got.doc_id > got.least)]
-    marks = [[{"seq": r.seq, "pos": r.pos, "n": r.n} for r in got[got.doc_id == i].itertuples()] or None for i, _ in rows]
-    kind = pa.list_(pa.struct([("seq", pa.int64()), ("pos", pa.int64()), ("n", pa.int64())]))
+    marks = [[{"seq": r.seq, "pos": r.pos, "n": r.n, "more": None if r.more is None else r.more.tolist()} for r in got[got.doc_id == i].itertuples()] or None for i, _ in rows]
+    kind = pa.list_(pa.struct([("seq", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("more", pa.list_(pa.int64()))]))
     kept = passages._kept_rows(50)(iter([pa.RecordBatch.from_arrays([*columns, pa.array(marks, kind)], ["doc_id", "text", "marks"])]))
     assert sorted(map(tuple, (r.values() for b in kept for r in b.to_pylist())), key=repr) == brute(rows)
 
