@@ -6,17 +6,19 @@ own; the orders below use continuation counts that both classes share, so an exp
 that one class has rarely or never seen falls back to the same estimate in both and says
 little.  The logarithm of the ratio of a word's two likelihoods is summed over its bytes.
 
-A text is described by length-normalised ratios: the mean over all its words, and the
-largest mean over any 1, 4 and 16 consecutive words, as abuse is often a short part of a long
-text.  A logistic function of these, fitted on labelled rows that the models have not
-seen, gives the score.
-
-The logistic function is fitted on one fold with the models of the other training folds;
-the final models count all labelled rows of all folds but the held-out one.  The shared estimates
-cancel out in the ratio of unseen bytes, so scoring needs two tables: ratios of known
-six-byte sequences and of known contexts.  All of them are kept.  They are broadcast in
-blocks of about block_grams sequences, each with its contexts; a worker holds the first few
-and loads the others one after another, so that its memory does not grow with the tables.
+A text is described by length-normalised ratios: the mean over all its words, the largest
+mean over any 1, 4 and 16 consecutive words, as abuse is often a short part of a long text,
+the means of the 2, 3, 5 and 8 largest among its distinct words, as an expression of several
+words is rarely met by chance, the shares of words whose ratio is high, and the numbers of words
+by which these are judged.  A logistic function of these gives the score.
+
+The logistic function is fitted on the rows of all training folds, each scored by a model
+that has not counted its fold; the final model counts them all.  The shared estimates carry no
+label and are the same in all models.  They cancel out in the ratio of unseen bytes, so scoring
+needs two tables: ratios of known six-byte sequences and of known contexts.  All of them are
+kept.  They are broadcast in blocks of about block_grams sequences, each with its contexts; a
+worker holds the first few and loads the others one after another, so that its memory does
+not grow with the tables.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.scratch import materialise
-from kithline.llm.words import _LOWER, Words, parts, text_bytes
 from kithline.llm.shipping import ship
+from kithline.llm.words import _LOWER, parts, pieces, text_bytes
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -40,10 +42,14 @@ DISCOUNT = 0.75
 BLOCK_GRAMS = 1 << 20
 HELD_BLOCKS = 4
 WINDOWS = (1, 4, 16)
+LARGEST = (2, 3, 5, 8)
+HIGH = (1.0, 2.0)
+FEATURES = 1 + len(WINDOWS) + len(LARGEST) + len(HIGH) + 2
 FOLDS = 5
-#: Folds by crc32 of the doc_id: 0 is held out; 4 fits the logistic function before it joins the others in the models.
-HELD_OUT, CALIBRATION = 0, 4
-#: Used where the calibration fold has one class only: the largest word's ratio less this.
+#: Folds by crc32 of the doc_id: one is held out.
+HELD_OUT = 0
+LEARNED = tuple(f for f in range(FOLDS) if f != HELD_OUT)
+#: Used where a logistic function cannot be fitted: the largest word's ratio less this.
 PLAIN_BIAS = -8.0
 
 _BEGIN, _END = 2, 3
@@ -56,21 +62,19 @@ def fold(doc_id: str) -> Column:
 
 def _word_table(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, first word of each text, word's number among distinct words, begin and end of each distinct word)."""
-    data, bounds = text_bytes(column)
-    starts, ends, hashes, first = [], [], [], [np.zeros(1, np.int64)]
-    n = 0
-    for lo, _, part, own in parts(column):
-        w = Words(part, own, lower=True)
-        hashes.append(w.hashes())
-        starts.append(w.start + bounds[lo])
-        ends.append(w.end + bounds[lo])
-        first.append(w.first[1:] + n)
-        n += len(w.start)
+    data, _ = text_bytes(column)
+    starts, ends, hashes, count = [], [], [], np.zeros(len(column), np.int64)
+    for p in pieces(column, 0, lower=True):
+        hashes.append(p.words.hashes())
+        starts.append(p.words.start + p.offset)
+        ends.append(p.words.end + p.offset)
+        np.add.at(count, p.rows, np.diff(p.words.first))
+    first = np.concatenate([[0], np.cumsum(count)])
     if not hashes:
-        return data, first[0], np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        return data, first, np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     start, end = np.concatenate(starts), np.concatenate(ends)
     _, at, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    return data, np.concatenate(first), of, np.stack([start[at], end[at]], 1)
+    return data, first, of, np.stack([start[at], end[at]], 1)
 
 
 def _grams(data: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ def _small(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) ->
 
 
 class Block:
-    """Ratios of the known contexts of one block, and of the known sequences that begin with them."""
+    """Ratios of the known contexts of one block, and of the known sequences that begin with them; a column for each model."""
 
     def __init__(self, grams: np.ndarray, gram_ratio: np.ndarray, contexts: np.ndarray, context_ratio: np.ndarray):
         by = np.argsort(grams)
@@ -115,10 +119,10 @@ class Block:
         hit = known[at] == keys
         return hit, np.where(hit, value[at], 0)
 
-    def ratios(self, keys: np.ndarray) -> np.ndarray:
+    def ratios(self, keys: np.ndarray, model: int = 0) -> np.ndarray:
         """Of each sequence; 0 where this block does not have its context."""
-        hit, ratio = self._look_up(keys, self.grams, self.gram_ratio)
-        _, unseen = self._look_up(keys >> 8, self.contexts, self.context_ratio)
+        hit, ratio = self._look_up(keys, self.grams, self.gram_ratio[:, model])
+        _, unseen = self._look_up(keys >> 8, self.contexts, self.context_ratio[:, model])
         return np.where(hit, ratio, unseen)
 
 
@@ -127,12 +131,12 @@ class Model:
 
     def __init__(self, blocks: list[Broadcast]):
         self.blocks = blocks
-        self.weights = np.zeros(len(WINDOWS) + 1)
+        self.weights = np.zeros(FEATURES)
         self.weights[1], self.bias = 1.0, PLAIN_BIAS
         #: The score of every text if the labels do not tell two classes apart.
         self.constant: float | None = None
 
-    def word_ratios(self, data: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    def word_ratios(self, data: np.ndarray, spans: np.ndarray, model: int = 0) -> np.ndarray:
         out = np.zeros(len(spans))
         step = 50_000  # bounds the memory for batches of many distinct words
         for lo in range(0, len(spans), step):
@@ -140,19 +144,20 @@ class Model:
             distinct, of = np.unique(key, return_inverse=True)
             ratio = np.zeros(len(distinct))
             for i, block in enumerate(self.blocks):
-                ratio += block.value.ratios(distinct)
+                ratio += block.value.ratios(distinct, model)
                 if i >= HELD_BLOCKS:
                     block.__dict__.pop("_value", None)  # the worker reads it from its file again
             out[lo: lo + step] = np.bincount(word, ratio[of], len(spans[lo: lo + step]))
         return out
 
-    def features(self, column: pa.Array) -> np.ndarray:
+    def features(self, column: pa.Array, model: int = 0) -> np.ndarray:
         """A row for each text; a text without words has zeros."""
         data, first, of, spans = _word_table(column)
-        x = self.word_ratios(data, spans)[of]
+        ratio = self.word_ratios(data, spans, model)
+        x = ratio[of]
         total = np.concatenate([[0.0], np.cumsum(x)])
         n = np.diff(first)
-        out = np.zeros((len(n), len(WINDOWS) + 1))
+        out = np.zeros((len(n), FEATURES))
         some = np.flatnonzero(n)
         out[some, 0] = (total[first[1:]] - total[first[:-1]])[some] / n[some]
         for j, width in enumerate(WINDOWS, 1):
@@ -165,6 +170,23 @@ class Model:
             edges = np.stack([first[:-1][wide], first[1:][wide] - width + 1], 1).ravel()
             best = np.maximum.reduceat(np.append(mean, -np.inf), edges)[::2]
             out[wide, j] = best
+        if not len(spans):
+            return out
+        # The distinct words of each text, the largest ratio first.
+        pairs = np.unique(np.repeat(np.arange(len(n)), n) * len(spans) + of)
+        doc, y = pairs // len(spans), ratio[pairs % len(spans)]
+        order = np.lexsort((-y, doc))
+        y, cut = y[order], np.searchsorted(doc, np.arange(len(n) + 1))
+        total, kinds = np.concatenate([[0.0], np.cumsum(y)]), np.diff(cut)
+        j = 1 + len(WINDOWS)
+        for k in LARGEST:
+            out[:, j] = (total[np.minimum(cut[:-1] + k, cut[1:])] - total[cut[:-1]]) / k
+            j += 1
+        for high, size in zip(HIGH, (kinds, np.sqrt(kinds)), strict=True):
+            above = np.bincount(doc, y > high, len(n))
+            out[:, j] = np.where(kinds > 0, above / np.maximum(size, 1), 0)
+            j += 1
+        out[:, j], out[:, j + 1] = np.log1p(n), np.log1p(kinds)
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -174,18 +196,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows of these folds; only texts of these folds are shuffled."""
-    own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(fold("_id").isin(*folds))
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, fold) of labelled rows of the folds that are learned from; only their texts are shuffled."""
+    own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(fold("_id") != HELD_OUT)
     # A row that is labelled twice counts once, as toxic if any label says so.
     own = own.groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").filter(fold("doc_id").isin(*folds))
+    texts = docs.select("doc_id", "text").filter(fold("doc_id") != HELD_OUT)
     # Labels grow with the corpus, so the join is the same sort-merge join at every size.
-    return texts.join(own.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    return texts.join(own.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", fold("doc_id").cast("int").alias("fold"))
+
+
+#: Column names of the counts: class 1 or 0 in a fold.
+_COUNTS = [f"c{c}_{f}" for c in (1, 0) for f in LEARNED]
 
 
 def _gram_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, c1, c0, d1, d0): how often each class has each sequence, outside and inside the calibration fold."""
+    """(gram, c1_1 ...): how often each class has each sequence in each fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 0):
@@ -193,13 +219,11 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
             part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
             key, word = _grams(data, spans)
             distinct, at = np.unique(key, return_inverse=True)
-            counts = [np.bincount(at, np.bincount(of[part == c], minlength=len(spans))[word], len(distinct)).astype(np.int64) for c in (1, 0, 3, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], ["gram", *names])
+            counts = [np.bincount(at, np.bincount(of[part == 10 * c + f], minlength=len(spans))[word], len(distinct)).astype(np.int64) for c in (1, 0) for f in LEARNED]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], ["gram", *_COUNTS])
 
-    names = ["c1", "c0", "d1", "d0"]
-    part = F.col("toxic") + F.when(fold("doc_id") == CALIBRATION, 2).otherwise(0)
-    rows = labelled.select("text", part.cast("int").alias("part")).mapInArrow(run, "gram long, c1 long, c0 long, d1 long, d0 long")
-    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
+    rows = labelled.select("text", (F.col("toxic") * 10 + F.col("fold")).alias("part")).mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
 def _shared_estimates(grams: DataFrame) -> DataFrame:
@@ -208,7 +232,8 @@ def _shared_estimates(grams: DataFrame) -> DataFrame:
     for n in range(ORDER - 1, 0, -1):
         mask = F.lit((1 << (8 * n)) - 1)
         counts = counts.select(F.col("gram").bitwiseAND(mask).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-        levels.append((n, materialise(counts, f"continuations{n}")))
+        counts = materialise(counts, f"continuations{n}")
+        levels.append((n, counts))
     lower = None
     for n, own in reversed(levels):
         own = own.withColumn("context", F.shiftright("gram", 8))
@@ -219,75 +244,88 @@ def _shared_estimates(grams: DataFrame) -> DataFrame:
         else:
             row = row.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1))).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("base")), "short")
         p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("base")) / F.col("total")
-        lower = materialise(row.select("gram", p.alias("p")), f"estimates{n}")
+        lower = row.select("gram", p.alias("p"))
     return lower
 
 
+def _ratios(counts: DataFrame) -> DataFrame:
+    """(gram, context, r_0, r_1 ..., u_0, u_1 ...): ratios of sequences and of unseen bytes after their contexts.
+
+    Column 0 is of the model of all folds, column f of the model without fold f.
+    """
+    context = F.shiftright("gram", 8)
+    models = {m: [f for f in LEARNED if f != m] for m in (0, *LEARNED)}
+    classes = [(m, c) for m in models for c in (1, 0)]
+    grams = counts.select("gram", context.alias("context"), *(sum((F.col(f"c{c}_{f}") for f in models[m]), F.lit(0)).alias(f"n{c}_{m}") for m, c in classes))
+    contexts = grams.groupBy("context").agg(*(x for m, c in classes for x in (F.sum(f"n{c}_{m}").alias(f"total{c}_{m}"), F.count_if(F.col(f"n{c}_{m}") > 0).alias(f"types{c}_{m}"))))
+    row = grams.join(contexts, "context").withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (ORDER - 1))) - 1)))
+    row = row.join(_shared_estimates(counts).select(F.col("gram").alias("short"), "p"), "short")
+
+    def likelihood(m: int, c: int) -> Column:
+        own = (F.greatest(F.col(f"n{c}_{m}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types{c}_{m}") * F.col("p")) / F.col(f"total{c}_{m}")
+        return F.when(F.col(f"total{c}_{m}") > 0, own).otherwise(F.col("p"))
+
+    def rest(m: int, c: int) -> Column:
+        return F.when(F.col(f"total{c}_{m}") > 0, DISCOUNT * F.col(f"types{c}_{m}") / F.col(f"total{c}_{m}")).otherwise(F.lit(1.0))
+
+    return row.select("gram", "context", *(F.log(of(m, 1) / of(m, 0)).cast("float").alias(f"{k}_{m}") for k, of in (("r", likelihood), ("u", rest)) for m in models))
+
+
 def fit(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> Model:
     """The model of the labelled rows of all folds but HELD_OUT.
 
-    The logistic function is fitted on CALIBRATION with a model that has not counted it.
+    The logistic function is fitted on the same rows, each seen by a model that has not
+    counted its fold.
     """
     ship(docs.sparkSession)
-    counts = materialise(_gram_counts(_labelled(docs, labels, tuple(f for f in range(FOLDS) if f != HELD_OUT))), "grams")
-    n = {k: v or 0 for k, v in counts.agg(*(F.sum(c).alias(c) for c in ("c1", "c0", "d1", "d0"))).first().asDict().items()}
-    if not (n["c1"] + n["d1"] and n["c0"] + n["d0"]):
+    labelled = materialise(_labelled(docs, labels), "labelled")
+    counts = materialise(_gram_counts(labelled), "grams")
+    n = {k: v or 0 for k, v in counts.agg(*(F.sum(c).alias(c) for c in _COUNTS)).first().asDict().items()}
+    ones, zeros = ([n[f"c{c}_{f}"] for f in LEARNED] for c in (1, 0))
+    if not (any(ones) and any(zeros)):
         model = Model([])
-        model.constant = 1.0 if n["c1"] + n["d1"] else 0.0
+        model.constant = 1.0 if any(ones) else 0.0
         return model
-    model = Model(_blocks(counts.select("gram", (F.col("c1") + F.col("d1")).alias("c1"), (F.col("c0") + F.col("d0")).alias("c0")), block_grams))
-    if all(n.values()):
-        first = Model(_blocks(counts.filter("c1 + c0 > 0").select("gram", "c1", "c0"), block_grams))
-        _calibrate(first, _labelled(docs, labels, (CALIBRATION,)))
-        model.weights, model.bias = first.weights, first.bias
-        for block in first.blocks:
+    blocks = max(1, math.ceil(counts.count() / block_grams))
+    ratios = materialise(_ratios(counts).withColumn("block", F.pmod(F.xxhash64("context"), F.lit(blocks))), "ratios")
+    model = Model(_blocks(ratios, blocks, (0,)))
+    # Both classes must be left whichever fold is taken out.
+    if sum(map(bool, ones)) > 1 and sum(map(bool, zeros)) > 1:
+        apart = Model(_blocks(ratios, blocks, LEARNED))
+        _calibrate(model, apart, labelled)
+        for block in apart.blocks:
             block.unpersist()
     return model
 
 
-def _blocks(grams: DataFrame, block_grams: int) -> list[Broadcast]:
-    """The ratios of all sequences and contexts, dealt by context; a context has 256 sequences at most, so the blocks are even.
-
-    grams: gram, c1, c0.  Each block is collected on its own.
-    """
-    context = F.shiftright("gram", 8)
-    contexts = grams.groupBy(context.alias("context")).agg(*(f for c in (1, 0) for f in (F.sum(f"c{c}").alias(f"total{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"types{c}"))))
-    row = grams.withColumn("context", context).join(contexts, "context").withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (ORDER - 1))) - 1)))
-    row = row.join(_shared_estimates(grams).select(F.col("gram").alias("short"), "p"), "short")
-
-    def likelihood(c: int) -> Column:
-        own = (F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types{c}") * F.col("p")) / F.col(f"total{c}")
-        return F.when(F.col(f"total{c}") > 0, own).otherwise(F.col("p"))
-
-    def rest(c: int) -> Column:
-        return F.when(F.col(f"total{c}") > 0, DISCOUNT * F.col(f"types{c}") / F.col(f"total{c}")).otherwise(F.lit(1.0))
-
-    blocks = max(1, math.ceil(grams.count() / block_grams))
-    ratios = row.select("gram", F.log(likelihood(1) / likelihood(0)).cast("float").alias("ratio"), "context", F.log(rest(1) / rest(0)).cast("float").alias("unseen"))
-    ratios = materialise(ratios.withColumn("block", F.pmod(F.xxhash64("context"), F.lit(blocks))), "ratios")
+def _blocks(ratios: DataFrame, blocks: int, models: tuple[int, ...]) -> list[Broadcast]:
+    """The ratios of these models, dealt by context; a context has 256 sequences at most, so the blocks are even.  Each is collected on its own."""
     out = []
     for b in range(blocks):
-        own = ratios.filter(F.col("block") == b).drop("block").toArrow()
+        own = ratios.filter(F.col("block") == b).select("gram", "context", *(f"{k}_{m}" for k in "ru" for m in models)).toArrow()
+        of = lambda k, own=own: np.stack([own.column(f"{k}_{m}").to_numpy() for m in models], 1)
         contexts, at = np.unique(own.column("context").to_numpy(), return_index=True)
-        block = Block(own.column("gram").to_numpy(), own.column("ratio").to_numpy(), contexts, own.column("unseen").to_numpy()[at])
-        out.append(grams.sparkSession.sparkContext.broadcast(block))
+        out.append(ratios.sparkSession.sparkContext.broadcast(Block(own.column("gram").to_numpy(), of("r"), contexts, of("u")[at])))
     return out
 
 
-def _calibrate(model: Model, labelled: DataFrame) -> None:
+def _calibrate(model: Model, apart: Model, labelled: DataFrame) -> None:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 0):
-            x = model.features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.float64())], ["x", "label"])
+            folds = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, f in enumerate(LEARNED):
+                own = batch.filter(pa.array(folds == f))
+                x = apart.features(own.column(0), i)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), own.column(1).cast(pa.float64())], ["x", "label"])
 
-    rows = materialise(labelled.select("text", "toxic").mapInArrow(run, "x array<double>, label double"), "calibration")
+    rows = materialise(labelled.select("text", "toxic", "fold").mapInArrow(run, "x array<double>, label double"), "calibration")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         return
-    fitted = LogisticRegression(regParam=1e-4, maxIter=50).fit(rows.select(array_to_vector("x").alias("features"), "label"))
+    fitted = LogisticRegression(regParam=1e-4, maxIter=100).fit(rows.select(array_to_vector("x").alias("features"), "label"))
     model.weights, model.bias = fitted.coefficients.toArray(), float(fitted.intercept)
 
 
@@ -312,7 +350,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """The rows of docs whose score is below one half, with all their columns; texts are not shuffled for it."""
+    """The rows of docs whose score is below one half, with all their columns; texts are not shuffled for it.
+
+    docs needs doc_id and text; see score_toxicity.  Null and empty texts have the score of a
+    text without words, repeated rows are scored each, a text of any length is scored whole, and
+    columns of any other name are passed on.  No rows give no rows.
+    """
     model = fit(docs, labels, block_grams)
     at = docs.columns.index("text")
 

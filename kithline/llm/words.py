@@ -181,6 +181,8 @@ class Piece(NamedTuple):
     rows: np.ndarray
     base: np.ndarray
     seen: np.ndarray
+    #: Where the piece begins in the column's bytes.
+    offset: int
 
     def place(self, word: np.ndarray) -> np.ndarray:
         """The places of words in their texts."""
@@ -197,10 +199,12 @@ def pieces(column: pa.Array, overlap: int, size: int = 1 << 20, lower: bool = Fa
     A longer text comes in several pieces; each repeats the last `overlap` words of the one
     before, so every overlap + 1 consecutive words are together in exactly one of them.
     """
+    offset = 0
     for lo, hi, data, bounds in parts(column, size):
+        begin, offset = offset, offset + len(data)
         if hi - lo > 1 or len(data) <= 2 * size:
             none = np.zeros(hi - lo, np.int64)
-            yield Piece(Words(data, bounds, lower), np.arange(lo, hi), none, none)
+            yield Piece(Words(data, bounds, lower), np.arange(lo, hi), none, none, begin)
             continue
         at, base, seen, step = 0, 0, 0, size
         while True:
@@ -212,7 +216,7 @@ def pieces(column: pa.Array, overlap: int, size: int = 1 << 20, lower: bool = Fa
             if to < len(data) and n <= 2 * overlap:  # very long words
                 step *= 2
                 continue
-            yield Piece(words, np.array([lo]), np.array([base]), np.array([seen]))
+            yield Piece(words, np.array([lo]), np.array([base]), np.array([seen]), begin + at)
             if to == len(data):
                 break
             seen, step = overlap, size
