@@ -68,3 +68,43 @@ def format_fragments(fragments: Column, most: int = 2, longest: int = 300) -> Co
 def pair_prompt(entity_type: Column, name_a: Column, name_b: Column, props_a: Column, props_b: Column, fragments_a: Column, fragments_b: Column) -> Column:
     side = lambda label, n, p, f: F.concat_ws("\n", F.concat(F.lit(f"Entity {label}: "), n), format_attributes(p), F.lit("Sources:"), format_fragments(f))
     return F.concat_ws("\n\n", F.concat(F.lit("Do these two entries name the same "), entity_type, F.lit("? Answer same, different or unknown.")), side("A", name_a, props_a, fragments_a), side("B", name_b, props_b, fragments_b))
+
+
+#: What a judge is told to look at first, by type.
+TYPE_RULES = {
+    "equipment": "Compare designations and hull numbers first; different ones are different items.",
+    "person": "Compare full names, organisations and posts; an equal name alone is not enough.",
+    "location": "Compare coordinates and regions; different places are always different.",
+    "organization": "Compare official names and codes; a unit and its parent are different.",
+    "activity": "Compare names, regions and dates; another time means another activity.",
+}
+
+
+def candidates_prompt(entity_type: Column, name: Column, props: Column, fragments: Column, excerpt: Column, candidates: Column, examples: Column | None = None) -> Column:
+    """The question which of the candidates, an array of (vid, name, props, fragments), a new entity is.
+
+    Without fragments the article's excerpt stands for them.
+    """
+    rules = F.create_map(*(F.lit(x) for kv in TYPE_RULES.items() for x in kv))
+    rule = F.coalesce(F.try_element_at(rules, entity_type), F.lit("Compare all attributes."))
+    sources = F.when(F.size(fragments) > 0, format_fragments(fragments)).otherwise(F.concat(F.lit("- "), F.substring(F.coalesce(excerpt, F.lit("")), 1, 300)))
+    each = F.transform(candidates, lambda c: F.concat_ws("\n", F.concat(F.lit("["), c["vid"], F.lit("] "), c["name"]), format_attributes(c["props"]),
+                                                         F.when(F.size(c["fragments"]) > 0, F.concat(F.lit("Source: "), F.substring(F.get(c["fragments"], F.lit(0)), 1, 200)))))
+    new = F.concat_ws("\n", F.concat(F.lit("New "), entity_type, F.lit(": "), name), format_attributes(props), F.lit("Sources:"), sources)
+    parts = [F.concat(F.lit("Which candidate is the new entity, if any? "), rule), *([examples] if examples is not None else []), new, F.concat(F.lit("Candidates:\n"), F.array_join(each, "\n")),
+             F.lit('Answer as JSON: {"match_vid": id or null, "confidence": 0 to 1, "reason": text}.')]
+    return F.concat_ws("\n\n", *parts)
+
+
+def batch_prompt(pairs: Column) -> Column:
+    """The question about up to ten pairs, an array of (vid_a, name_a, vid_b, name_b, similarity), answered by pair_0, pair_1, ..."""
+    line = lambda p, i: F.concat(F.lit("pair_"), i.cast("string"), F.lit(": ["), p["vid_a"], F.lit("] "), p["name_a"], F.lit(" / ["), p["vid_b"], F.lit("] "), p["name_b"], F.lit(" (similarity "), F.format_number(p["similarity"], 2), F.lit(")"))
+    return F.concat(F.lit("For each pair: merge or disambiguate?\n"), F.array_join(F.transform(pairs, line), "\n"))
+
+
+ANSWER = "struct<action:string,keep_vid:string,reason:string>"
+
+
+def batch_answers(text: Column) -> Column:
+    """The map of a batch's answers by pair_i; empty where the reply is no JSON object."""
+    return F.coalesce(F.from_json(_bare(text), f"map<string,{ANSWER}>"), F.from_json(F.lit("{}"), f"map<string,{ANSWER}>"))

@@ -39,7 +39,8 @@ def contained_pairs(entities: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs of which one name is contained in the other, without comparing all pairs.
 
     A name of at least gram characters is looked up by its rarest gram among the grams of
-    all names; the few shorter names are compared with all names, as they can be anywhere.
+    all names, a shorter one by itself among the grams of its length.  An empty name is
+    contained in every name of its type.
     """
     names = entities.select("entity_type", "vid", normal(F.col("name")).alias("n"))
     long = names.filter(F.length("n") >= gram)
@@ -47,8 +48,14 @@ def contained_pairs(entities: DataFrame, gram: int = 3) -> DataFrame:
     sizes = grams.groupBy("entity_type", "g").agg(F.count("*").alias("size"))
     rarest = grams.join(sizes, ["entity_type", "g"]).groupBy("entity_type", "vid", "n").agg(F.min_by("g", F.struct("size", "g")).alias("g"))
     inner = rarest.select("entity_type", "g", F.col("vid").alias("x"), F.col("n").alias("nx")).join(grams.select("entity_type", "g", F.col("vid").alias("y"), F.col("n").alias("ny")), ["entity_type", "g"])
-    short = names.filter(F.length("n") < gram).select("entity_type", F.col("vid").alias("x"), F.col("n").alias("nx"))
-    rest = short.join(names.select("entity_type", F.col("vid").alias("y"), F.col("n").alias("ny")), "entity_type")
+    def cut(size: int) -> DataFrame:
+        own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - size + 1), lambda i: F.substring(F.col("n"), i, F.lit(size))))
+        return names.filter(F.length("n") >= size).select("entity_type", F.explode(own).alias("g"), F.col("vid").alias("y"), F.col("n").alias("ny"))
+
+    rest = names.filter(F.length("n") == 0).select("entity_type", F.col("vid").alias("x"), F.col("n").alias("nx")).join(names.select("entity_type", F.col("vid").alias("y"), F.col("n").alias("ny")), "entity_type")
+    for size in range(1, gram):
+        short = names.filter(F.length("n") == size).select("entity_type", F.col("n").alias("g"), F.col("vid").alias("x"), F.col("n").alias("nx"))
+        rest = rest.unionByName(short.join(cut(size), ["entity_type", "g"]).select(rest.columns))
     hit = inner.select("entity_type", "x", "y", "nx", "ny").unionByName(rest).filter((F.col("x") != F.col("y")) & F.contains("ny", "nx"))
     return hit.select("entity_type", F.least("x", "y").alias("vid_a"), F.greatest("x", "y").alias("vid_b")).distinct()
 

@@ -6,7 +6,7 @@ with the suffixes _a and _b.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.functions.text import fold_name, jaccard, ratio, uri_tokens
@@ -18,15 +18,17 @@ def name_tokens(label: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(fold_name(label), r"(?U)\s+"), ""))
 
 
-def signals(pairs: DataFrame, local_names: bool = True) -> DataFrame:
-    """With name_similarity, attr_overlap, degree_similarity, uri_similarity and l1_score."""
+def signals(pairs: DataFrame, local_names: bool = True, uris: bool = True) -> DataFrame:
+    """With name_similarity, attr_overlap, degree_similarity, uri_similarity and l1_score; uris: whether the URIs count."""
     na, nb = fold_name(F.col("label_a")), fold_name(F.col("label_b"))
     ta, tb = name_tokens(F.col("label_a")), name_tokens(F.col("label_b"))
     name = F.when((na == nb) & (F.size(ta) > 0), F.lit(1.0)).otherwise(jaccard(ta, tb))
     local = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.lower(F.element_at(F.split(x, "/"), -1))))
     attr = jaccard(local(F.col("attributes_a")), local(F.col("attributes_b"))) if local_names else jaccard(F.col("attributes_a"), F.col("attributes_b"))
     out = pairs.withColumns({"name_similarity": name, "attr_overlap": attr, "degree_similarity": ratio(F.col("degree_a"), F.col("degree_b")), "uri_similarity": jaccard(uri_tokens(F.col("uri_a")), uri_tokens(F.col("uri_b")))})
-    score = F.col("name_similarity") * WEIGHTS["name"] + F.col("attr_overlap") * WEIGHTS["attr"] + F.col("degree_similarity") * WEIGHTS["degree"] + F.col("uri_similarity") * WEIGHTS["uri"]
+    score = F.col("name_similarity") * WEIGHTS["name"] + F.col("attr_overlap") * WEIGHTS["attr"] + F.col("degree_similarity") * WEIGHTS["degree"]
+    if uris:
+        score = score + F.col("uri_similarity") * WEIGHTS["uri"]
     alone = (F.col("attr_overlap") == 0) & ((F.col("degree_a") > 5) | (F.col("degree_b") > 5))
     return out.withColumn("l1_score", F.when(alone, score * 0.7).otherwise(score))
 
@@ -58,13 +60,48 @@ def negatives(left: DataFrame, right: DataFrame, gold: DataFrame, most: int = 20
     Each left entity meets one right entity of its block, chosen by a hash, so a block
     of any size gives as many pairs as it has left entities.
     """
+    part = 1024  # a block of more entities is dealt into parts of about so many
     keyed = right.select(F.col("uri").alias("uri_b"), block_key(F.col("label")).alias("k")).filter("k <> ''")
-    from pyspark.sql import Window
-
-    numbered = keyed.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("uri_b")) - 1)
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"))
-    own = left.select(F.col("uri").alias("uri_a"), block_key(F.col("label")).alias("k")).join(sizes, "k").withColumn("i", F.pmod(F.xxhash64("uri_a", F.lit(seed)), F.col("n")))
-    pairs = own.join(numbered, ["k", "i"]).select("uri_a", "uri_b")
+    parts = keyed.groupBy("k").agg(F.ceil(F.count("*") / part).alias("parts"))
+    dealt = keyed.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("uri_b"), F.col("parts")))
+    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("k", "part").orderBy("uri_b")) - 1).select("k", "part", "i", "uri_b")
+    sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("n"))
+    own = left.select(F.col("uri").alias("uri_a"), block_key(F.col("label")).alias("k")).join(parts, "k").withColumn("part", F.pmod(F.xxhash64("uri_a", F.lit(seed + 1)), F.col("parts")))
+    own = own.join(sizes, ["k", "part"]).withColumn("i", F.pmod(F.xxhash64("uri_a", F.lit(seed)), F.col("n")))
+    pairs = own.join(numbered, ["k", "part", "i"]).select("uri_a", "uri_b")
     ga = gold.select("uri_a", "uri_b")
     both = ga.unionByName(ga.select(F.col("uri_b").alias("uri_a"), F.col("uri_a").alias("uri_b")))
     return pairs.join(both, ["uri_a", "uri_b"], "left_anti").orderBy(F.xxhash64("uri_a", "uri_b", F.lit(seed)), "uri_a").limit(most)
+
+
+#: The features of the learned aligner; the fixed score is left out, as it is made of them.
+ALIGNER = ("name_similarity", "attr_overlap", "degree_similarity", "uri_similarity", "name_exact", "name_contains", "attr_count_diff", "degree_diff", "attr_count_a", "attr_count_b", "shared_attr_ratio", "degree_a", "degree_b")
+
+
+def labelled_pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(uri_a, uri_b, label)"""
+    both = [d.select("uri_a", "uri_b", F.lit(y).alias("label")) for d, y in ((positives, 1), (negatives, 0))]
+    return both[0].unionByName(both[1])
+
+
+def escalated_confusion(scored: DataFrame, *by: str, merge: float = 0.5, reject: float = 0.3) -> DataFrame:
+    """Counts of the decisions by score, and accuracy and interception; scored: score, label."""
+    d, y = decide(F.col("score"), merge, reject), F.col("label")
+    n = scored.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if((d == k) & (y == v)).alias(c) for c, k, v in (("tp", "merge", 1), ("fp", "merge", 0), ("tn", "reject", 0), ("fn", "reject", 1))), F.count_if(d == "escalate").alias("escalated"))
+    decided = F.col("n") - F.col("escalated")
+    return n.withColumn("accuracy", F.round((F.col("tp") + F.col("tn")) / F.greatest(decided, F.lit(1)), 4)).withColumn("interception", F.round(decided / F.col("n"), 4))
+
+
+def cross_validated(pairs: DataFrame, k: int = 5, key: str = "pair_id") -> DataFrame:
+    """(fold, n, tp, ..., accuracy, interception): logistic aligners of the other folds, neither scaled nor balanced.
+
+    pairs: as for features, with key and label.
+    """
+    from kithline.operators.learning import dealt, fit_logistic, out_of_fold
+    from pyspark.ml.functions import array_to_vector
+
+    x = F.array(*(F.col(c).cast("double") for c in ALIGNER))
+    rows = features(pairs).select(F.col(key).alias("pair_id"), "label", array_to_vector(x).alias("z"))
+    rows = dealt(rows, "fold", k)
+    plain = lambda train: fit_logistic(train.withColumn("w", F.lit(1.0)), float(train.count()))
+    return escalated_confusion(out_of_fold(rows, k, plain).withColumnRenamed("p", "score"), "fold")

@@ -1,8 +1,7 @@
 """Metrics of the cascade, sweeps over thresholds, and their choice.
 
 predictions: pair_id, label (0/1), prediction (1 merge, 0 reject, -1 escalated).
-probabilities: pair_id, label, p.  A grid is a small table of thresholds; each pair is
-counted once for each of its rows, in one pass with partial aggregation.
+probabilities: pair_id, label, p.  A grid is a small table of thresholds.
 """
 
 from __future__ import annotations
@@ -85,19 +84,34 @@ def routed(p: Column, merge: Column, reject: Column) -> Column:
     return F.when(p <= reject, 0).when(p >= merge, 1).otherwise(-1)
 
 
+def _below(p: Column, thresholds: list[float], strict: bool) -> Column:
+    """How many of the sorted thresholds are below p, or equal to it unless strict."""
+    own = F.array(*map(F.lit, thresholds))
+    return F.size(F.filter(own, lambda t: (p > t) if strict else (p >= t)))
+
+
 def sweep(probabilities: DataFrame, thresholds: DataFrame, verdicts: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """The cascade's counts and rates at each row of the grid, which is broadcast: it has a few hundred rows."""
+    """The cascade's counts and rates at each row of the grid, a table of a few hundred rows at most.
+
+    Pairs are counted once, by how many of the grid's thresholds their probability reaches; only
+    these counts, whose number the grid bounds, meet the grid.
+    """
     rows = probabilities
     if verdicts is not None:
         rows = rows.join(verdicts.select("pair_id", "verdict"), "pair_id", "left")
         judged = F.when(F.col("verdict") == "same", 1).when(F.col("verdict") == "different", 0).otherwise(-1)
     else:
         judged = F.lit(-1)
-    # Pairs with equal probability, label and verdict count the same way, so they are counted first.
-    rows = rows.select("p", "label", judged.alias("judged")).groupBy("p", "label", "judged").agg(F.count("*").alias("w"))
-    p, y, j, w = routed(F.col("p"), F.col("merge_t"), F.col("reject_t")), F.col("label"), F.col("judged"), F.col("w")
+    cells = thresholds.select("merge_t", "reject_t").distinct().collect()
+    ms, rs = sorted({c.merge_t for c in cells}), sorted({c.reject_t for c in cells})
+    # p >= the i-th merge threshold exactly if i < m, and p <= the i-th reject threshold exactly if i >= r.
+    m, r = _below(F.col("p"), ms, False), F.when(F.col("p").isNull(), len(rs)).otherwise(_below(F.col("p"), rs, True))
+    counted = rows.select(m.alias("m"), r.alias("r"), "label", judged.alias("judged")).groupBy("m", "r", "label", "judged").agg(F.count("*").alias("w"))
+    place = lambda own, c: F.array_position(F.array(*map(F.lit, own)), F.col(c)) - 1
+    grid_rows = thresholds.select("ordinal", "merge_t", "reject_t", place(ms, "merge_t").alias("im"), place(rs, "reject_t").alias("ir"))
+    p, y, j, w = F.when(F.col("ir") >= F.col("r"), 0).when(F.col("im") < F.col("m"), 1).otherwise(-1), F.col("label"), F.col("judged"), F.col("w")
     of = lambda test: F.sum(F.when(test, w).otherwise(0))
-    at = rows.crossJoin(F.broadcast(thresholds)).groupBy("ordinal", "merge_t", "reject_t").agg(
+    at = counted.crossJoin(F.broadcast(grid_rows)).groupBy("ordinal", "merge_t", "reject_t").agg(
         F.sum(w).alias("total"), of(p >= 0).alias("l1_decided"), of((p >= 0) & (p == y)).alias("l1_correct"), of(p < 0).alias("l2_used"), of((p < 0) & (j == y)).alias("l2_correct"),
         of((p < 0) & (j == -1)).alias("unresolved"), of(p == 1).alias("merges"), of((p == 1) & (y == 1)).alias("true_merges"))
     return _cascade_rates(at, digits)
@@ -189,11 +203,11 @@ def signal_gaps(scored: DataFrame, signals: list[str]) -> DataFrame:
 
 def merge_threshold_sweep(scored: DataFrame, thresholds: list[float], l2_accuracy: float, reject: float = 0.3) -> DataFrame:
     """Accuracy, interception and estimated pipeline at each merge threshold; scored: label, score."""
-    spark = scored.sparkSession
-    ths = spark.createDataFrame([(t,) for t in thresholds], "threshold double")
-    p = F.when(F.col("score") >= F.col("threshold"), 1).when(F.col("score") < reject, 0).otherwise(-1)
+    ths = scored.sparkSession.createDataFrame([(t, i) for i, t in enumerate(sorted(thresholds))], "threshold double, i int")
+    counted = scored.groupBy(_below(F.col("score"), sorted(thresholds), False).alias("m"), (F.col("score") < reject).alias("low"), "label").agg(F.count("*").alias("w"))
+    p = F.when(F.col("i") < F.col("m"), 1).when(F.col("low"), 0).otherwise(-1)
     y = F.col("label")
-    n = scored.groupBy("score", "label").agg(F.count("*").alias("w")).crossJoin(F.broadcast(ths)).groupBy("threshold").agg(
+    n = counted.crossJoin(F.broadcast(ths)).groupBy("threshold").agg(
         F.sum("w").alias("total"), *(F.sum(F.when(t, F.col("w")).otherwise(0)).alias(k) for k, t in (("decided", p >= 0), ("correct", (p >= 0) & (p == y)), ("merges", p == 1), ("true_merges", (p == 1) & (y == 1)))))
     acc = F.when(F.col("decided") > 0, F.col("correct") / F.col("decided")).otherwise(F.lit(0.0))
     inter = F.col("decided") / F.col("total")
@@ -209,3 +223,29 @@ def hardest(scored: DataFrame, per_label: int, low: float, high: float) -> DataF
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash: the same rows each time."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def adaptive_pipeline(swept: DataFrame, l1_accuracy: float, l2_accuracy: float) -> DataFrame:
+    """With adaptive_pct: the pipeline's estimate with the accuracy of learned decisions in place of the fixed ones'."""
+    inter = F.col("interception_pct") / 100
+    return swept.withColumn("adaptive_pct", F.round((l1_accuracy * inter + l2_accuracy * (1 - inter)) * 100, 2))
+
+
+def sweep_matrix(swept: DataFrame, value: str) -> DataFrame:
+    """A row for each merge threshold and a column for each reject threshold of the grid, in order."""
+    columns = [r[0] for r in swept.select("reject_t").distinct().orderBy("reject_t").collect()]
+    wide = swept.groupBy("merge_t").pivot("reject_t", columns).agg(F.first(value))
+    return wide.select("merge_t", *(F.col(f"`{c}`").alias(f"r_{c:g}".replace(".", "_").replace("-", "m")) for c in columns)).orderBy("merge_t")
+
+
+def with_labels(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """The pairs that the ground truth (pair_id, label) knows, with their labels."""
+    return pairs.drop("label").join(truth.select("pair_id", "label"), "pair_id")
+
+
+def joined_votes(a: DataFrame, b: DataFrame, human: DataFrame | None = None) -> DataFrame:
+    """(pair_id, a, b, c): labels of two annotators on common pairs, and of a person (pair_id, label), -1 where there is none."""
+    both = a.select("pair_id", F.col("label").alias("a")).join(b.select("pair_id", F.col("label").alias("b")), "pair_id")
+    if human is None:
+        return both.withColumn("c", F.lit(-1))
+    return both.join(human.select("pair_id", F.col("label").alias("c")), "pair_id", "left").withColumn("c", F.coalesce("c", F.lit(-1)))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kithline.operators.evaluation import best_production, grid, steps, sweep
+from kithline.operators.evaluation import best_legacy, best_pipeline, best_production, cascade_report, grid, routed, steps, sweep
+from kithline.operators.listing import numbered
+from kithline.scratch import materialise
 
 MIN_ROWS, FLOOR, FOLDS = 50, 0.75, 5
 MERGE_GRID, REJECT_GRID = (0.50, 0.96, 0.05), (0.05, 0.46, 0.05)
@@ -45,10 +48,14 @@ def fit_logistic(rows: DataFrame, total_weight: float, c: float = 1.0):
     return LogisticRegression(featuresCol="z", labelCol="label", weightCol="w", regParam=1.0 / (c * total_weight), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(rows)
 
 
+def dealt(rows: DataFrame, name: str, k: int, key: str = "pair_id", within: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """With name: 0 to k - 1 in turn, in the order of a seeded hash, within groups."""
+    return numbered(rows, key, *within, name=name, seed=seed).withColumn(name, (F.col(name) % k).cast("int"))
+
+
 def folds(rows: DataFrame, key: str = "pair_id", k: int = FOLDS, seed: int = 42) -> DataFrame:
     """With fold: stratified by label, dealt in the order of a seeded hash."""
-    r = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.withColumn("fold", r % k)
+    return dealt(rows, "fold", k, key, ("label",), seed)
 
 
 def out_of_fold(rows: DataFrame, k: int = FOLDS, learner=None) -> DataFrame:
@@ -85,6 +92,19 @@ class Scorer:
         arrays = {"names": self.names, "mean": self.mean, "scale": self.scale, "weights": self.weights}
         return F.struct(*(F.array(*map(F.lit, v)).alias(k) for k, v in arrays.items()), *(F.lit(float(getattr(self, k))).alias(k) for k in ("intercept", "theta_merge", "theta_reject")))
 
+    def save(self, spark: SparkSession, path: str, version: str) -> None:
+        """Append the model and its metadata under a version's name to the table at path."""
+        row = (version, self.entity_type, json.dumps(asdict(self)))
+        spark.createDataFrame([row], "version string, entity_type string, model string").write.mode("append").json(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, prefix: str) -> Scorer | None:
+        """The model with the lexicographically last version of the prefix, if there is one."""
+        from kithline.sources.files import newest_version
+
+        found = newest_version(spark.read.schema("version string, entity_type string, model string").json(path), prefix).first()
+        return None if found is None else Scorer(**json.loads(found.model))
+
     def strongest(self, n: int = 5) -> list[tuple[str, float]]:
         return sorted(zip(self.names, self.weights, strict=True), key=lambda x: (-abs(x[1]), x[0]))[:n]
 
@@ -133,5 +153,78 @@ def must_retrain(new: int, total: int, days: float, force: bool = False, every:
 
 
 def learning_curve(rows: DataFrame, rounds: int = 5, key: str = "pair_id", seed: int = 42) -> DataFrame:
-    """With round: rows of rounds below k are what a model of round k may learn from."""
-    return rows.withColumn("round", F.floor(F.percent_rank().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)) * rounds).cast("int"))
+    """With round: rows of rounds below k are what a model of round k may learn from; the rounds have equally many rows."""
+    total = rows.agg(F.count("*").alias("_total"))
+    placed = numbered(rows, key, name="round", seed=seed).crossJoin(F.broadcast(total))
+    return placed.withColumn("round", F.floor(F.col("round") * rounds / F.col("_total")).cast("int")).drop("_total")
+
+
+def new_feedback(decisions: DataFrame, counted_before: int) -> DataFrame:
+    """One row, n: decisions by people since the last training, which had counted so many."""
+    by_hand = F.coalesce(F.col("notes"), F.lit("")).startswith("manual") | F.col("resolved_by").isNotNull()
+    own = decisions.agg(F.count_if(F.col("status").isin("merged", "disambig", "new_entity") & by_hand).alias("n"))
+    return own.select(F.greatest(F.col("n") - counted_before, F.lit(0)).alias("n"))
+
+
+def feedback_source(verdict: Column) -> Column:
+    return F.when(verdict == "l2_uncertain", "human_review").otherwise("l2_clear")
+
+
+def few_shot_text(examples: DataFrame, by: str = "entity_type") -> DataFrame:
+    """(by, text): the lines that show a judge past decisions; examples: by, name_a, name_b, label (1 the same), reason, ordinal."""
+    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" ("), F.col("reason"), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit('  "'), "name_a", F.lit('" vs "'), "name_b", F.lit('" '), F.when(F.col("label") == 1, "→ SAME").otherwise("→ DIFFERENT"), reason)
+    lines = examples.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("x"))
+    return lines.select(by, F.concat(F.lit("Reference examples (from expert human judgments):\n"), F.array_join("x.line", "\n"), F.lit("\n")).alias("text"))
+
+
+#: Names of the ways to choose thresholds that cross_validate compares.
+MODES = ("legacy", "aligned", "max_pipeline", "match_fixed")
+
+
+def _chosen(train: DataFrame, verdicts: DataFrame, target: float) -> dict[str, tuple[float, float]]:
+    """The thresholds of each mode, chosen on probabilities of the training rows."""
+    spark = train.sparkSession
+    legacy = grid(spark, steps(0.55, 0.95, 0.05), steps(0.05, 0.45, 0.05))
+    fine = steps(0.05, 0.96, 0.05, 2)
+    swept = materialise(sweep(train, grid(spark, fine, fine, below=True), verdicts, 3), "sweep")
+    found = {"legacy": best_legacy(sweep(train, legacy)), "max_pipeline": best_pipeline(swept, min_accuracy=75), "match_fixed": best_pipeline(swept, target, min_accuracy=75)}
+    picked = {k: d.first() for k, d in found.items()}
+    return {"aligned": (0.8, 0.3)} | {k: (r.merge_t, r.reject_t) if r and r.merge_t is not None else (0.8, 0.3) for k, r in picked.items()}
+
+
+def cross_validate(pairs: DataFrame, verdicts: DataFrame, target: float, by_type: bool = False, k: int = FOLDS, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(mode, ...cascade's counts and rates): out-of-fold decisions under thresholds chosen on the training folds.
+
+    pairs: pair_id, label, entity_type, features; verdicts: pair_id, verdict; target: the strict
+    accuracy that mode match_fixed has to reach.  by_type: each type has a model of its own
+    where its training rows are min_rows at least, else that of all types.
+    """
+    names = feature_names(pairs)
+    scaled, _, _ = standardise(matrix(pairs, names), len(names))
+    rows = materialise(folds(scaled.select("pair_id", "label", "entity_type", "z"), k=k), "folds")
+    sizes = {(r.fold, r.entity_type): r.n for r in rows.groupBy("fold", "entity_type").agg(F.count("*").alias("n")).collect()}
+    types = sorted({t for _, t in sizes}) if by_type else [None]
+    out = None
+    for i in range(k):
+        train, test = rows.filter(F.col("fold") != i), rows.filter(F.col("fold") == i)
+        groups = [t for t in types if t is not None and sum(n for (f, u), n in sizes.items() if f != i and u == t) >= min_rows]
+        for t in [None, *groups]:
+            own = train if t is None else train.filter(F.col("entity_type") == t)
+            mine = test.filter(~F.col("entity_type").isin(*groups)) if t is None and groups else test if t is None else test.filter(F.col("entity_type") == t)
+            if own.select("label").distinct().count() < 2:
+                continue
+            model = fit_logistic(balanced(own), float(own.count()))
+            seen = lambda d, model=model: model.transform(d).select("pair_id", "label", vector_to_array("probability")[1].alias("p"))
+            thresholds = _chosen(materialise(seen(own), "probabilities"), verdicts, target)
+            tested = seen(mine)
+            for mode in MODES:
+                m, r = thresholds[mode]
+                part = tested.select(F.lit(mode).alias("mode"), "pair_id", "label", routed(F.col("p"), F.lit(m), F.lit(r)).alias("prediction"))
+                out = part if out is None else out.unionByName(part)
+    reports = None
+    out = materialise(out, "decisions")
+    for mode in MODES:
+        one = cascade_report(out.filter(F.col("mode") == mode), verdicts).withColumn("mode", F.lit(mode))
+        reports = one if reports is None else reports.unionByName(one)
+    return reports

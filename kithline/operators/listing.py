@@ -64,6 +64,11 @@ def pending_articles(articles: DataFrame, n: int = 5) -> DataFrame:
     return articles.filter((F.col("status") == "pending") & F.col("content").isNotNull()).orderBy(F.col("published_at").desc_nulls_first(), "id").limit(n)
 
 
+def queue_totals(queue: DataFrame) -> DataFrame:
+    """(status, entity_type, total): what pages of the queue are numbered by."""
+    return queue.groupBy("status", "entity_type").agg(F.count("*").alias("total"))
+
+
 def queue_page(queue: DataFrame, status: str = "pending", entity_type: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     own = queue.filter(F.col("status") == status)
     if entity_type is not None:
@@ -131,22 +136,58 @@ def batches(df: DataFrame, order: str, size: int, within: str) -> DataFrame:
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(within).orderBy(order)) - 1) / size).cast("int"))
 
 
-def next_ids(new: DataFrame, taken: DataFrame, prefix: str, order: str) -> DataFrame:
-    """With vid: prefix_n, n counting on from the largest number taken.
+def numbered(df: DataFrame, key: str, *within: str, name: str = "n", seed: int = 42) -> DataFrame:
+    """With name: 0, 1, 2, ... for the rows of each group, in the order of a seeded hash's buckets and of key.
 
-    Numbers follow a global order without gathering rows: each range partition counts its own
-    rows and adds the sizes of those before it, of which there are as many as partitions.
+    No group is gathered: each bucket numbers its own rows from where the buckets before it
+    end.  There are four buckets for each shuffle partition.
     """
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
+    sizes = part.groupBy(*within, "_bucket").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    same = [F.col("x._bucket") == F.col("y._bucket")] + [F.col(f"x.{w}").eqNullSafe(F.col(f"y.{w}")) for w in within]
+    own = part.withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(key)) - 1)
+    return own.alias("x").join(before.alias("y"), same).select(*(F.col(f"x.{c}") for c in df.columns), (F.col("_before") + F.col("_r")).alias(name))
+
+
+def next_ids(new: DataFrame, taken: DataFrame, prefix: str, order: str) -> DataFrame:
+    """With vid: prefix_n, n counting on from the largest number taken; see numbered for the order."""
     from kithline.functions.text import vid_number
 
-    base = taken.filter(F.col("vid").startswith(prefix + "_")).agg(F.coalesce(F.max(vid_number(F.col("vid"))), F.lit(0)).alias("base"))
-    part = new.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(64)))
-    # A coarse order by bucket and the column: any fixed total order will do for ids.
-    sizes = part.groupBy("_bucket").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = part.withColumn("_r", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
-    out = own.join(F.broadcast(before), "_bucket").crossJoin(F.broadcast(base))
-    return out.withColumn("vid", F.concat(F.lit(prefix + "_"), (F.col("base") + F.col("before") + F.col("_r")).cast("string"))).select(*new.columns, "vid")
+    base = taken.filter(F.col("vid").startswith(prefix + "_")).agg(F.coalesce(F.max(vid_number(F.col("vid"))), F.lit(0)).alias("_base"))
+    out = numbered(new, order, name="_n").crossJoin(F.broadcast(base))
+    return out.withColumn("vid", F.concat(F.lit(prefix + "_"), (F.col("_base") + F.col("_n") + 1).cast("string"))).select(*new.columns, "vid")
+
+
+#: The type of event that a type of activity stands for; others stand for themselves.
+EVENT_TYPES = {
+    "offensive": "military", "defense": "military", "patrol": "military", "exercise": "military", "deployment": "military",
+    "port_visit": "military", "operation": "military", "incident": "military", "other": "social",
+}
+
+
+def activity_list(events: DataFrame, activity_type: str | None = None, limit: int = 50) -> DataFrame:
+    """Events of the type that the activity type stands for, by vid; at most 200."""
+    kind = None if not activity_type else EVENT_TYPES.get(activity_type, activity_type)
+    return filtered(events, {"event_type": kind}, limit=min(limit, 200)).withColumnRenamed("event_type", "activity_type")
+
+
+def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
+    """(field, value): the distinct non-empty values of some columns, for filters."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
+    return long.filter("value <> ''").distinct()
+
+
+def counts_descending(df: DataFrame, kind: str) -> DataFrame:
+    """(value, n), the most frequent first."""
+    return df.groupBy(F.col(kind).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def location_detail(locations: DataFrame) -> DataFrame:
+    """Locations with lat and lng, null where the coordinates are none."""
+    return locations.withColumn("_p", coordinates(F.col("coordinates"))).withColumn("lat", F.col("_p.lat")).withColumn("lng", F.col("_p.lng")).drop("_p")
 
 
 def entity_detail(entities: DataFrame, edges: DataFrame, vertices: DataFrame, records: DataFrame, articles: DataFrame, positions: DataFrame) -> DataFrame:

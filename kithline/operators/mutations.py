@@ -6,12 +6,13 @@ whole new table, and the caller writes them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.functions.text import plain_text
+from kithline.functions.text import article_text, plain_text
 from kithline.operators.graph import edge_type
-from kithline.operators.listing import next_ids
+from kithline.operators.listing import next_ids, numbered
 
 #: What a new vertex has where its source says nothing.
 VERTEX_DEFAULTS = {"confidence": 1.0, "aliases": "", "description": "", "state": "", "category": ""}
@@ -36,20 +37,21 @@ def new_edges(relations: DataFrame, now) -> DataFrame:
     return relations.select("src", "dst", edge_type(F.col("relation")).alias("type"), F.coalesce(F.when(F.col("sub_type") != "", F.col("sub_type")), "relation").alias("sub_type"), F.lit(EDGE_CONFIDENCE).alias("confidence"), F.col("source").cast("string").alias("source"), now.cast("string").alias("created_at"))
 
 
-def article_records(articles: DataFrame, now) -> DataFrame:
-    """Provenance vertices of articles."""
-    return articles.select(F.concat(F.lit("record_article_"), F.col("id").cast("string")).alias("vid"), F.lit("postgres").alias("source_db"), F.lit("articles").alias("source_table"), F.col("id").cast("string").alias("source_pk"), F.col("title").alias("summary"), now.cast("string").alias("imported_at"))
+def article_records(articles: DataFrame, now, source_db: str = "articles") -> DataFrame:
+    """Provenance vertices of articles; the summary is the title's begin."""
+    return articles.select(F.concat(F.lit("record_article_"), F.col("id").cast("string")).alias("vid"), F.lit(source_db).alias("source_db"), F.lit("articles").alias("source_table"), F.col("id").cast("string").alias("source_pk"), F.substring("title", 1, 200).alias("summary"), now.cast("string").alias("imported_at"))
 
 
-def trace_edges(found: DataFrame, now, confidence: float = EDGE_CONFIDENCE, sub_type: str = "generate") -> DataFrame:
+def trace_edges(found: DataFrame, now, confidence: float = EDGE_CONFIDENCE, sub_type: str = "generate", source: str = "article") -> DataFrame:
     """Edges from records to entities (record, vid)."""
-    return found.select(F.col("record").alias("src"), F.col("vid").alias("dst"), F.lit("trace").alias("type"), F.lit(sub_type).alias("sub_type"), F.lit(confidence).alias("confidence"), F.col("record").alias("source"), now.cast("string").alias("created_at"))
+    return found.select(F.col("record").alias("src"), F.col("vid").alias("dst"), F.lit("trace").alias("type"), F.lit(sub_type).alias("sub_type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), now.cast("string").alias("created_at"))
 
 
-def import_records(vids: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """A record and a trace edge of full confidence for each imported entity."""
+def import_records(vids: DataFrame, now, label: str = "", source_db: str = "articles") -> tuple[DataFrame, DataFrame]:
+    """A record and a trace edge of full confidence for each entity that was imported by hand."""
     own = vids.select(F.concat(F.lit("record_import_"), "vid").alias("record"), "vid")
-    return own.select(F.col("record").alias("vid"), now.cast("string").alias("imported_at")), trace_edges(own, now, 1.0)
+    records = own.select(F.col("record").alias("vid"), F.lit(source_db).alias("source_db"), F.lit("manual_import").alias("source_table"), F.col("vid").alias("source_pk"), F.concat(F.lit("manual import: "), F.lit(label)).alias("summary"), now.cast("string").alias("imported_at"))
+    return records, trace_edges(own, now, 1.0, source="manual_import")
 
 
 def with_aliases(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -100,6 +102,41 @@ def import_articles(table: DataFrame, items: DataFrame, longest: int = 10_000) -
     return absent(items.filter("url is not null"), table, "url").withColumn("content", F.substring(text, 1, longest))
 
 
+def known_sources(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """The sources with those that items name and the table lacks, with ids that count on; sources: id, name."""
+    top = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    wanted = items.select(F.col("source").alias("name")).filter("name <> ''")
+    fresh = numbered(absent(wanted, sources, "name"), "name", name="_n").crossJoin(F.broadcast(top))
+    return sources.select("id", "name").unionByName(fresh.select((F.col("_top") + F.col("_n") + 1).alias("id"), "name"))
+
+
+def reset_articles(articles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The articles with those that are wanted (id) pending again, as before any extraction."""
+    hit = articles.join(wanted.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    again = F.coalesce("_hit", F.lit(False))
+    out = hit.withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
+    if "entities_extracted" in articles.columns:
+        out = out.withColumn("entities_extracted", F.when(again, False).otherwise(F.col("entities_extracted")))
+    return out.select(articles.columns)
+
+
+def refetched(articles: DataFrame, pages: DataFrame, longest: int = 8_000, shortest: int = 50) -> DataFrame:
+    """The articles with the text of newly fetched pages (id, html), and pending again; a page with less text changes nothing."""
+    text = article_text(F.col("html"))
+    new = pages.groupBy("id").agg(F.first("html").alias("html")).withColumn("_text", text).filter(F.char_length("_text") >= shortest)
+    fresh = articles.join(new.select("id", "_text"), "id", "left").withColumn("content", F.coalesce(F.substring("_text", 1, longest), F.col("content"))).select(articles.columns)
+    return reset_articles(fresh, new.select("id"))
+
+
+def finished_articles(articles: DataFrame, done: DataFrame) -> DataFrame:
+    """The articles with those whose extraction was saved (id) done; ids without an article are passed over."""
+    hit = articles.join(done.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    out = hit.withColumn("status", F.when(F.coalesce("_hit", F.lit(False)), "done").otherwise(F.col("status")))
+    if "entities_extracted" in articles.columns:
+        out = out.withColumn("entities_extracted", F.coalesce("_hit", F.col("entities_extracted")))
+    return out.select(articles.columns)
+
+
 def append_decision(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with more decisions; each gets the next sequence number of its pair."""
     top = log.groupBy("id").agg(F.max("seq").alias("_top"))
@@ -117,6 +154,25 @@ def remaining(todo: DataFrame, done: DataFrame, key: str = "pair_id") -> DataFra
     return todo.join(done.select(key), key, "left_anti")
 
 
+def annotate(todo: DataFrame, judge, path: str, key: str = "pair_id") -> DataFrame:
+    """Judge what the table at path lacks and append it there; a stopped run goes on where it ended.
+
+    judge: a function of a DataFrame that returns rows with the key.
+    """
+    spark = todo.sparkSession
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException:  # the first run
+        done = None
+    judge(todo if done is None else remaining(todo, done, key)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def legacy_mentions(mentions: DataFrame, table: str, key: str) -> DataFrame:
+    """(src, dst): from the record of the article to the entity that it mentions; mentions: article_id and the entity's id."""
+    return mentions.select(F.concat(F.lit("record_article_"), F.col("article_id").cast("string")).alias("src"), F.concat(F.lit(f"{table}_"), F.col(key).cast("string")).alias("dst")).distinct()
+
+
 def legacy_vertices(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(vid, tag, name) of relational tables: name of the table -> (rows, id column, tag)."""
     out = None

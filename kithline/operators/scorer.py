@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.functions.text import contained, jaccard, name_similarity, normal, property_value, tokens
@@ -208,6 +208,25 @@ def adaptive_score(a: Column, b: Column, entity_type: Column, typed_model: Colum
     return F.coalesce(rules, learned_score(values, typed_model), learned_score(values, common_model), fixed)
 
 
+def adaptive(pairs: DataFrame, typed_model: Column | None = None, common_model: Column | None = None, p: Profile = PRODUCTION) -> DataFrame:
+    """The pairs with s, the adaptive_score of props_a and props_b, made in steps.
+
+    Each step is a column of its own, so no value is made twice and plans stay small.
+    pairs: entity_type, props_a, props_b and others; models: see learned_score, None for none.
+    """
+    kind, a, b = F.col("entity_type"), F.col("props_a"), F.col("props_b")
+    x, y = F.col("_x"), F.col("_y")
+    out = pairs.withColumn("_x", normalised(a, p)).withColumn("_y", normalised(b, p))
+    out = out.withColumn("_fields", compare_fields(a, b, p, (x, y)))
+    out = out.withColumn("_fixed", l1_score(a, b, kind, p, compared=F.col("_fields"), values=(x, y)))
+    ruled = F.col("_fixed.detail").isin("missing properties", "hard conflict", "near-perfect identifier match")
+    steps = [F.when(ruled, F.col("_fixed"))]
+    if typed_model is not None or common_model is not None:
+        out = out.withColumn("_features", features(a, b, kind, F.lit(""), F.lit(""), p, F.col("_fields"), (x, y)))
+        steps += [learned_score(F.col("_features"), m) for m in (typed_model, common_model) if m is not None]
+    return out.withColumn("s", F.coalesce(*steps, F.col("_fixed"))).select(*pairs.columns, "s")
+
+
 #: The candidate's properties that a new entity is compared with, by type.
 CANDIDATE_FIELDS = {
     "equipment": ("name", "equip_type", "category", "state", "aliases"),
@@ -224,4 +243,4 @@ def candidate_properties(props: Column, entity_type: Column) -> Column:
     return F.map_filter(props, lambda k, v: F.array_contains(own, k))
 
 
-__all__ = ["EXPERIMENT", "PRODUCTION", "adaptive_score", "candidate_properties", "compare_fields", "effective_fields", "features", "hard_conflict", "l1_score", "learned_score", "name_bonus", "near_perfect", "normalised", "route", "with_name"]
+__all__ = ["EXPERIMENT", "PRODUCTION", "adaptive", "adaptive_score", "candidate_properties", "compare_fields", "effective_fields", "features", "hard_conflict", "l1_score", "learned_score", "name_bonus", "near_perfect", "normalised", "route", "with_name"]

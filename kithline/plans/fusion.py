@@ -8,28 +8,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithline.operators.blocking import blocked_pairs, with_sides
+from kithline.functions.replies import batch_answers, batch_prompt
+from kithline.operators.blocking import blocked_pairs, similar_pairs, with_sides
 from kithline.operators.graph import merge_vertices
-from kithline.operators.listing import best_candidate
-from kithline.operators.scorer import PRODUCTION, Profile, adaptive_score, candidate_properties, compare_fields, l1_score, normalised, with_name
+from kithline.operators.listing import best_candidate, numbered
+from kithline.operators.scorer import PRODUCTION, Profile, adaptive, candidate_properties, compare_fields, l1_score, normalised, with_name
+from kithline.scratch import materialise
 
 Judge = Callable[[DataFrame], DataFrame]
 
 
 def prepared(pairs: DataFrame, profile: Profile = PRODUCTION) -> DataFrame:
     """With _a, _b and _fields: values are normalised and fields compared once, as columns of their own."""
-    values = pairs.withColumn("_a", normalised(F.col("props_a"), profile)).withColumn("_b", normalised(F.col("props_b"), profile))
+    own = lambda s: F.col(f"values_{s}") if f"values_{s}" in pairs.columns else normalised(F.col(f"props_{s}"), profile)
+    values = pairs.withColumn("_a", own("a")).withColumn("_b", own("b"))
     return values.withColumn("_fields", compare_fields(F.col("props_a"), F.col("props_b"), profile, (F.col("_a"), F.col("_b"))))
 
 
 def score_pairs(pairs: DataFrame, profile: Profile = PRODUCTION) -> DataFrame:
-    """With score, decision and detail; pairs: entity_type and name, props of both sides."""
+    """With score, decision and detail; pairs: entity_type and name, props of both sides.
+
+    values_a and values_b, if there are any, are the props as normalised gives them: made
+    once for each entity, not once for each of its pairs.
+    """
+    # Pairs may come from a join in few partitions, but scoring them is the work.
+    pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "vid_a", "vid_b")
     base = l1_score(F.col("props_a"), F.col("props_b"), F.col("entity_type"), profile, compared=F.col("_fields"), values=(F.col("_a"), F.col("_b")))
     scored = prepared(pairs, profile).withColumn("_base", base).withColumn("_s", with_name(F.col("_base"), F.col("name_a"), F.col("name_b")))
-    return scored.select(*pairs.columns, "_s.score", "_s.decision", "_s.detail")
+    return scored.select(*(c for c in pairs.columns if c not in ("values_a", "values_b")), "_s.score", "_s.decision", "_s.detail")
 
 
 def fuse(entities: DataFrame, judge: Judge | None = None, exact: bool = True, max_key_size: int | None = None) -> DataFrame:
@@ -37,7 +46,8 @@ def fuse(entities: DataFrame, judge: Judge | None = None, exact: bool = True, ma
 
     entities: vid, entity_type, name, aliases (array), props (map).
     """
-    pairs = with_sides(blocked_pairs(entities, exact, max_key_size), entities).withColumn("pair_id", F.concat_ws("|", "vid_a", "vid_b"))
+    clean = entities.withColumn("values", normalised(F.col("props")))
+    pairs = with_sides(blocked_pairs(entities, exact, max_key_size), clean).withColumn("pair_id", F.concat_ws("|", "vid_a", "vid_b"))
     scored = score_pairs(pairs).filter("decision <> 'reject'")
     merged = F.col("decision") == "merge"
     keys = ("pair_id", "entity_type", "vid_a", "vid_b", "name_a", "name_b")
@@ -60,18 +70,68 @@ def execute(queue: DataFrame, judge: Judge) -> DataFrame:
     return out.select(*(c for c in out.columns if c not in ("action", "_keep", "reason")), F.when(merged, "merged").otherwise("disambig").alias("status"), F.when(merged, keep).alias("keep_vid"), F.coalesce("reason", F.lit("")).alias("notes"))
 
 
-def resolve_by_hand(queue: DataFrame, pair_id: str, action: str, who: str) -> DataFrame:
-    """The new row of the decision log for a pending pair: merge, discard or keep."""
+def resolve_by_hand(queue: DataFrame, pair_id: str, action: str, who: str, target_vid: str | None = None) -> DataFrame:
+    """The new row of the decision log for a pending pair: merge into target_vid, discard or keep.
+
+    There is none for a pair that is not pending, and none for a merge into a vertex that is not of the pair.
+    """
     status = {"merge": "merged", "discard": "discarded", "keep": "disambig"}[action]
-    return queue.filter((F.col("pair_id") == pair_id) & (F.col("status") == "pending")).withColumn("status", F.lit(status)).withColumn("notes", F.lit(f"manual {action}")).withColumn("resolved_by", F.lit(who))
+    own = queue.filter((F.col("pair_id") == pair_id) & (F.col("status") == "pending"))
+    if action == "merge":
+        if target_vid is None:
+            raise ValueError("a merge needs the vertex that stays")
+        own = own.filter(F.lit(target_vid).isin(F.col("vid_a"), F.col("vid_b")))
+    return own.withColumns({"status": F.lit(status), "keep_vid": F.lit(target_vid if action == "merge" else None).cast("string"), "notes": F.lit(f"manual {action}"), "resolved_by": F.lit(who)})
 
 
 def apply_merges(vertices: DataFrame, edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return merge_vertices(vertices, edges, decisions.filter("status = 'merged'").select("vid_a", "vid_b"))
+    """The graph after the merged pairs; the vertices that the decisions keep stay (see graph.merge_map)."""
+    columns = ["vid_a", "vid_b", *(c for c in ("keep_vid", "ordinal") if c in decisions.columns)]
+    return merge_vertices(vertices, edges, decisions.filter("status = 'merged'").select(*columns))
+
+
+def summary(entities: DataFrame, pairs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(entity_type, entities, candidates, merge, pending, different): one row for each type, and the counts of fuse.
 
+    pairs: the candidate pairs; decisions: as fuse gives them.  What is neither merged nor pending is different.
+    """
+    n = entities.groupBy("entity_type").agg(F.count("*").alias("entities"))
+    met = pairs.groupBy("entity_type").agg(F.count("*").alias("candidates"))
+    own = decisions.groupBy("entity_type").agg(F.count_if(F.col("status") == "merged").alias("merge"), F.count_if(F.col("status") == "pending").alias("pending"))
+    out = n.join(met, "entity_type", "left").join(own, "entity_type", "left").fillna(0, ["candidates", "merge", "pending"])
+    return out.withColumn("different", F.col("candidates") - F.col("merge") - F.col("pending"))
+
+
+def judge_in_batches(ask: Callable[[DataFrame], DataFrame], size: int = 10) -> Judge:
+    """A judge that asks about `size` pairs of a type at once.
+
+    ask: (entity_type, batch, prompt) -> (entity_type, batch, reply).  A pair without an answer
+    in its batch's reply, or whose reply is no JSON, has none.
+    """
 
-def resolve_new(new: DataFrame, known: DataFrame, verdicts: DataFrame | None = None, profile: Profile = PRODUCTION) -> DataFrame:
-    """(entity_type, name, vid, route): what each newly extracted entity is.
+    def judge(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select("pair_id", "entity_type", "vid_a", "name_a", "vid_b", "name_b", (F.col("score") if "score" in pairs.columns else F.col("similarity")).alias("similarity")), "pairs")
+        placed = numbered(pairs, "pair_id", "entity_type", name="n").withColumns({"batch": F.floor(F.col("n") / size), "i": F.col("n") % size})
+        asked = placed.groupBy("entity_type", "batch").agg(F.array_sort(F.collect_list(F.struct("i", "vid_a", "name_a", "vid_b", "name_b", "similarity"))).alias("own"))
+        replies = ask(asked.select("entity_type", "batch", batch_prompt(F.col("own")).alias("prompt")))
+        answers = replies.select("entity_type", "batch", F.explode(batch_answers(F.col("reply"))).alias("key", "a"))
+        keyed = placed.select("entity_type", "batch", F.concat(F.lit("pair_"), F.col("i").cast("string")).alias("key"), "pair_id")
+        return keyed.join(answers, ["entity_type", "batch", "key"]).select("pair_id", F.lower("a.action").alias("action"), "a.keep_vid", "a.reason")
+
+    return judge
+
+
+def dedup_type(entities: DataFrame, entity_type: str, judge: Judge) -> DataFrame:
+    """The merges (pair_id, vid_a, vid_b, keep_vid) of one type's similar pairs that the judge confirms; an invalid choice keeps vid_a."""
+    own = entities.filter(F.col("entity_type") == entity_type)
+    pairs = similar_pairs(own).withColumn("pair_id", F.concat_ws("|", "vid_a", "vid_b"))
+    answers = judge(pairs).filter("action = 'merge'").select("pair_id", F.col("keep_vid").alias("_keep"))
+    keep = F.when(F.col("_keep").isin(F.col("vid_a"), F.col("vid_b")), F.col("_keep")).otherwise(F.col("vid_a"))
+    return pairs.join(answers, "pair_id").select("pair_id", "vid_a", "vid_b", keep.alias("keep_vid"))
+
+
+def resolve_new(new: DataFrame, known: DataFrame, verdicts: DataFrame | None = None, profile: Profile = PRODUCTION, typed_model: Column | None = None, common_model: Column | None = None) -> DataFrame:
+    """(entity_type, name, vid, route, candidates): what each newly extracted entity is, and whom it was compared with.
 
     new: entity_type, name, designation, props; known: entity_type, vid, name, aliases, props.
     Equal (entity_type, name) of a batch are one entity.  Candidates have the same name or
@@ -85,17 +145,19 @@ def resolve_new(new: DataFrame, known: DataFrame, verdicts: DataFrame | None = N
     own = known.filter(vid_type(F.col("vid")) == F.col("entity_type")).select("entity_type", F.col("vid").alias("candidate"), F.col("name").alias("_name"), F.col("props").alias("_props"))
     keys = one.select("*", F.explode(F.array_compact(F.array(F.struct(F.lit(1).alias("ordinal"), F.col("name").alias("_name")), F.when(F.coalesce("designation", F.lit("")) != "", F.struct(F.lit(0).alias("ordinal"), F.col("designation").alias("_name")))))).alias("k")).select("*", "k.ordinal", "k._name").drop("k")
     met = keys.join(own, ["entity_type", "_name"])
-    none = F.lit(None).cast("struct<names:array<string>,mean:array<double>,scale:array<double>,weights:array<double>,intercept:double,theta_merge:double,theta_reject:double>")
-    scored = met.withColumn("s", adaptive_score(F.col("props"), candidate_properties(F.col("_props"), F.col("entity_type")), F.col("entity_type"), none, none, profile)).withColumn("score", F.col("s.score")).withColumn("entity", F.concat_ws("|", "entity_type", "name"))
+    sides = met.withColumn("props_a", F.col("props")).withColumn("props_b", candidate_properties(F.col("_props"), F.col("entity_type")))
+    scored = adaptive(sides, typed_model, common_model, profile).withColumn("score", F.col("s.score")).withColumn("entity", F.concat_ws("|", "entity_type", "name"))
+    scored = materialise(scored.select("entity_type", "name", "_name", "candidate", "ordinal", "s", "score", "entity"), "candidates")
     best = best_candidate(scored.withColumn("ordinal", F.struct("ordinal", "candidate"))).select("entity_type", "name", "candidate", "s.decision")
-    out = one.select("entity_type", "name").join(best, ["entity_type", "name"], "left")
+    met = scored.groupBy("entity_type", "name").agg(F.array_sort(F.collect_set(F.struct(F.col("candidate").alias("vid"), F.col("_name").alias("name")))).alias("candidates"))
+    out = one.select("entity_type", "name").join(best, ["entity_type", "name"], "left").join(met, ["entity_type", "name"], "left")
     if verdicts is None:
         verdicts = out.select("entity_type", "name", F.lit(None).cast("string").alias("match_vid"), F.lit(0.0).alias("confidence"), F.lit("no_api_key").alias("reason")).filter(F.lit(False))
     out = out.join(verdicts.select("entity_type", "name", "match_vid", "confidence", "reason"), ["entity_type", "name"], "left")
     unsure = F.col("match_vid").isNull() & (F.coalesce("confidence", F.lit(0.0)) < 0.5) & ~F.coalesce("reason", F.lit("no_api_key")).isin("timeout", "no_api_key", "parse_fail")
     route = F.when(F.col("candidate").isNull(), "new").when(F.col("decision") == "merge", "merge").when(F.col("decision") == "reject", "new").when(F.col("match_vid").isNotNull(), "merge").when(unsure, "uncertain").otherwise("new")
     vid = F.when(F.col("decision") == "merge", F.col("candidate")).when(F.col("decision") == "escalate", F.col("match_vid"))
-    return out.select("entity_type", "name", vid.alias("vid"), route.alias("route"))
+    return out.select("entity_type", "name", vid.alias("vid"), route.alias("route"), F.coalesce("candidates", F.array().cast("array<struct<vid:string,name:string>>")).alias("candidates"))
 
 
 def resolve_names(wanted: DataFrame, local: DataFrame, known: DataFrame) -> DataFrame:
@@ -107,23 +169,6 @@ def resolve_names(wanted: DataFrame, local: DataFrame, known: DataFrame) -> Data
     return wanted.join(mine, on, "left").join(by_name, on, "left").join(alias, on, "left").select(*on, F.coalesce("_l", "_n", "_a").alias("vid"))
 
 
-def extracted_entities(documents: DataFrame) -> DataFrame:
-    """(article_id, entity_type, name, designation, props) of extraction results, a row for each named entity.
-
-    documents: article_id and the arrays equipment, persons, locations, organizations and
-    activities of structs.
-    """
-    kinds = {"equipment": ("equipment", ("designation", "equipment_type", "category", "status")), "persons": ("person", ("rank", "position", "service_branch")),
-             "locations": ("location", ("location_type", "country", "region")), "organizations": ("organization", ("org_type", "country", "description")), "activities": ("activity", ("activity_type", "start_date", "end_date", "region", "description"))}
-    out = None
-    for column, (kind, fields) in kinds.items():
-        part = documents.select("article_id", F.explode(column).alias("e"))
-        props = F.map_filter(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"e.{f}").cast("string")))), lambda k, v: F.coalesce(v, F.lit("")) != "")
-        part = part.select("article_id", F.lit(kind).alias("entity_type"), F.trim("e.name").alias("name"), (F.col("e.designation") if "designation" in fields else F.lit(None).cast("string")).alias("designation"), props.alias("props"))
-        out = part if out is None else out.unionByName(part)
-    return out.filter("name is not null and name <> ''")
-
-
 def verdict_table(verdicts: DataFrame) -> Judge:
     """A judge that looks the answers up: (pair_id, action, keep_vid, reason)."""
     return lambda pairs: pairs.select("pair_id").join(verdicts, "pair_id")

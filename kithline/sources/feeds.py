@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def read_all(spark: SparkSession, sources: list[dict], bodies: DataFrame | None
             else:
                 part = web(spark)
             part.schema  # a path that is not there fails here
-        except Exception:
+        except AnalysisException:
             failed.append(s["name"])
             continue
         out = out.unionByName(part)

@@ -15,12 +15,12 @@ from kithline.operators.listing import latest_status
 
 
 def new_articles(spark: SparkSession, source: DataFrame, table: str, checkpoint: str, at_once: bool = True):
-    """Append articles whose URL the table lacks; each micro-batch is joined with the table."""
+    """Append articles whose URL the table lacks; each micro-batch is joined with the table.  Articles without a URL are left out."""
 
     def batch(rows: DataFrame, _: int) -> None:
         # A micro-batch has a session of its own; the caller's may remember the table's old files.
         session = rows.sparkSession
-        own = rows.dropDuplicates(["url"])
+        own = rows.filter("url is not null").dropDuplicates(["url"])
         if session.catalog.tableExists(table):
             own = own.join(session.table(table).select("url"), "url", "left_anti")
         own.write.mode("append").saveAsTable(table)
@@ -67,11 +67,14 @@ def decision_view(spark: SparkSession, table: str) -> DataFrame:
 def retrain_every(source: DataFrame, count_table: str, every: int, train: Callable[[], None], checkpoint: str):
     """Call train whenever another `every` decisions have come; the count is a table, so it survives a restart."""
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        seen = spark.table(count_table).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if spark.catalog.tableExists(count_table) else 0
+        counts = spark.table(count_table) if spark.catalog.tableExists(count_table) else spark.createDataFrame([], "batch long, n long")
+        seen = counts.filter(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         n = rows.count()
-        spark.createDataFrame([(n,)], "n long").write.mode("append").saveAsTable(count_table)
+        # A batch that is run again after a stop is counted once.
+        if counts.filter(F.col("batch") == number).isEmpty():
+            spark.createDataFrame([(number, n)], "batch long, n long").write.mode("append").saveAsTable(count_table)
         source.sparkSession.catalog.refreshTable(count_table)
         if (seen + n) // every > seen // every:
             train()
