@@ -326,3 +326,321 @@ def longest_sentence_per_entity(s, d):
     vid = F.concat(F.lit("loc_"), (F.col("doc_id") % 50).cast("string")).alias("vid")
     related = docs.select(vid, F.col("doc_id").alias("article_id"), F.substring(F.coalesce("text", F.lit("")), 1, 500).alias("content"), F.dense_rank().over(Window.partitionBy(F.col("doc_id") % 50).orderBy("doc_id")).alias("rank"))
     return graph.longest_sentences(docs.select(vid, F.lit("e").alias("name")).distinct(), related)
+
+
+# --- provenance, details and traversals -----------------------------------------------
+
+
+def _traced(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Vertices, edges, records and articles: orders are articles, traced to their customers and parts."""
+    o, line, p, c = (_t(s, d, n) for n in ("orders", "lineitem", "part", "customer"))
+    v = p.select(_key("equip", "p_partkey").alias("vid"), F.lit("equip").alias("tag"), F.col("p_name").alias("name")).unionByName(c.select(_key("person", "c_custkey").alias("vid"), F.lit("person").alias("tag"), F.col("c_name").alias("name")))
+    trace = line.select(_key("record_article", "l_orderkey").alias("src"), _key("equip", "l_partkey").alias("dst")).distinct().unionByName(o.select(_key("record_article", "o_orderkey").alias("src"), _key("person", "o_custkey").alias("dst")))
+    e = trace.select("*", F.lit("trace").alias("type"), F.lit("article").alias("source")).unionByName(c.select(_key("person", "c_custkey").alias("src"), _key("loc", "c_nationkey").alias("dst"), F.lit("locate").alias("type"), F.lit("seed").alias("source")))
+    records = o.select(_key("record_article", "o_orderkey").alias("vid"), F.col("o_orderkey").cast("string").alias("source_pk"))
+    articles = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.concat_ws("\n", F.concat(F.lit("of Customer#"), F.col("o_custkey").cast("string")), "o_orderpriority", F.col("o_orderdate").cast("string")).alias("content"), F.col("o_orderdate").alias("published_at"))
+    return v, e, records, articles
+
+
+@_query("""WITH t AS (SELECT DISTINCT 'record_article_' || l_orderkey AS src, 'equip_' || l_partkey AS dst FROM lineitem UNION SELECT 'record_article_' || o_orderkey, 'person_' || o_custkey FROM orders)
+SELECT CAST(split_part(src, '_', 3) AS BIGINT) AS article_id, dst AS vid FROM t""")
+def article_entities(s, d):
+    v, e, _, articles = _traced(s, d)
+    return graph.article_entities(articles, e, v).select("article_id", "vid")
+
+
+@_query("""WITH f AS (SELECT min(o_orderkey) AS k FROM orders), t AS (SELECT DISTINCT l_orderkey AS o, 'equip_' || l_partkey AS dst FROM lineitem UNION SELECT o_orderkey, 'person_' || o_custkey FROM orders),
+gone AS (SELECT dst FROM t WHERE o = (SELECT k FROM f) AND dst NOT IN (SELECT dst FROM t WHERE o <> (SELECT k FROM f)))
+SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM customer) - (SELECT count(*) FROM gone) AS n_vertices, (SELECT count(*) FROM t WHERE o <> (SELECT k FROM f)) AS n_traces, (SELECT count(*) FROM customer WHERE 'person_' || c_custkey NOT IN (SELECT dst FROM gone)) AS n_other""")
+def retract_article(s, d):
+    v, e, _, articles = _traced(s, d)
+    first = articles.agg(F.min("id")).first()[0]
+    vertices, edges = graph.retract(v, e, f"record_article_{first}")
+    n = edges.agg(F.count_if(F.col("type") == "trace").alias("n_traces"), F.count_if(F.col("type") != "trace").alias("n_other"))
+    return vertices.agg(F.count("*").alias("n_vertices")).crossJoin(n)
+
+
+_OWN_TRACES = "tr AS (SELECT DISTINCT l_orderkey AS o, 'equip_' || l_partkey AS vid FROM lineitem UNION SELECT o_orderkey, 'person_' || o_custkey FROM orders)"
+
+
+@_query(f"WITH {_OWN_TRACES}, x AS (SELECT vid, count(*) FILTER (o % 2 = 0) AS own, count(*) FILTER (o % 2 = 1) AS other FROM tr GROUP BY 1) SELECT vid, CASE WHEN other = 0 THEN 'only' ELSE 'shared' END AS support FROM x WHERE own > 0")
+def supported_and_shared(s, d):
+    _, e, _, _ = _traced(s, d)
+    own = F.substring_index("src", "_", -1).cast("long") % 2 == 0
+    return graph.supported_only_by(e, own).withColumn("support", F.lit("only")).unionByName(graph.shared_with_others(e, own).withColumn("support", F.lit("shared")))
+
+
+@_query("""WITH g AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), t AS (SELECT DISTINCT 'record_article_' || l_orderkey AS src, 'equip_' || l_partkey AS dst FROM lineitem UNION SELECT 'record_article_' || o_orderkey, 'person_' || o_custkey FROM orders)
+SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM customer WHERE c_nationkey <> 3) AS n_vertices, (SELECT count(*) FROM t WHERE dst NOT IN (SELECT 'person_' || c_custkey FROM g)) + (SELECT count(*) FROM customer WHERE c_nationkey <> 3) AS n_edges""")
+def delete_vertices(s, d):
+    v, e, _, _ = _traced(s, d)
+    gone = _t(s, d, "customer").filter("c_nationkey = 3").select(_key("person", "c_custkey").alias("vid"))
+    vertices, edges = graph.delete_vertices(v, e, gone)
+    return vertices.agg(F.count("*").alias("n_vertices")).crossJoin(edges.agg(F.count("*").alias("n_edges")))
+
+
+@_query("""WITH e AS (SELECT 'person_' || c_custkey AS a, 'loc_' || c_nationkey AS b FROM customer), n AS (SELECT a AS vid, 'out' AS dir, b AS x, coalesce(n_name, b) AS name FROM e LEFT JOIN nation ON b = 'loc_' || n_nationkey UNION ALL SELECT b, 'in', a, c_name FROM e JOIN customer ON a = 'person_' || c_custkey)
+SELECT vid, string_agg(name, ',' ORDER BY dir, x) AS related FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY dir, x) AS r FROM n) WHERE r <= 5 GROUP BY 1""")
+def related_context(s, d):
+    c, n = _t(s, d, "customer"), _t(s, d, "nation")
+    e = c.select(_key("person", "c_custkey").alias("src"), _key("loc", "c_nationkey").alias("dst"), F.lit("locate").alias("type"))
+    v = c.select(_key("person", "c_custkey").alias("vid"), F.col("c_name").alias("name")).unionByName(n.select(_key("loc", "n_nationkey").alias("vid"), F.col("n_name").alias("name")))
+    return graph.related_context(v.select("vid"), e, v).select("vid", F.array_join("related", ",").alias("related"))
+
+
+@_query(f"""WITH {_OWN_TRACES}, h AS (SELECT vid, 'in' AS direction, 'record_article_' || o AS neighbour FROM tr UNION ALL SELECT 'record_article_' || o, 'out', vid FROM tr)
+SELECT vid, direction, count(*) AS n, min(neighbour) AS first FROM h GROUP BY 1, 2""")
+def one_hop_over_traces(s, d):
+    v, e, records, _ = _traced(s, d)
+    vids = v.select("vid").unionByName(records.select("vid"))
+    hops = graph.one_hop(vids, e.filter("type = 'trace'"), v)
+    return hops.groupBy("vid", "direction").agg(F.count("*").alias("n"), F.min("neighbour").alias("first"))
+
+
+@_query("SELECT 'equip_' || p_partkey AS src, min('loc_' || n_nationkey) AS dst, 'home_base' AS sub_type FROM part JOIN nation ON n_nationkey = p_partkey % 40 GROUP BY p_partkey")
+def home_bases(s, d):
+    n = _t(s, d, "nation")
+    ships = _t(s, d, "part").select(_key("equip", "p_partkey").alias("vid"), (F.col("p_partkey") % 40).alias("k")).join(n.select(F.col("n_nationkey").alias("k"), "n_name"), "k", "left").select("vid", F.coalesce("n_name", F.when(F.col("k") == 30, "").otherwise("nowhere")).alias("home_base"))
+    return graph.home_base_links(ships, n.select(_key("loc", "n_nationkey").alias("vid"), F.col("n_name").alias("name")), _now()).select("src", "dst", "sub_type")
+
+
+@_query("""WITH t AS (SELECT 'person_' || o_custkey AS vid, 'record_article_' || o_orderkey AS r, c_name, o_custkey, o_orderpriority || chr(10) || o_orderdate AS rest FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY r) AS k FROM t), w AS (SELECT vid, o_custkey, 'of Customer#' || o_custkey || chr(10) || rest AS f FROM f WHERE k <= 5),
+g AS (SELECT vid, f, row_number() OVER (PARTITION BY vid ORDER BY length(f) DESC, f) AS n FROM w)
+SELECT 'person_' || c_custkey AS vid, coalesce(string_agg(f, '|' ORDER BY n), '') AS fragments FROM customer LEFT JOIN g ON g.vid = 'person_' || c_custkey AND n <= 2 GROUP BY 1""")
+def source_fragments(s, d):
+    _, e, records, articles = _traced(s, d)
+    people = _t(s, d, "customer").select(_key("person", "c_custkey").alias("vid"), F.concat(F.lit(" customer#"), F.col("c_custkey").cast("string")).alias("name"))
+    return graph.source_fragments(people, e, records, articles).select("vid", F.array_join("fragments", "|").alias("fragments"))
+
+
+@_query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rank FROM orders),
+s AS (SELECT c_custkey AS k, coalesce(string_agg(id, ',' ORDER BY rank), '') AS ids, CASE WHEN count(id) > 0 THEN 'of Customer#' || c_custkey ELSE '' END AS sentence FROM customer LEFT JOIN a ON k = c_custkey AND rank <= 10 GROUP BY c_custkey)
+SELECT x.k AS pair_id, x.ids AS articles_a, y.ids AS articles_b, x.sentence AS sentence_a, y.sentence AS sentence_b, 'name,org_name' AS shown FROM s x JOIN s y ON y.k = x.k + 1""")
+def pair_details(s, d):
+    _, e, records, articles = _traced(s, d)
+    c = _t(s, d, "customer")
+    name = F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string"))
+    people = c.select(_key("person", "c_custkey").alias("vid"), name.alias("name"), F.create_map(F.lit("name"), name, F.lit("org_name"), F.col("c_mktsegment"), F.lit("hidden"), F.lit("x")).alias("props"))
+    a = c.select(F.col("c_custkey").alias("pair_id"), _key("person", "c_custkey").alias("vid_a"), F.concat(F.lit("person_"), (F.col("c_custkey") + 1).cast("string")).alias("vid_b"), F.lit("person").alias("entity_type"))
+    queue = a.join(c.select((F.col("c_custkey") - 1).alias("pair_id")), "pair_id")
+    out = graph.pair_details(queue, people, e, records, articles)
+    ids = lambda x: F.array_join(F.transform(F.coalesce(F.col(f"articles_{x}"), F.array().cast("array<struct<rank:int,article_id:bigint,title:string,content:string>>")), lambda r: r["article_id"].cast("string")), ",").alias(f"articles_{x}")
+    return out.select("pair_id", ids("a"), ids("b"), F.col("longest_sentence_a").alias("sentence_a"), F.col("longest_sentence_b").alias("sentence_b"), F.array_join(F.array_sort(F.map_keys("props_a")), ",").alias("shown"))
+
+
+@_query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT user_id AS k, count(*) AS n, max(ts) AS newest FROM events GROUP BY 1)
+SELECT 'person_' || c_custkey AS vid, 1 + coalesce(a.n, 0) AS n_relations, least(coalesce(a.n, 0), 20) AS n_articles, least(coalesce(p.n, 0), 50) AS n_positions, p.newest, CASE WHEN a.n > 0 THEN 'news_extract' ELSE 'seed' END AS source FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN p ON p.k = c_custkey""")
+def entity_details(s, d):
+    v, e, records, articles = _traced(s, d)
+    ev = _t(s, d, "events").select(F.col("event_id").alias("id"), _key("person", "user_id").alias("vid"), F.col("ts").alias("reported_at"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"))
+    out = listing.entity_detail(v.filter("tag = 'person'").select("vid", "name"), e, v, records, articles, ev)
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    return out.select("vid", size("relations").alias("n_relations"), size("articles").alias("n_articles"), size("positions").alias("n_positions"), F.get("positions", F.lit(0))["reported_at"].alias("newest"), "source")
+
+
+# --- lists ----------------------------------------------------------------------------
+
+
+def _events_as_activities(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "military").when(F.col("event_type") == "view", "social").otherwise(F.col("event_type"))
+    return _t(s, d, "events").select(_key("event", "event_id").alias("vid"), F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("name"), kind.alias("event_type"))
+
+
+@_query("SELECT 'event_' || event_id AS vid, 'military' AS activity_type FROM events WHERE event_type = 'click' ORDER BY 'event_' || event_id LIMIT 200")
+def activity_list(s, d):
+    return listing.activity_list(_events_as_activities(s, d), "exercise", 500).select("vid", "activity_type")
+
+
+@_query("SELECT DISTINCT 'event_type' AS field, event_type AS value FROM events WHERE event_type <> '' UNION SELECT DISTINCT 'user', CAST(user_id AS VARCHAR) FROM events")
+def distinct_filters(s, d):
+    return listing.distinct_values(_t(s, d, "events").select("event_type", F.col("user_id").alias("user")), "event_type", "user")
+
+
+@_query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value")
+def types_by_count(s, d):
+    return listing.counts_descending(_t(s, d, "part"), "p_type")
+
+
+@_query("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 3 <> 1 AND p_brand = 'Brand#11'")
+def active_ships(s, d):
+    kind = F.when(F.col("p_type") == "ECONOMY", "ship").otherwise("other")
+    state = F.when(F.col("p_partkey") % 3 == 0, "active").when(F.col("p_partkey") % 3 == 1, "retired")
+    e = _t(s, d, "part").select("p_partkey", kind.alias("equip_type"), state.alias("state"), F.col("p_brand").alias("category"))
+    return listing.active_ships(e, "Brand#11").select("p_partkey")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN round(value % 90, 4) END AS lat, CASE WHEN event_id % 4 IN (0, 1) THEN 7.5::DOUBLE END AS lng FROM events")
+def location_details(s, d):
+    lat, k = F.round(F.col("value") % 90, 4).cast("string"), F.col("event_id") % 4
+    c = F.when(k == 0, F.concat_ws(",", lat, F.lit("7.5"))).when(k == 1, F.concat_ws(" , ", lat, F.lit("7.5"))).when(k == 2, lat)
+    return listing.location_detail(_t(s, d, "events").select("event_id", c.alias("coordinates"))).select("event_id", "lat", "lng")
+
+
+@_query("SELECT event_type AS status, 'person' AS entity_type, count(*) AS total FROM events GROUP BY 1")
+def queue_totals(s, d):
+    return listing.queue_totals(_t(s, d, "events").select(F.col("event_type").alias("status"), F.lit("person").alias("entity_type")))
+
+
+# --- changes of tables ----------------------------------------------------------------
+
+
+@_query("SELECT 'person_' || c_custkey AS vid, c_name AS name, '' AS state, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, '') AS category FROM customer WHERE c_custkey % 3 <> 0")
+def new_vertices(s, d):
+    c = _t(s, d, "customer").select(_key("person", "c_custkey").alias("vid"), F.col("c_name").alias("name"), "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("category"))
+    table = c.filter("c_custkey % 3 = 0").select("vid", "name", "category", F.lit("x").alias("state"))
+    return mutations.new_vertices(c.select("vid", "name", "category").unionByName(c.select("vid", "name", "category")), table).select("vid", "name", "state", "category")
+
+
+@_query("SELECT 'person_' || o_custkey AS src, 'equip_' || o_orderkey AS dst, CASE o_orderkey % 4 WHEN 0 THEN 'use_edge' WHEN 1 THEN 'locate' WHEN 2 THEN 'org_relation' ELSE 'social' END AS type, CASE WHEN o_orderkey % 5 = 0 THEN 'sub' ELSE ['use', ' Locate ', 'org_relation', 'likes'][CAST(o_orderkey % 4 AS INT) + 1] END AS sub_type, CAST(0.9 AS DOUBLE) AS confidence, CAST(o_orderkey AS VARCHAR) AS source FROM orders")
+def new_edges(s, d):
+    relation = F.element_at(F.array(*map(F.lit, ("use", " Locate ", "org_relation", "likes"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = _t(s, d, "orders").select(_key("person", "o_custkey").alias("src"), _key("equip", "o_orderkey").alias("dst"), relation.alias("relation"), F.when(F.col("o_orderkey") % 5 == 0, "sub").otherwise("").alias("sub_type"), F.col("o_orderkey").alias("source"))
+    return mutations.new_edges(rows, _now()).drop("created_at")
+
+
+@_query("SELECT 'record_article_' || o_orderkey AS vid, 'articles' AS source_table, CAST(o_orderkey AS VARCHAR) AS source_pk, o_orderpriority AS summary FROM orders UNION ALL SELECT 'record_import_person_' || c_custkey, 'manual_import', 'person_' || c_custkey, 'manual import: file' FROM customer")
+def provenance_records(s, d):
+    articles = mutations.article_records(_t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")), _now())
+    imports, _ = mutations.import_records(_t(s, d, "customer").select(_key("person", "c_custkey").alias("vid")), _now(), "file")
+    return articles.unionByName(imports).select("vid", "source_table", "source_pk", "summary")
+
+
+@_query("SELECT 'record_article_' || o_orderkey AS src, 'person_' || o_custkey AS dst, CAST(0.9 AS DOUBLE) AS confidence, 'article' AS source FROM orders UNION ALL SELECT 'record_import_person_' || c_custkey, 'person_' || c_custkey, 1.0, 'manual_import' FROM customer")
+def provenance_traces(s, d):
+    own = mutations.trace_edges(_t(s, d, "orders").select(_key("record_article", "o_orderkey").alias("record"), _key("person", "o_custkey").alias("vid")), _now())
+    _, imports = mutations.import_records(_t(s, d, "customer").select(_key("person", "c_custkey").alias("vid")), _now())
+    return own.unionByName(imports).select("src", "dst", "confidence", "source")
+
+
+@_query("""WITH i AS (SELECT s_suppkey AS k, s_nationkey, s_suppkey AS ordinal, 'S' || (s_suppkey % 40) AS name FROM supplier), e AS (SELECT c_custkey AS k, 'S' || c_custkey AS name FROM customer WHERE c_custkey % 2 = 0),
+u AS (SELECT e.k, max_by(CAST(s_nationkey AS VARCHAR), ordinal) AS category FROM e JOIN i USING (name) GROUP BY 1)
+SELECT 'equip_' || e.k AS vid, e.name, coalesce(u.category, 'old') AS category FROM e LEFT JOIN u USING (k)""")
+def upsert_known_equipment(s, d):
+    e = _t(s, d, "customer").filter("c_custkey % 2 = 0").select(_key("equip", "c_custkey").alias("vid"), F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("name"), F.lit("old").alias("category"), F.lit("").alias("state"))
+    i = _t(s, d, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("S"), (F.col("s_suppkey") % 40).cast("string")).alias("name"), F.lit("").alias("designation"), F.col("s_nationkey").cast("string").alias("category"), F.lit("").alias("state"))
+    out = mutations.upsert_equipment(e, i)
+    return out.join(e.select("vid"), "vid").select("vid", "name", "category")
+
+
+@_query("""WITH p AS (SELECT 'equip_' || user_id AS vid, max_by(CAST(round(value, 3) AS VARCHAR) || ',1.5', event_id) AS at, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT c.vid, coalesce(p.at, 'none') AS coordinates, coalesce(p.n, 0) AS n FROM (SELECT 'equip_' || c_custkey AS vid FROM customer WHERE c_custkey % 2 = 0) c LEFT JOIN p USING (vid)""")
+def import_positions(s, d):
+    e = _t(s, d, "customer").filter("c_custkey % 2 = 0").select(_key("equip", "c_custkey").alias("vid"), _key("n", "c_custkey").alias("name"), F.lit("none").alias("coordinates"))
+    even = F.col("event_id") % 2 == 0
+    items = _t(s, d, "events").select(F.col("event_id").alias("ordinal"), F.when(even, _key("n", "user_id")).otherwise("").alias("designation"), F.when(even, F.lit("other")).otherwise(_key("n", "user_id")).alias("name"), F.round("value", 3).alias("lat"), F.lit(1.5).alias("lng"), F.col("ts").cast("string").alias("reported_at"))
+    history, own = mutations.import_positions(e, s.createDataFrame([], "vid string, lat double, lng double, reported_at string"), items)
+    n = history.groupBy("vid").agg(F.count("*").alias("n"))
+    return own.join(n, "vid", "left").select("vid", "coordinates", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("SELECT count(*) AS n, count(*) + 50 AS highest, 51 AS lowest FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey > 20)")
+def import_by_name(s, d):
+    c = _t(s, d, "customer").select(F.col("c_name").alias("name"), "c_custkey")
+    table = c.filter("c_custkey <= 20").select(F.when(F.col("c_custkey") == 1, "loc_50").otherwise(_key("loc", "c_custkey")).alias("vid"), "name")
+    out = mutations.import_by_name(table, c.select("name").unionByName(c.select("name")), "loc").withColumn("k", text.vid_number(F.col("vid")))
+    return out.agg(F.count("*").alias("n"), F.max("k").alias("highest"), F.min("k").alias("lowest"))
+
+
+@_query(r"""SELECT url, substring(CASE WHEN page_id % 2 = 0 THEN 'plain' ELSE trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END, 1, 10000) AS content
+FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""")
+def import_articles_into_table(s, d):
+    p = _t(s, d, "pages")
+    items = p.select("url", F.when(F.col("page_id") % 2 == 0, "plain").otherwise(F.col("html")).alias("content"), "page_id")
+    first = items.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("page_id"))).filter("r = 1").select("url", "content")
+    return mutations.import_articles(p.filter("page_id % 3 = 0").select("url"), first.unionByName(first.limit(0))).select("url", "content")
+
+
+@_query("SELECT 1 + (row_number() OVER (ORDER BY source) - 1) * 0 AS one, source AS name FROM (SELECT DISTINCT source FROM documents WHERE source <> '')")
+def known_sources(s, d):
+    docs = _t(s, d, "documents").select("source")
+    first = docs.filter("source <> ''").agg(F.min("source").alias("name")).filter("name is not null").select(F.lit(7).cast("long").alias("id"), "name")
+    out = mutations.known_sources(first, docs)
+    return out.select(F.lit(1).cast("long").alias("one"), "name")
+
+
+@_query("SELECT event_id AS id FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id + 1000000 FROM events WHERE event_id % 3 <> 0")
+def cleared_and_remaining(s, d):
+    e = _t(s, d, "events")
+    queue = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "pending").otherwise("merged").alias("status"))
+    todo = e.select((F.col("event_id") + 1_000_000).alias("pair_id"))
+    left = mutations.remaining(todo, todo.filter("(pair_id - 1000000) % 3 = 0"))
+    return mutations.cleared(queue).select("id").unionByName(left.select(F.col("pair_id").alias("id")))
+
+
+@_query("SELECT doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN 'done' WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 AND doc_id % 2 = 0 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN repeat('long text ', 5) || 'end' ELSE 'old' END AS content FROM documents")
+def article_lifecycle(s, d):
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("id"))
+    a = docs.withColumns({"status": F.lit("failed"), "content": F.lit("old"), "entities_extracted": F.lit(True)})
+    reset = mutations.reset_articles(a, docs.filter("id % 3 = 0"))
+    pages = docs.filter("id % 5 = 0").withColumn("html", F.when(F.col("id") % 2 == 0, F.concat(F.lit("<p>"), F.repeat(F.lit("long text "), 5), F.lit("end</p>"))).otherwise("<p>short</p>"))
+    done = mutations.finished_articles(mutations.refetched(reset, pages), docs.filter("id % 6 = 0").unionByName(docs.select(-F.col("id")).toDF("id")))
+    return done.select("id", "status", "content")
+
+
+# --- what extraction saves ------------------------------------------------------------
+
+
+def _results(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each order is an article in which its first part was seen at a nation by its customer; results, articles and known entities."""
+    o, line = _t(s, d, "orders"), _t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("part"))
+    n, c = _t(s, d, "nation"), _t(s, d, "customer")
+    rows = o.join(line, "o_orderkey").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey")), "o_custkey").join(n.select("n_nationkey", "n_name"), "n_nationkey")
+    none = F.lit(None).cast("string")
+    no_alias = F.array().cast("array<string>")
+    part = F.concat(F.lit("Ship "), F.col("part").cast("string"))
+    relation = F.when(F.col("o_orderkey") % 4 == 0, "locate").when(F.col("o_orderkey") % 4 == 1, "based_at").when(F.col("o_orderkey") % 4 == 2, "mentioned").otherwise("use")
+    rel = lambda *x: F.struct(*(v.alias(k) for k, v in zip(("subject_type", "subject_name", "relation", "sub_type", "object_type", "object_name"), x, strict=True)))
+    schema = dict(f.split(" ", 1) for f in extraction.RESULT.strip().replace(",\n", "\n").split("\n"))
+    arrays = {
+        "equipment": F.array(F.struct(part.alias("name"), F.array(F.concat(F.lit("No "), F.col("part").cast("string"))).alias("aliases"), none.alias("designation"), F.lit("ship").alias("equipment_type"), F.lit("c").alias("category"), none.alias("status"))),
+        "persons": F.array(F.struct(F.col("c_name").alias("name"), no_alias.alias("aliases"), none.alias("rank"), F.lit("captain").alias("position"), none.alias("service_branch"))),
+        "locations": F.array(F.struct(F.col("n_name").alias("name"), no_alias.alias("aliases"), none.alias("location_type"), none.alias("country"), F.lit("r").alias("region"), (F.col("n_nationkey") + 1.5).alias("lat"), F.when(F.col("n_nationkey") % 2 == 0, 2.5).alias("lng"))),
+        "organizations": F.array(), "activities": F.lit(None),
+        "relations": F.array(rel(F.lit("ship"), part, relation, F.lit("located_at"), F.lit("base"), F.col("n_name")), rel(F.lit("person"), F.col("c_name"), F.lit("use"), none, F.lit("equipment"), F.concat(F.lit("No "), F.col("part").cast("string"))), rel(F.lit("person"), F.lit("Nobody"), F.lit("use"), none, F.lit("equipment"), part)),
+    }
+    results = rows.select(F.col("o_orderkey").alias("article_id"), *(v.cast(schema[k]).alias(k) for k, v in arrays.items()))
+    articles = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit("Seen. Here was it. End").alias("content"))
+    parts = _t(s, d, "part").filter("p_partkey % 2 = 0")
+    known = parts.select(F.lit("equipment").alias("entity_type"), _key("equip", "p_partkey").alias("vid"), F.concat(F.lit("Ship "), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("No "), F.col("p_partkey").cast("string")).alias("aliases"), F.create_map(F.lit("category"), F.lit("c"), F.lit("state"), F.lit("x")).alias("props"))
+    return results, articles, known
+
+
+def _saved(s: SparkSession, d: str) -> extraction.Saved:
+    results, articles, known = _results(s, d)
+    names = results.select(F.explode("equipment.name").alias("name")).distinct()
+    unsure = names.filter("cast(substring(name, 6) as int) % 4 = 0").select(F.lit("equipment").alias("entity_type"), "name", F.lit(None).cast("string").alias("match_vid"), F.lit(0.1).alias("confidence"), F.lit("unclear").alias("reason"))
+    told = names.filter("cast(substring(name, 6) as int) % 4 = 2").select(F.lit("equipment").alias("entity_type"), "name", F.concat(F.lit("equip_"), F.substring("name", 6, 20)).alias("match_vid"), F.lit(0.9).alias("confidence"), F.lit("same").alias("reason"))
+    return extraction.save_extraction(results, articles, known, _now(), unsure.unionByName(told))
+
+
+_SEEN_SQL = "ar AS (SELECT o_orderkey AS id, (SELECT min(l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS part, c_name, c_nationkey AS nk, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey), sn AS (SELECT * FROM ar WHERE part IS NOT NULL)"
+
+
+@_query(f"""WITH {_SEEN_SQL} SELECT 'equipment' AS entity_type, 'Ship ' || part AS name, 'No ' || part AS aliases, 'active' AS probe FROM sn WHERE part % 4 <> 2 GROUP BY part UNION ALL SELECT 'person', c_name, '', 'captain' FROM sn GROUP BY c_name
+UNION ALL SELECT 'location', n_name, '', CASE WHEN nk % 2 = 0 THEN (nk + 1.5) || ',2.5' ELSE '' END FROM sn GROUP BY n_name, nk""")
+def extraction_vertices(s, d):
+    probe = F.coalesce(*(F.try_element_at("props", F.lit(k)) for k in ("state", "occupation", "coordinates")))
+    return _saved(s, d).vertices.select("entity_type", "name", "aliases", probe.alias("probe"))
+
+
+@_query(f"""WITH {_SEEN_SQL} SELECT split_part('equip_x', '_', 1) AS src, 'loc' AS dst, CASE id % 4 WHEN 0 THEN 'locate' ELSE 'social' END AS type, 'located_at' AS sub_type, CAST(id AS VARCHAR) AS source FROM sn WHERE id % 4 < 2
+UNION ALL SELECT 'equip', 'loc', 'use_edge', 'located_at', CAST(id AS VARCHAR) FROM sn WHERE id % 4 = 3 UNION ALL SELECT 'person', 'equip', 'use_edge', 'other', CAST(id AS VARCHAR) FROM sn WHERE part % 2 = 0""")
+def extraction_edges(s, d):
+    kind = lambda c: F.substring_index(c, "_", 1).alias(c)
+    return _saved(s, d).edges.select(kind("src"), kind("dst"), "type", "sub_type", "source")
+
+
+@_query(f"WITH {_SEEN_SQL} SELECT id AS article_id, CAST(nk + 1.5 AS DOUBLE) AS lat, CAST(2.5 AS DOUBLE) AS lng, CASE id % 4 WHEN 0 THEN 'located_at' ELSE 'based_at' END || ' → ' || n_name AS notes FROM sn WHERE id % 4 < 2 AND nk % 2 = 0")
+def extraction_positions(s, d):
+    return _saved(s, d).positions.select("article_id", "lat", "lng", "notes")
+
+
+@_query(f"WITH {_SEEN_SQL} SELECT 'equip_' || part AS vid_b, 'Ship ' || part AS name_a, CAST(id AS BIGINT) AS source_article, 'Seen. Here was it. End' AS context FROM sn WHERE part % 4 = 0")
+def extraction_uncertain(s, d):
+    return _saved(s, d).uncertain.select("vid_b", "name_a", "source_article", "context")
+
+
+@_query(f"WITH {_SEEN_SQL} SELECT id AS article_id, 1 AS n_equipment, 1 AS n_persons, 0 AS n_activities, 3 AS n_relations FROM sn")
+def extraction_counts(s, d):
+    return extraction.extraction_counts(_results(s, d)[0]).select("article_id", "n_equipment", "n_persons", "n_activities", "n_relations")

@@ -87,7 +87,7 @@ def import_positions(equipment: DataFrame, history: DataFrame, items: DataFrame)
     found = find_equipment(items, equipment).filter("vid is not null")
     rows = found.select("vid", "lat", "lng", "reported_at")
     last = found.groupBy("vid").agg(F.max_by(F.struct("lat", "lng", "reported_at"), "ordinal").alias("p"))
-    own = equipment.join(last, "vid", "left").withColumn("coordinates", F.coalesce(F.concat_ws(",", "p.lat", "p.lng"), "coordinates") if "coordinates" in equipment.columns else F.when(F.col("p").isNotNull(), F.concat_ws(",", "p.lat", "p.lng")))
+    own = equipment.join(last, "vid", "left").withColumn("coordinates", F.coalesce(F.when(F.col("p").isNotNull(), F.concat_ws(",", "p.lat", "p.lng")), "coordinates") if "coordinates" in equipment.columns else F.when(F.col("p").isNotNull(), F.concat_ws(",", "p.lat", "p.lng")))
     return history.select("vid", "lat", "lng", "reported_at").unionByName(rows), own.drop("p")
 
 
