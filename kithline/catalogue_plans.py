@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from kithline.catalogue import _query, _t
 from kithline.functions import replies, text
 from kithline.operators import crosslingual, evaluation, graph, learning, listing, mutations, scorer
 from kithline.plans import extraction, fusion
-from kithline.scratch import materialise
+from kithline.scratch import shared_dir
+from kithline.sources import feeds, files
+from kithline.streaming import streams
 
 
 def _key(prefix: str, column: str):
@@ -462,12 +466,12 @@ def types_by_count(s, d):
     return listing.counts_descending(_t(s, d, "part"), "p_type")
 
 
-@_query("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 3 <> 1 AND p_brand = 'Brand#11'")
+@_query("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 3 <> 1 AND p_brand LIKE 'Brand#1%'")
 def active_ships(s, d):
     kind = F.when(F.col("p_type") == "ECONOMY", "ship").otherwise("other")
     state = F.when(F.col("p_partkey") % 3 == 0, "active").when(F.col("p_partkey") % 3 == 1, "retired")
-    e = _t(s, d, "part").select("p_partkey", kind.alias("equip_type"), state.alias("state"), F.col("p_brand").alias("category"))
-    return listing.active_ships(e, "Brand#11").select("p_partkey")
+    e = _t(s, d, "part").select("p_partkey", kind.alias("equip_type"), state.alias("state"), F.substring("p_brand", 1, 7).alias("category"))
+    return listing.active_ships(e, "Brand#1").select("p_partkey")
 
 
 @_query("SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN round(value % 90, 4) END AS lat, CASE WHEN event_id % 4 IN (0, 1) THEN 7.5::DOUBLE END AS lng FROM events")
@@ -644,3 +648,236 @@ def extraction_uncertain(s, d):
 @_query(f"WITH {_SEEN_SQL} SELECT id AS article_id, 1 AS n_equipment, 1 AS n_persons, 0 AS n_activities, 3 AS n_relations FROM sn")
 def extraction_counts(s, d):
     return extraction.extraction_counts(_results(s, d)[0]).select("article_id", "n_equipment", "n_persons", "n_activities", "n_relations")
+
+
+# --- readers of staged files ----------------------------------------------------------
+
+
+def _staged(rows: DataFrame, name: str) -> str:
+    """The path of a text file's folder with these lines, in the shared folder; rows: line."""
+    path = f"{shared_dir(rows.sparkSession)}/kithline-staged-{name}-{uuid.uuid4().hex}"
+    rows.select("line").coalesce(1).write.text(path)
+    return path
+
+
+def _lines(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(F.concat_ws("\t", *columns).alias("line"))
+
+
+@_query("SELECT 'http://x/' || n_nationkey AS uri, n_name AS label, CASE WHEN n_nationkey % 2 = 0 THEN 'T' || n_name ELSE n_name END AS trans FROM nation")
+def read_labels(s, d):
+    n = _t(s, d, "nation")
+    uri = F.concat(F.lit("http://x/"), F.col("n_nationkey").cast("string"))
+    own = _lines(n, uri, "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("T"), "n_name")))
+    return files.labels(s, _staged(own.unionByName(_lines(n, uri)), "labels"))
+
+
+@_query("SELECT 'a' || c_custkey AS uri_a, 'b' || c_nationkey AS uri_b FROM customer WHERE c_custkey % 3 <> 0")
+def read_alignment(s, d):
+    third = F.when(F.col("c_custkey") % 3 == 0, "more")
+    return files.alignment(s, _staged(_lines(_t(s, d, "customer"), F.concat(F.lit("a"), F.col("c_custkey").cast("string")), F.concat(F.lit("b"), F.col("c_nationkey").cast("string")), third), "alignment"))
+
+
+@_query("SELECT 'http://x/' || c_custkey AS uri, array_to_string(list_sort(list_distinct([lower(c_mktsegment), 'n' || c_nationkey])), ',') AS attributes FROM customer")
+def read_attributes(s, d):
+    own = _lines(_t(s, d, "customer"), F.concat(F.lit("http://x/"), F.col("c_custkey").cast("string")), F.concat(F.lit("p/"), "c_mktsegment"), F.concat(F.lit("q/N"), F.col("c_nationkey").cast("string")), F.concat(F.lit("r/"), F.lower("c_mktsegment")))
+    return files.attributes(s, _staged(own, "attributes"), True).select("uri", F.array_join(F.array_sort("attributes"), ",").alias("attributes"))
+
+
+@_query("SELECT 's' || s_suppkey AS s, 'in' AS p, 'n' || s_nationkey AS o FROM supplier WHERE s_suppkey % 2 = 0")
+def read_triples(s, d):
+    end = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    return files.triples(s, _staged(_lines(_t(s, d, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.lit("in"), end), "triples"))
+
+
+def _object(rows: DataFrame, key: str, item) -> DataFrame:
+    """One line: a JSON object with the items in a list; small tables only."""
+    return rows.agg(F.to_json(F.struct(F.collect_list(item).alias(key))).alias("line"))
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS pair_id, CASE WHEN n_nationkey % 2 = 0 THEN 'activity' ELSE 'person' END AS entity_type, n_name AS name_a, 'v' AS k FROM nation")
+def read_pair_set(s, d):
+    kind = F.when(F.col("n_nationkey") % 2 == 0, "event").otherwise("person")
+    item = F.struct(F.col("n_nationkey").cast("string").alias("pair_id"), F.col("n_name").alias("name_a"), kind.alias("type_a"), F.create_map(F.lit("k"), F.lit("v")).alias("props_a"))
+    out = files.pair_set(s, _staged(_object(_t(s, d, "nation"), "same_type_pairs", item), "pairs"))
+    return out.select("pair_id", "entity_type", "name_a", F.col("props_a")["k"].alias("k"))
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS pair_id, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 0 END AS label FROM nation WHERE n_nationkey % 3 < 2")
+def read_ground_truth(s, d):
+    label = F.when(F.col("n_nationkey") % 3 == 0, "same").when(F.col("n_nationkey") % 3 == 1, "different").otherwise("unsure")
+    return files.ground_truth(s, _staged(_object(_t(s, d, "nation"), "records", F.struct(F.col("n_nationkey").cast("string").alias("pair_id"), label.alias("final_label"))), "truth"))
+
+
+@_query("SELECT 'v' || n_nationkey AS key, n_name AS verdict FROM nation")
+def read_keyed_json(s, d):
+    entry = F.struct(F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("k"), F.struct(F.col("n_name").alias("verdict")).alias("v"))
+    line = _t(s, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("line"))
+    return files.keyed_json(s, _staged(line, "keyed"), "struct<verdict:string>")
+
+
+@_query("SELECT 'equipment' AS section, n_name AS name, row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal FROM nation UNION ALL SELECT 'locations', r_name, row_number() OVER (ORDER BY r_regionkey) - 1 FROM region")
+def read_import(s, d):
+    ordered = lambda t, k, n: _t(s, d, t).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, n))), lambda x: F.struct(x[n].alias("name"))).alias("x"))
+    both = ordered("nation", "n_nationkey", "n_name").withColumnRenamed("x", "equipment").crossJoin(ordered("region", "r_regionkey", "r_name").withColumnRenamed("x", "locations"))
+    parts = files.import_file(s, _staged(both.select(F.to_json(F.struct("equipment", "locations")).alias("line")), "import"))
+    section = lambda k: parts[k].select(F.lit(k).alias("section"), "name", F.col("ordinal").cast("long").alias("ordinal"))
+    return section("equipment").unionByName(section("locations")).unionByName(parts["articles"].select(F.lit("x").alias("section"), F.col("title").alias("name"), F.col("ordinal").cast("long").alias("ordinal")))
+
+
+@_query("SELECT max('unified_v' || n_nationkey) AS version FROM nation")
+def newest_model_version(s, d):
+    v = _t(s, d, "nation").select(F.concat(F.when(F.col("n_nationkey") < 100, "unified_v").otherwise("x"), F.col("n_nationkey").cast("string")).alias("version"))
+    return files.newest_version(v.unionByName(s.createDataFrame([("zzz_v9",)], "version string")), "unified")
+
+
+@_query("SELECT 'u' || n_nationkey AS url, 'Navy ' || n_name AS title, 'text of ' || n_name AS content FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 30)")
+def read_rss(s, d):
+    n = _t(s, d, "nation")
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(
+        F.lit("<item><title>Navy "), x["n_name"], F.lit("</title><link>u"), x["n_nationkey"].cast("string"), F.lit("</link><description>&lt;p&gt;text of "), x["n_name"], F.lit("&lt;/p&gt;</description></item>"))), "")
+    path = _staged(n.agg(F.concat(F.lit("<rss><channel><item><title>cooking</title><link>c</link><description>x</description></item>"), items, F.lit("</channel></rss>")).alias("line")), "rss")
+    return feeds.rss(s, path, "daily").select("url", "title", "content")
+
+
+@_query("SELECT 'u' || n_nationkey AS url, 'fleet ' || n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN repeat('word ', 60) || 'end' ELSE '' END AS content FROM nation WHERE n_nationkey % 5 <> 0")
+def read_json_feed(s, d):
+    n = _t(s, d, "nation")
+    title = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("fleet yoga "), "n_name")).otherwise(F.concat(F.lit("fleet "), "n_name"))
+    path = _staged(_object(n, "articles", F.struct(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("url"), title.alias("title"), F.lit("20240131T120000Z").alias("seendate"))), "feed")
+    bodies = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit("<article>"), F.repeat(F.lit("word "), 60), F.lit("end</article>")).alias("html"))
+    return feeds.json_feed(s, path, "daily", bodies).select("url", "title", "content")
+
+
+# --- streams --------------------------------------------------------------------------
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _ended(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream's last micro-batch gives in complete mode, or all of them in append mode."""
+    s = stream.sparkSession
+    base = f"{shared_dir(s)}/kithline-stream-{uuid.uuid4().hex}"
+    put = lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
+
+
+@_query("SELECT 'equip_' || user_id AS vid, max(ts) AS reported_at FROM events GROUP BY 1")
+def stream_latest_positions(s, d):
+    rows = _stream(s, d).select(_key("equip", "user_id").alias("vid"), F.col("value").alias("lat"), F.lit(0.0).alias("lng"), F.col("ts").alias("reported_at"))
+    return _ended(streams.latest_positions(rows), "complete").select("vid", F.col("reported_at").cast("timestamp_ntz").alias("reported_at"))
+
+
+@_query("WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) - to_days(CAST(k AS INT)) AS start FROM events, range(7) r(k)) SELECT event_type, start, count(*) AS n FROM w GROUP BY 1, 2")
+def stream_sliding_counts(s, d):
+    return _ended(streams.sliding_counts(_stream(s, d), "ts", "7 days", "1 day", "1 day", "event_type"), "complete").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b, event_id FROM events), k AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, session""")
+def stream_sessions(s, d):
+    return _ended(streams.sessions(_stream(s, d), "user_id"), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query("SELECT DISTINCT user_id FROM events")
+def stream_distinct(s, d):
+    return _ended(streams.distinct_within(_stream(s, d), "user_id", "ts", "400 days").select("user_id"), "append")
+
+
+@_query("SELECT 'u' || user_id AS url, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 7 <> 0) GROUP BY 1")
+def stream_new_articles(s, d):
+    table = f"kithline_articles_{uuid.uuid4().hex}"
+    rows = _stream(s, d).select(F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("url"), "event_id")
+    for k in range(2):  # a second reader finds nothing new
+        streams.new_articles(s, rows, table, f"{shared_dir(s)}/kithline-stream-{table}-{k}").awaitTermination()
+    return s.table(table).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n, 1 AS trained FROM events")
+def stream_retrain(s, d):
+    table, calls = f"kithline_counts_{uuid.uuid4().hex}", []
+    streams.retrain_every(_stream(s, d), table, 50, lambda: calls.append(1), f"{shared_dir(s)}/kithline-stream-{table}").awaitTermination()
+    return s.table(table).agg(F.sum("n").alias("n")).withColumn("trained", F.lit(len(calls)))
+
+
+# --- learning -------------------------------------------------------------------------
+
+
+def _feature_rows(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "labels")
+    k = ((F.col("doc_id") * 37) % 101) / 101.0
+    p = F.when(F.col("quality") == 1, 0.3 + 0.7 * k).otherwise(0.8 * k)
+    f = F.create_map(F.lit("p"), p, F.lit("toxic"), F.col("toxic").cast("double"), F.lit("constant"), F.lit(3.0))
+    return x.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("label"), F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")).alias("entity_type"), f.alias("features"))
+
+
+_FEATURE_SQL = "u AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), fr AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 0.3::DOUBLE + 0.7::DOUBLE * (((doc_id * 37) % 101) / 101.0::DOUBLE) ELSE 0.8::DOUBLE * (((doc_id * 37) % 101) / 101.0::DOUBLE) END AS p, toxic::DOUBLE AS toxic, quality AS label FROM u)"
+
+
+@_query(f"WITH {_FEATURE_SQL}, m AS (SELECT avg(p) AS a, stddev_pop(p) AS b, avg(toxic) AS c, stddev_pop(toxic) AS d FROM fr) SELECT pair_id, round((p - a) / b, 6) AS p, CASE WHEN d > 0 THEN round((toxic - c) / d, 6) ELSE 0.0 END AS toxic, 0.0::DOUBLE AS constant FROM fr, m")
+def training_matrix(s, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _feature_rows(s, d)
+    names = learning.feature_names(rows)
+    z, _, _ = learning.standardise(learning.matrix(rows, names), len(names))
+    return z.select("pair_id", *(F.round(vector_to_array("z")[i], 6).alias(n) for i, n in enumerate(names)))
+
+
+@_query(f"WITH {_FEATURE_SQL} SELECT count(*) AS n, count(DISTINCT label) * 5 AS cells, CAST(1 AS BIGINT) AS spread FROM fr")
+def stratified_folds(s, d):
+    """Folds differ by one row at most within each label."""
+    own = learning.folds(_feature_rows(s, d)).groupBy("label", "fold").agg(F.count("*").alias("n"))
+    per = own.groupBy("label").agg((F.max("n") - F.min("n")).alias("spread"), F.sum("n").alias("n"), F.count("*").alias("cells"))
+    return per.agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.greatest(F.max("spread"), F.lit(1)).alias("spread"))
+
+
+@_query()
+def cross_validation(s, d):
+    x = _t(s, d, "labels")
+    v = x.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("pair_id"), F.when((F.col("doc_id") % 5 == 1) != (F.col("quality") == 1), "same").otherwise("different").alias("verdict")).dropDuplicates(["pair_id"])
+    return learning.cross_validate(_feature_rows(s, d), v, 70.0)
+
+
+@_query("SELECT round(merge_t, 2) AS merge_t, round((0.9 * i + 0.8 * (1 - i)) * 100, 2) AS adaptive_pct FROM (SELECT unnest([0.4, 0.5, 0.6]::DOUBLE[]) AS merge_t, unnest([0.9, 0.7, 0.5]::DOUBLE[]) AS i)")
+def adaptive_pipeline_column(s, d):
+    rows = s.createDataFrame([(0.4, 90.0), (0.5, 70.0), (0.6, 50.0)], "merge_t double, interception_pct double")
+    return evaluation.adaptive_pipeline(rows, 0.9, 0.8).select("merge_t", "adaptive_pct")
+
+
+@_query(f"WITH {_FEATURE_SQL}, g AS (SELECT unnest([0.5, 0.6]::DOUBLE[]) AS m), h AS (SELECT unnest([0.1, 0.2]::DOUBLE[]) AS r), c AS (SELECT m, r, round(count(*) FILTER (p <= r OR p >= m) * 100.0 / count(*), 3) AS v FROM fr, g, h GROUP BY 1, 2) SELECT m AS merge_t, max(v) FILTER (r = 0.1) AS r_0_1, max(v) FILTER (r = 0.2) AS r_0_2 FROM c GROUP BY 1")
+def sweep_matrix(s, d):
+    rows = _feature_rows(s, d).select("pair_id", "label", F.col("features")["p"].alias("p"))
+    return evaluation.sweep_matrix(evaluation.sweep(rows, evaluation.grid(s, [0.5, 0.6], [0.1, 0.2]), digits=3), "intercept_pct")
+
+
+@_query("SELECT doc_id AS pair_id, quality AS a, toxic AS b, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE -1 END AS c, CASE WHEN quality = 1 THEN 'x' ELSE 'y' END AS kind FROM labels WHERE doc_id % 2 = 0 QUALIFY count(*) OVER (PARTITION BY doc_id) = 1")
+def annotators_joined(s, d):
+    once = _t(s, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).filter("n = 1")
+    a, b = once.select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("label")), once.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("pair_id"), F.col("toxic").alias("label"))
+    human = once.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("pair_id"), F.lit(1).alias("label"))
+    votes = evaluation.joined_votes(a, b, human)
+    kinds = evaluation.with_labels(votes, a).select("pair_id", F.when(F.col("label") == 1, "x").otherwise("y").alias("kind"))
+    return votes.join(kinds, "pair_id").select("pair_id", "a", "b", "c", "kind")
+
+
+@_query("SELECT greatest(count(*) FILTER (event_type IN ('click', 'view') AND user_id % 2 = 0) - 10, 0) AS n FROM events")
+def new_feedback(s, d):
+    status = F.when(F.col("event_type") == "click", "merged").when(F.col("event_type") == "view", "disambig").otherwise("pending")
+    log = _t(s, d, "events").select(status.alias("status"), F.lit("llm").alias("notes"), F.when(F.col("user_id") % 2 == 0, "someone").alias("resolved_by"))
+    return learning.new_feedback(log, 10)
+
+
+@_query("SELECT 'a' || c_custkey AS uri_a, 'b' || c_custkey AS uri_b, 1 AS label FROM customer UNION ALL SELECT 'a' || s_suppkey, 'c' || s_suppkey, 0 FROM supplier")
+def labelled_union(s, d):
+    pair = lambda t, k, x: _t(s, d, t).select(F.concat(F.lit("a"), F.col(k).cast("string")).alias("uri_a"), F.concat(F.lit(x), F.col(k).cast("string")).alias("uri_b"))
+    return crosslingual.labelled_pairs(pair("customer", "c_custkey", "b"), pair("supplier", "s_suppkey", "c"))
+
+
+@_query(f"WITH {_FEATURE_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (p >= 0.5 AND label = 1) AS tp, count(*) FILTER (p >= 0.5 AND label = 0) AS fp, count(*) FILTER (p < 0.3 AND label = 0) AS tn, count(*) FILTER (p < 0.3 AND label = 1) AS fn, count(*) FILTER (p >= 0.3 AND p < 0.5) AS escalated FROM fr) SELECT *, round((tp + tn) / greatest(n - escalated, 1), 4) AS accuracy, round((n - escalated) / n, 4) AS interception FROM n")
+def escalated_confusion(s, d):
+    return crosslingual.escalated_confusion(_feature_rows(s, d).select("label", F.col("features")["p"].alias("score")))
