@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.scratch import materialise
+from kithline.scratch import materialise_counted
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,12 +17,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links is a hot key of a join between links and per-node minima; minima are combined
     before the shuffle and the adaptive planner splits the links.
     """
-    links = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct()
-    links, before = materialise(links, "links"), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before or not state[0]:
-            break
+    def written(found: DataFrame) -> tuple[DataFrame, tuple]:
+        out, state = materialise_counted(found, "links", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+        return out, (state["n"], state["sum"])
+
+    links, state = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct())
+    before = None
+    while state != before and state[0]:
         before = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,6 +32,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         small = joined.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(joined.select(F.col("m").alias("u"), "v"))
-        links = materialise(small.filter("u <> v").distinct(), "links")
+        links, state = written(small.filter("u <> v").distinct())
     members = links.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component")
     return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +39,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """materialise, and aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    written = materialise(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
+    return written, seen.get
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
