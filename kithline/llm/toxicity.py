@@ -280,13 +280,13 @@ def fit(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> M
     ship(docs.sparkSession)
     labelled = materialise(_labelled(docs, labels), "labelled")
     counts = materialise(_gram_counts(labelled), "grams")
-    n = {k: v or 0 for k, v in counts.agg(*(F.sum(c).alias(c) for c in _COUNTS)).first().asDict().items()}
+    n = {k: v or 0 for k, v in counts.agg(F.count(F.lit(1)).alias("n_grams"), *(F.sum(c).alias(c) for c in _COUNTS)).first().asDict().items()}
     ones, zeros = ([n[f"c{c}_{f}"] for f in LEARNED] for c in (1, 0))
     if not (any(ones) and any(zeros)):
         model = Model([])
         model.constant = 1.0 if any(ones) else 0.0
         return model
-    blocks = max(1, math.ceil(counts.count() / block_grams))
+    blocks = max(1, math.ceil(n["n_grams"] / block_grams))
     ratios = materialise(_ratios(counts).withColumn("block", F.pmod(F.xxhash64("context"), F.lit(blocks))), "ratios")
     model = Model(_blocks(ratios, blocks, (0,)))
     # Both classes must be left whichever fold is taken out.
@@ -294,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> M
         apart = Model(_blocks(ratios, blocks, LEARNED))
         _calibrate(model, apart, labelled)
         for block in apart.blocks:
-            block.unpersist()
+            block.destroy()
     return model
 
 
