@@ -57,7 +57,7 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"), "source", F.concat_ws("/", "source", "lang"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_live", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_live", "n_copied", "owners", "repositories", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,38 +128,38 @@ FROM x JOIN i ON x.s = i.s AND x.n = i.n GROUP BY x.doc_id, x.r, i.item_id, i.r
 
 _OP6 = r"""
 WITH d AS (
-  SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS text FROM documents
 ), k AS (
   SELECT * FROM (VALUES
     ('assign', '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
     ('access', 'AKIA[A-Z0-9]+'), ('hex', '[0-9a-f]+'), ('other', '[A-Za-z0-9+/_-]{20,}')) t(kind, pattern)
 ), m AS (
-  SELECT doc_id, rid, owner, 'assign' AS kind, string_split_regex(text, (SELECT pattern FROM k WHERE kind = 'assign')) AS gaps,
+  SELECT doc_id, rid, owner, repo, 'assign' AS kind, string_split_regex(text, (SELECT pattern FROM k WHERE kind = 'assign')) AS gaps,
          regexp_extract_all(text, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS found,
          regexp_extract_all(text, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vals FROM d
-  UNION ALL SELECT doc_id, rid, owner, 'access', string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) FROM d
-  UNION ALL SELECT doc_id, rid, owner, 'hex', string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0) FROM d
-  UNION ALL SELECT doc_id, rid, owner, 'other', string_split_regex(text, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0) FROM d
+  UNION ALL SELECT doc_id, rid, owner, repo, 'access', string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) FROM d
+  UNION ALL SELECT doc_id, rid, owner, repo, 'hex', string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0) FROM d
+  UNION ALL SELECT doc_id, rid, owner, repo, 'other', string_split_regex(text, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0) FROM d
 ), u AS (
-  SELECT doc_id, rid, owner, kind, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS found, unnest(vals) AS val FROM m WHERE len(found) > 0
+  SELECT doc_id, rid, owner, repo, kind, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS found, unnest(vals) AS val FROM m WHERE len(found) > 0
 ), p AS (
   SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM u
 ), good AS (
-  SELECT doc_id, rid, owner, kind, CAST(stop - length(found) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, val, CAST(stop - length(val) AS BIGINT) AS val_start FROM p
+  SELECT doc_id, rid, owner, repo, kind, CAST(stop - length(found) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, val, CAST(stop - length(val) AS BIGINT) AS val_start FROM p
   WHERE CASE kind WHEN 'assign' THEN length(val) >= 12 WHEN 'access' THEN length(val) >= 18 WHEN 'hex' THEN length(val) >= 16
-        ELSE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') END
-), live AS (
-  SELECT val FROM good GROUP BY val HAVING count(DISTINCT owner) <= 1
+        ELSE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND len(list_distinct(list_filter(string_split(val, ''), lambda c: c <> ''))) >= 12 END
+), owned AS (
+  SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repositories FROM good GROUP BY val
 ), s AS (
-  SELECT rid, kind, start, stop FROM good WHERE kind <> 'other'
-  UNION ALL SELECT DISTINCT rid, 'live', val_start, stop FROM good WHERE val IN (SELECT val FROM live)
+  SELECT rid, kind, start, stop, 0 AS owners, 0 AS repositories FROM good WHERE kind <> 'other'
+  UNION ALL SELECT DISTINCT rid, CASE WHEN owners <= 1 AND repositories <= 2 THEN 'live' ELSE 'copied' END, val_start, stop, owners, repositories FROM good JOIN owned USING (val)
 ), r AS (
-  SELECT rid, kind, start, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS rk, stop, concat_ws(':', kind, start, stop) AS label FROM s
+  SELECT rid, kind, start, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS rk, stop, owners, repositories, concat_ws(':', kind, start, stop) AS label FROM s
 ), a AS (
-  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'live') AS n_live,
-         string_agg(label, ',' ORDER BY start, rk, stop) FILTER (kind <> 'live') AS base, string_agg(label, ',' ORDER BY start, rk, stop) AS spans FROM r GROUP BY rid
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'live') AS n_live, count(*) FILTER (kind = 'copied') AS n_copied, max(owners) AS owners, max(repositories) AS repositories,
+         string_agg(label, ',' ORDER BY start, rk, stop) FILTER (kind NOT IN ('live', 'copied')) AS base, string_agg(label, ',' ORDER BY start, rk, stop) FILTER (kind <> 'copied') AS spans FROM r GROUP BY rid
 )
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(owners, 0) AS owners, coalesce(repositories, 0) AS repositories, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (rid)
 """
 

@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from kithline.llm.license_scan import scan_licenses
 from kithline.llm.secret_scan import scan_secrets
 from tests.llm.common import ROWS, documents, rows_of
@@ -23,7 +26,7 @@ def brute_base(text):
 
 
 def test_secrets(spark):
-    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 100_000] + [(100 + i, t) for i, t in enumerate(TEXTS)] + [(300, "password=shared-example-value1"), (301, "password=shared-example-value1")]
+    rows = ROWS + [(100 + i, t) for i, t in enumerate(TEXTS)] + [(300, "password=shared-example-value1"), (301, "password=shared-example-value1")]
     got = scan_secrets(documents(spark, rows))
     assert rows_of(got, "doc_id", "base") == sorted(((i, brute_base(t)) for i, t in rows), key=repr)
     by = {r.doc_id: r for r in got.collect()}
@@ -34,6 +37,33 @@ def test_secrets(spark):
     assert scan_secrets(documents(spark, [])).collect() == []
 
 
+def test_live_keys_are_told_from_examples(spark):
+    """Keys of one repository, examples of many owners, one owner's own example, and long words that are no keys."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    live, examples, own = [key(32) for _ in range(60)], [key(32) for _ in range(5)], key(32)
+    rows, planted = [], set()
+    for i in range(240):
+        text = [f"{rng.choice('ghi')}{rng.choice('JKL')}1" * 9, "/usr/lib/python3/dist-packages", f"Chapter-heading-{chr(103 + i % 10)}-without-digits", "ALLCAPSANDDIGITS1234567890X"]
+        if i % 4 == 0:
+            text.insert(rng.randrange(4), live[i // 4])
+            planted.add((i, live[i // 4]))
+        if i % 5 == 0:
+            text.insert(rng.randrange(4), "token=" + examples[i // 5 % 5])
+        if i % 8 == 1:
+            text.append(own)
+        rows.append((i, " ".join(text), f"l{i % 4 if i % 8 != 1 else i // 8 % 4}", "owner0" if i % 8 == 1 else f"owner{i % 7}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = scan_secrets(docs, "source", F.concat_ws("/", "source", "lang")).collect()
+    texts = {i: t for i, t, _, _ in rows}
+    found = {(r.doc_id, texts[r.doc_id][int(a): int(b)]) for r in got for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "live"}
+    # One key has no digit; nothing else is taken for a key.
+    assert found <= planted and len(found) == len(planted) - 1
+    assert all(r.n_copied >= (r.doc_id % 5 == 0) + (r.doc_id % 8 == 1) for r in got)
+    assert {r.repositories for r in got if r.doc_id % 8 == 1 and r.doc_id % 5} == {4}
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICES = [
     "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0 cc by nc CC-BY-NC", "the GNU General Public License, version 3",
@@ -55,7 +85,7 @@ def brute_licenses(text):
 
 
 def test_licenses(spark):
-    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 100_000] + [(100 + i, t) for i, t in enumerate(NOTICES)]
+    rows = ROWS + [(100 + i, t) for i, t in enumerate(NOTICES)]
     got = scan_licenses(documents(spark, rows))
     want = sorted(((i, *brute_licenses(t)) for i, t in rows), key=repr)
     assert rows_of(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
