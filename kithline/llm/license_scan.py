@@ -1,15 +1,19 @@
 """License notices by diagonal voting, with DataFrame functions only.
 
 Each three consecutive words of a document are hashed and joined with those of the
-templates.  A hit at word p of the document and word t of the template votes for the diagonal
-p - t; a notice stands where one diagonal has many votes.  Words that were added or left out
-move the rest of a notice to a neighbouring diagonal, so neighbours are merged before the
-share of the template that was hit is compared with the threshold.  Hits are verified by
-the words themselves.
+templates: the notices of common licences, read from notices.txt, and short phrases.  A hit at
+word p of the document and word t of the template votes for the diagonal p - t; a notice stands
+where one diagonal has many votes.  Words that were added or left out move the rest of a notice
+to a neighbouring diagonal, so neighbours are merged, as far as a notice may be spread.  The
+span is verified then: hits are compared word by word, and only those count that follow each other in the
+document as they do in the template.  Their share of the template is compared with the threshold.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +50,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), SEPARATOR, -1), "")
 
 
+def templates() -> list[tuple[list[str], str]]:
+    """(words, label) of the base phrases, the further phrases and the notices, in this order."""
+    out = [(phrase.split(" "), label) for phrase, label in BASE + NOTICES]
+    for part in Path(__file__).with_name("notices.txt").read_text().split("== ")[1:]:
+        label, text = part.split("\n", 1)
+        out.append((re.findall(r"[a-z0-9]+", text.lower()), label))
+    return out
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     """A row for each gram of each template; their number is fixed, so they can be broadcast."""
     rows = []
-    for i, (phrase, label) in enumerate(BASE + NOTICES):
-        words = phrase.split(" ")
+    for i, (words, label) in enumerate(templates()):
         grams = len(words) - GRAM + 1
         rows += [(i, i < len(BASE), label, grams, t, *words[t: t + GRAM]) for t in range(grams)]
     own = spark.createDataFrame(rows, "template int, is_base boolean, label string, n_grams int, t int, t0 string, t1 string, t2 string")
@@ -62,7 +74,7 @@ def scan_licenses(docs: DataFrame, share: float = SHARE, drift: int = DRIFT) ->
 
     docs needs doc_id and text.  n_base counts the places where a base phrase stands,
     first_word and last_word are the smallest and largest of their starts (null without
-    any).  labels adds those of templates of which at least share is hit on merged
+    any).  labels adds those of templates of which at least share is hit, in order, on merged
     diagonals; score is the largest share.  A null or empty text has no words, no labels and
     score 0.  Repeated rows are scanned each.  No rows give no rows.
     """
@@ -78,9 +90,17 @@ def scan_licenses(docs: DataFrame, share: float = SHARE, drift: int = DRIFT) ->
     whole = votes.groupBy("rid", "doc_id", "n_words", "template", "is_base", "label", "n_grams", "diagonal").agg(F.count("t").alias("votes"), F.collect_list("t").alias("ts"))
     by = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > drift).cast("int"), F.lit(0))
-    merged = whole.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(by))
+    merged = whole.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by))
+    # A notice is spread over as many further words as it has itself at most; a longer run of diagonals is cut.
+    first = F.min("diagonal").over(Window.partitionBy("rid", "template", "run"))
+    merged = merged.withColumn("cluster", F.struct("run", F.floor((F.col("diagonal") - first) / (F.col("n_grams") + drift)).alias("part")))
+    hits_of = F.transform("ts", lambda t: F.struct(t.cast("long").alias("t"), (t + F.col("diagonal")).cast("long").alias("p")))
+    start = F.struct(F.lit(-1).cast("long").alias("t"), F.lit(-1).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
+    follows = lambda s, x: F.when((x["t"] > s["t"]) & (x["p"] > s["p"]), F.struct(x["t"].alias("t"), x["p"].alias("p"), (s["n"] + 1).alias("n"))).otherwise(s)
+    in_order = F.aggregate(F.array_sort(F.flatten(F.collect_list("hits"))), start, follows, lambda s: s["n"])
+    merged = merged.withColumn("hits", hits_of)
     clusters = merged.groupBy("rid", "doc_id", "n_words", "template", "is_base", "label", "n_grams", "cluster").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("hit"),
+        in_order.alias("hit"),
         F.count_if(F.col("is_base") & (F.col("votes") == F.col("n_grams"))).alias("places"),
         F.min(F.when(F.col("is_base") & (F.col("votes") == F.col("n_grams")), F.col("diagonal"))).alias("first"),
         F.max(F.when(F.col("is_base") & (F.col("votes") == F.col("n_grams")), F.col("diagonal"))).alias("last"))

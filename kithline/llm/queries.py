@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kithline.llm.bpe_lexicon import encode
 from kithline.llm.decontaminate import contaminated
 from kithline.llm.exact_dedup import exact_dedup
-from kithline.llm.license_scan import BASE, NOTICES, scan_licenses
+from kithline.llm.license_scan import BASE, scan_licenses, templates
 from kithline.llm.secret_scan import scan_secrets
 from kithline.llm.simhash import near_duplicates
 from kithline.llm.substring_dedup import substring_dedup
@@ -166,7 +166,7 @@ FROM d LEFT JOIN a USING (rid)
 
 def _op8_sql() -> str:
     """The templates are the operator's own; everything else is written anew."""
-    rows = ", ".join(f"({i}, {str(i < len(BASE)).lower()}, '{phrase}', '{label}')" for i, (phrase, label) in enumerate(BASE + NOTICES))
+    rows = ", ".join(f"({i}, {str(i < len(BASE)).lower()}, '{' '.join(words)}', '{label}')" for i, (words, label) in enumerate(templates()))
     return rf"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
@@ -180,12 +180,13 @@ WITH d AS (
 ), dg AS (
   SELECT rid, id, is_base, label, n_grams, diagonal, count(*) AS votes, list(t) AS ts FROM h GROUP BY ALL
 ), c AS (
-  SELECT *, sum(apart) OVER (PARTITION BY rid, id ORDER BY diagonal) AS cluster
-  FROM (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal) > 2 AS INT), 0) AS apart FROM dg)
+  SELECT *, floor((diagonal - min(diagonal) OVER (PARTITION BY rid, id, run)) / (n_grams + 2)) AS cut FROM (SELECT *, sum(apart) OVER (PARTITION BY rid, id ORDER BY diagonal) AS run
+  FROM (SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal) > 2 AS INT), 0) AS apart FROM dg))
 ), m AS (
-  SELECT rid, id, is_base, label, n_grams, cluster, len(list_distinct(flatten(list(ts)))) / n_grams AS part,
+  SELECT rid, id, is_base, label, n_grams, run, cut,
+         list_reduce(list_sort(flatten(list(list_transform(ts, lambda t: {{'t': CAST(t AS BIGINT), 'p': CAST(t + diagonal AS BIGINT), 'n': CAST(1 AS BIGINT)}})))), lambda x, y: CASE WHEN y.t > x.t AND y.p > x.p THEN {{'t': y.t, 'p': y.p, 'n': x.n + 1}} ELSE x END).n / n_grams AS part,
          count(*) FILTER (is_base AND votes = n_grams) AS places, min(diagonal) FILTER (is_base AND votes = n_grams) AS lo, max(diagonal) FILTER (is_base AND votes = n_grams) AS hi
-  FROM c GROUP BY rid, id, is_base, label, n_grams, cluster
+  FROM c GROUP BY rid, id, is_base, label, n_grams, run, cut
 ), a AS (
   SELECT rid, sum(places) AS n_base, min(lo) AS lo, max(hi) AS hi, max(part) AS score,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0 OR part >= 0.8) AS labels

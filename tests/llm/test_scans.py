@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from kithline.llm.license_scan import scan_licenses
+from kithline.llm.license_scan import scan_licenses, templates
 from kithline.llm.secret_scan import scan_secrets
 from tests.llm.common import ROWS, documents, rows_of
 
@@ -96,3 +96,22 @@ def test_licenses(spark):
     # Two words in between move the rest to a neighbouring diagonal.
     assert "apache-2" in by[108].labels
     assert scan_licenses(documents(spark, [])).collect() == []
+
+
+def test_whole_notices(spark):
+    """Notices with words added, left out and in between are found; their words in another order are not."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for i, (words, label) in enumerate(t for t in templates() if len(t[0]) > 25):
+        own = list(words)
+        for _ in range(len(own) // 30):
+            at = rng.randrange(len(own))
+            own[at: at + rng.randrange(2)] = [f"new{i}"] * rng.randrange(1, 3)
+        rows.append((i, "Copyright 2020 somebody. " + " ".join(own).upper() + " and then the code"))
+        want[i] = label
+        rows.append((100 + i, " ".join(x for k in range(0, len(words) - 5, 6) for x in words[len(words) - k - 6: len(words) - k])))
+        rows.append((200 + i, " ".join(words[: len(words) // 2])))
+    got = {r.doc_id: r for r in scan_licenses(documents(spark, rows)).collect()}
+    assert len(want) >= 11 and all(label in got[i].labels.split(",") for i, label in want.items())
+    assert all(label not in got[100 + i].labels.split(",") for i, label in want.items() if label in ("bsd-2", "bsd-3", "isc", "zlib", "gpl-2"))
+    assert all(want[i] not in got[200 + i].labels.split(",") for i in want if want[i] not in ("mit", "apache-2", "unlicense"))
