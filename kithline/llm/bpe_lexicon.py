@@ -3,8 +3,9 @@
 Frequent words are compiled into an automaton that shares common prefixes and suffixes.
 Each transition carries the number of accepted words that come before it, so the sum along
 a word's path is the word's number, and under that number its token ids are stored.  The
-automaton and the ids are flat arrays in one byte string, which workers map into memory.  A
-word that is not accepted is merged by the tokenizer's rules.
+automaton and the ids are flat arrays in one file, which Spark brings to every executor and
+its workers map into memory read-only, so they share it.  A word that is not accepted is
+merged by the tokenizer's rules.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import os
 import re
 import struct
+import tempfile
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame
 
 from kithline.llm.frequent import LONGEST, frequent_pieces
-from kithline.llm.token_counts import _Shared
 from kithline.llm.shipping import ship
 
 TABLE_SIZE = 50_000
@@ -212,13 +215,14 @@ class Rules:
 class Lexicon(dict):
     """By word: the bytes of its ids, and its decoded text."""
 
-    def __init__(self, spec: bytes, table: bytes):
+    def __init__(self, spec: bytes, path: str):
+        """path: the file of compile_lexicon; it is mapped read-only, so all workers of a machine share its pages."""
         super().__init__()
         self.rules = Rules(spec)
-        self.memory = mmap.mmap(-1, max(len(table), 1))
-        self.memory[: len(table)] = table
+        with open(path, "rb") as f:
+            self.memory = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.automaton = Automaton(self.memory)
-        rest = memoryview(self.memory)[self.automaton.size: len(table)]
+        rest = memoryview(self.memory)[self.automaton.size:]
         (n,) = struct.unpack_from("<i", rest)
         self.bounds = rest[4: 4 + 4 * (n + 1)].cast("i")
         self.ids = rest[4 + 4 * (n + 1):]
@@ -263,11 +267,21 @@ def compile_lexicon(spec: bytes, words: list[str]) -> bytes:
 _LEXICONS: dict[str, Lexicon] = {}
 
 
-def _lexicon(shared) -> Lexicon:
-    if shared.id not in _LEXICONS:
+def _lexicon(spec: bytes, name: str) -> Lexicon:
+    """The lexicon in a file that Spark brought to this executor."""
+    if name not in _LEXICONS:
         _LEXICONS.clear()
-        _LEXICONS[shared.id] = Lexicon(*shared.value)
-    return _LEXICONS[shared.id]
+        _LEXICONS[name] = Lexicon(spec, SparkFiles.get(name))
+    return _LEXICONS[name]
+
+
+def _distributed(context: SparkContext, table: bytes) -> str:
+    """The name of a file with these bytes, which Spark's file server brings to each executor."""
+    handle, path = tempfile.mkstemp(prefix="kithline-lexicon-", suffix=".bin")
+    with os.fdopen(handle, "wb") as f:
+        f.write(table)
+    context.addFile(path)
+    return os.path.basename(path)
 
 
 _RULES: dict[bytes, Rules] = {}
@@ -298,10 +312,10 @@ def encode(docs: DataFrame, tokenizer_path: str, table_size: int = TABLE_SIZE) -
         return _rules(source.value).split(text)
 
     table = compile_lexicon(spec, frequent_pieces(docs, split, table_size))
-    shared = _Shared(context.broadcast((spec, table)))
+    name = _distributed(context, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lexicon(shared)
+        own = _lexicon(source.value, name)
         for batch in batches:
             found = [own.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

@@ -11,8 +11,9 @@ below 0.81 ** 64, or 2e-6, if all shared shingles are in one window, and about t
 they are spread over several.  Candidates are verified by exact shingle containment in the
 whole document.
 
-The minima of a window are looked up where the document is read: the items come in blocks
-of a checked size, each of which is broadcast, and only matches leave the task.
+The minima of a window are looked up where the document is read, in one pass over the documents:
+the items come in blocks of a checked size, each of which is broadcast, and only matches leave
+the task.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.words import Words, parts
+from kithline.llm.scratch import materialise
 from kithline.llm.shipping import ship
+from kithline.llm.words import Words, parts
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -34,6 +37,8 @@ HASHES = 64
 #: Bounds of what is broadcast at once.
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
+#: Blocks that a worker keeps in memory.
+HELD_BLOCKS = 4
 
 _ODD = (np.random.default_rng(7).integers(1, 1 << 31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
 
@@ -155,13 +160,25 @@ class Items:
                         yield lo + d, item, shared, len(own)
 
 
-def _blocks(items: DataFrame, shingle_words: int) -> Iterator[Items]:
-    """The items in blocks that are small enough to broadcast; each is collected on its own."""
+def _blocks(items: DataFrame, shingle_words: int) -> list[Broadcast]:
+    """The items in broadcast blocks of a checked size; each is collected on its own."""
+    spark = items.sparkSession
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = 1 if n <= BLOCK_ITEMS and size <= BLOCK_BYTES else 2 * math.ceil(max(n / BLOCK_ITEMS, size / BLOCK_BYTES))
     keyed = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    for b in range(blocks):
-        yield Items([(r.item_id, r.text) for r in keyed.filter(F.col("block") == b).collect()], shingle_words)
+    if blocks > 1:  # written in the order of blocks, so that each is read from its own part
+        keyed = materialise(keyed.repartitionByRange("block").sortWithinPartitions("block"), "items")
+    return [spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in keyed.filter(F.col("block") == b).collect()], shingle_words)) for b in range(blocks)]
+
+
+def _matches(blocks: list[Broadcast], column: pa.Array, containment: float) -> Iterator[tuple[Items, tuple[int, int, int, int]]]:
+    """The matches of all blocks; a worker holds the first few and reads the others again, one after another."""
+    for i, block in enumerate(blocks):
+        own = block.value
+        for match in own.matches(column, containment):
+            yield own, match
+        if i >= HELD_BLOCKS:
+            block.__dict__.pop("_value", None)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -175,38 +192,35 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     ship(docs.sparkSession)
     ids, item_ids = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
     schema = f"doc_id {ids.simpleString()}, item_id {item_ids.simpleString()}, n_shared long, n_shingles long"
-    out = None
-    for block in _blocks(items, shingle_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    blocks = _blocks(items, shingle_words)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_type
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
 
-            own = shared.value
-            for batch in batches:
-                found = list(own.matches(batch.column(1), containment))
-                rows = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), pa.array([own.ids[f[1]] for f in found], to_arrow_type(item_ids)), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())],
-                    ["doc_id", "item_id", "n_shared", "n_shingles"])
+        for batch in batches:
+            found = [(own.ids[f[1]], *f) for own, f in _matches(blocks, batch.column(1), containment)]
+            rows = pa.array([f[1] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), pa.array([f[0] for f in found], to_arrow_type(item_ids)), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
+                ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of docs that contain none of the items, with all their columns; nothing is shuffled."""
+    """The rows of docs that contain none of the items, with all their columns; nothing is shuffled.
+
+    docs needs text; see contaminated.  Rows with null or empty texts stay, repeated rows stay or
+    go together, and columns of any other name are passed on.  No rows give no rows.
+    """
     ship(docs.sparkSession)
     at = docs.columns.index("text")
-    for block in _blocks(items, shingle_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    blocks = _blocks(items, shingle_words)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[f[0] for f in shared.value.matches(batch.column(at), containment)]] = False
-                yield batch.filter(pa.array(clean))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[f[0] for _, f in _matches(blocks, batch.column(at), containment)]] = False
+            yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from kithline.llm.components import components
 from kithline.llm.scratch import free_name, materialise
-from kithline.llm.words import word_runs
 from kithline.llm.shipping import ship
+from kithline.llm.similar import drop_similar
+from kithline.llm.words import word_runs
 
 SEGMENTS = 7
 DISTANCE = 2
@@ -142,12 +143,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket_
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket_limit: int = BUCKET_LIMIT, similarity: float | None = None) -> DataFrame:
     """The row with the smallest doc_id of each component, with all its columns.
 
-    Rows whose doc_id is null are all kept.  A doc_id that several rows have goes if any of
-    them is linked to a smaller one.
+    Fingerprints within two bits are linked or, with a similarity, texts whose sets of shingles
+    have at least that Jaccard similarity: most such pairs differ in more bits than fingerprints
+    can be looked up by, so they are found and compared by their shingles (see similar).  Rows
+    whose doc_id is null are all kept.  A doc_id that several rows have goes if any of them is
+    linked to a smaller one.
     """
+    if similarity is not None:
+        return drop_similar(docs, similarity, shingle_words, bucket_limit)
     goes = free_name(docs, "goes")
     ids = near_duplicates(docs, shingle_words, bucket_limit).filter("component_id < doc_id").select(F.col("doc_id").alias(goes)).distinct()
     return docs.join(ids, F.col("doc_id") == F.col(goes), "left_anti")

@@ -1,5 +1,7 @@
+import os
 import random
 import struct
+import tempfile
 
 import public_tokenizers
 import sentencepiece
@@ -53,7 +55,14 @@ def _library():
 
 with open(WORDS, "rb") as _f:
     _SPEC = _f.read()
-_LEXICON = bpe_lexicon.Lexicon(_SPEC, bpe_lexicon.compile_lexicon(_SPEC, ["the", "of", "hello", "it", "'s", "!!", "é"]))
+def _file(data):
+    handle, path = tempfile.mkstemp()
+    with os.fdopen(handle, "wb") as f:
+        f.write(data)
+    return path
+
+
+_LEXICON = bpe_lexicon.Lexicon(_SPEC, _file(bpe_lexicon.compile_lexicon(_SPEC, ["the", "of", "hello", "it", "'s", "!!", "é"])))
 
 
 @settings(max_examples=300, deadline=None)
