@@ -534,9 +534,9 @@ def ilike_article_search(s, d):
     return a.filter(listing.has_text("text", "License") | listing.has_text("source", "License")).select("doc_id", "n_chars", F.length("text").cast("long").alias("content_length"))
 
 
-@_query("""SELECT doc_id, coalesce(substring(trim(list_filter(string_split(text, '.'), lambda x: contains(x, 'the'))[1]), 1, 300), substring(text, 1, 200)) AS context FROM documents WHERE lang = 'en'""")
+@_query("""SELECT doc_id, coalesce(substring(trim(list_filter(string_split(text, '.'), lambda x: contains(x, 'the'))[1]), 1, 300), substring(text, 1, 200)) AS context FROM documents""")
 def context_sentence(s, d):
-    a = _t(s, d, "documents").filter("lang = 'en'")
+    a = _t(s, d, "documents")
     return a.select("doc_id", text.first_sentence_with(F.lit("the"), F.col("text")).alias("context"))
 
 
