@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.scratch import free_name, materialise
+from kithline.llm.skew import join_groups
 
 #: White space that separates words, as a regular expression's class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -79,12 +80,12 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return _resolved(*_named(docs, block_bytes))
 
 
-def _named(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, bool]:
-    """(doc_id, sha, m, level, name) and whether any row repeats doc_id and text."""
+def _named(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, bool, int]:
+    """(doc_id, sha, m, level, name), whether any row repeats doc_id and text, and the number of rows."""
     texts = docs.select("doc_id", normalise(F.col("text")).alias("t")).select("doc_id", F.sha2("t", 256).alias("sha"), F.encode("t", "UTF-8").alias("data"))
     rows = texts.select("doc_id", "sha", F.transform(_blocks(F.col("data"), block_bytes), _hash).alias("hashes"))
     rows = materialise(rows.groupBy("doc_id", "sha", "hashes").agg(F.count("*").alias("m")).withColumn("n_blocks", F.size("hashes")), "documents")
-    longest, most = rows.agg(F.max("n_blocks"), F.max("m")).first()
+    longest, most, count = rows.agg(F.max("n_blocks"), F.max("m"), F.count("*")).first()
     longest = longest or 1
 
     seq, done, level = materialise(_first_names(texts, rows, block_bytes), "level0"), [], 0
@@ -102,22 +103,26 @@ def _named(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, bool]:
     named = done[0]
     for more in done[1:]:
         named = named.unionByName(more)
-    return named, (most or 1) > 1
+    return named, (most or 1) > 1, count
 
 
-def _resolved(named: DataFrame, repeated: bool) -> DataFrame:
-    groups = named.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("m").alias("group_size"))
+def _resolved(named: DataFrame, repeated: bool, count: int) -> DataFrame:
+    groups = named.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("m").alias("group_size"), F.count("*").alias("rows"))
+    groups = materialise(groups, "groups")
     copies = F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))) if repeated else F.lit(1)
-    out = named.join(groups, ["level", "name"]).withColumn("copy", copies)
+    out = join_groups(named, groups, ["level", "name"], "rows", count).withColumn("copy", copies)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
                       (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    named, repeated = _named(docs, block_bytes)
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    See exact_dedup for null, empty and repeated rows.  No rows give no rows.
+    """
+    named, repeated, count = _named(docs, block_bytes)
     own, keep_id, keep_sha = (free_name(docs, n) for n in ("own_sha", "keep_id", "keep_sha"))
-    stays = _resolved(named, repeated).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    stays = _resolved(named, repeated, count).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
     keyed = docs.withColumn(own, F.sha2(normalise(F.col("text")), 256))
     kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_sha)), "left_semi")
     # Rows that repeat both doc_id and text pass the join together; one of each stays.

@@ -27,6 +27,7 @@ from kithline.llm.components import components
 from kithline.llm.scratch import free_name, materialise
 from kithline.llm.shipping import ship
 from kithline.llm.similar import drop_similar
+from kithline.llm.skew import join_groups
 from kithline.llm.words import word_runs
 
 SEGMENTS = 7
@@ -136,11 +137,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket_
     repeat a doc_id are linked by their own texts.  No rows give no rows.
     """
     prints = materialise(fingerprints(docs, shingle_words), "prints")
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    values = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "values")
+    count = values.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     reached = materialise(components(near_links(values.select("fp"), bucket_limit=bucket_limit)), "components")
-    of = values.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = of.select("component", "fp").join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = values.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("component"))
+    of = materialise(of, "members")
+    groups = materialise(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "groups")
+    ids = materialise(join_groups(of.select("component", "fp", "rows"), groups, ["component"], "size", count).select("fp", "rows", "component_id"), "ids")
+    return join_groups(prints, ids, ["fp"], "rows", count).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bucket_limit: int = BUCKET_LIMIT, similarity: float | None = None) -> DataFrame:
