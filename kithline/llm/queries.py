@@ -11,6 +11,8 @@ from kithline.llm.bpe_lexicon import encode
 from kithline.llm.decontaminate import contaminated
 from kithline.llm.exact_dedup import exact_dedup
 from kithline.llm.license_scan import BASE, scan_licenses, templates
+from kithline.llm.merkle import audit, lower_ascii
+from kithline.llm.oracles import MERKLE
 from kithline.llm.secret_scan import scan_secrets
 from kithline.llm.simhash import near_duplicates
 from kithline.llm.substring_dedup import substring_dedup
@@ -83,6 +85,10 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower_ascii(F.col("text")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": _op1,
@@ -95,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": _op8,
         "op9_toxicity": _op9,
         "op10_simhash_near_dedup": _op10,
+        "op13_merkle_manifest": _op13,
         "pipeline": _pipeline,
     }
 
@@ -220,4 +227,5 @@ FROM d LEFT JOIN kept k USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op2_decontamination": _OP2, "op3_substring_dedup": _PASSAGES, "op4_suffix_dedup": _PASSAGES, "op6_secret_scan": _OP6, "op8_license_scan": _op8_sql()}
+    return {"op1_exact_dedup": _OP1, "op2_decontamination": _OP2, "op3_substring_dedup": _PASSAGES, "op4_suffix_dedup": _PASSAGES, "op6_secret_scan": _OP6, "op8_license_scan": _op8_sql(),
+            "op13_merkle_manifest": MERKLE}
