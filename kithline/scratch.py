@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +40,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialise_counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
-    """materialise, and aggregates of the rows that are taken while they are written."""
-    seen = Observation()
-    written = materialise(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
-    return written, seen.get
+    """materialise, and aggregates of the rows, read from what was written.
+
+    The aggregates are a second, narrow read: an Observation would leave its manager in the
+    session, and plans that carry the session in a closure could not be sent any more.
+    """
+    written = materialise(df, name)
+    return written, written.agg(*(c.alias(k) for k, c in sums.items())).first().asDict()
 
 
 def free_name(df: DataFrame, stem: str) -> str:
