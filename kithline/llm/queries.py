@@ -14,6 +14,7 @@ from kithline.llm.license_scan import BASE, scan_licenses, templates
 from kithline.llm.merkle import audit, lower_ascii
 from kithline.llm.oracles import MERKLE
 from kithline.llm.secret_scan import scan_secrets
+from kithline.llm.sentencepiece_rounds import encode_pieces
 from kithline.llm.simhash import near_duplicates
 from kithline.llm.substring_dedup import substring_dedup
 from kithline.llm.suffix_dedup import suffix_dedup
@@ -85,6 +86,11 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower_ascii(F.col("text")))
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": _op8,
         "op9_toxicity": _op9,
         "op10_simhash_near_dedup": _op10,
+        "op11_piece_codec": _op11,
         "op13_merkle_manifest": _op13,
         "pipeline": _pipeline,
     }
