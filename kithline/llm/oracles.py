@@ -58,3 +58,35 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT o.doc_id, o.leaf, sub.h AS subroot, k.h AS root, sha256(e.p) AS proof_sha256, e.h AS folded_root, e.h = k.h AS verified
 FROM o JOIN sub USING (g) JOIN high e ON e.r = o.r AND e.n = 1 CROSS JOIN (SELECT h FROM sky WHERE n = 1) k
 """
+
+
+COLLOCATIONS = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), g AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, CAST(len(w) AS BIGINT) - size + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)
+), f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), u AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+), s AS (
+  SELECT u.lang, u.phrase, u.a, u.k, l.f AS l, r.f AS r, CAST((CAST(u.a AS HUGEINT) * 2000000) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.x JOIN f r ON r.lang = u.lang AND r.phrase = u.y
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS f
+  FROM (SELECT lang, size, a, w, n, unnest(range(1, size - n + 2)) AS i FROM c, (VALUES (2), (3)) t(n) WHERE n < size) GROUP BY ALL
+), t AS (
+  SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t QUALIFY rank <= 2000
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang)
+"""

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline.llm.bpe_lexicon import encode
+from kithline.llm.collocations import collocations
 from kithline.llm.decontaminate import contaminated
 from kithline.llm.exact_dedup import exact_dedup
 from kithline.llm.license_scan import BASE, scan_licenses, templates
 from kithline.llm.merkle import audit, lower_ascii
-from kithline.llm.oracles import MERKLE
+from kithline.llm.oracles import COLLOCATIONS, MERKLE
 from kithline.llm.secret_scan import scan_secrets
 from kithline.llm.sentencepiece_rounds import encode_pieces
 from kithline.llm.simhash import near_duplicates
@@ -91,6 +92,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower_ascii(F.col("text")))
 
@@ -108,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": _op9,
         "op10_simhash_near_dedup": _op10,
         "op11_piece_codec": _op11,
+        "op12_collocations": _op12,
         "op13_merkle_manifest": _op13,
         "pipeline": _pipeline,
     }
@@ -235,4 +241,4 @@ FROM d LEFT JOIN kept k USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": _OP1, "op2_decontamination": _OP2, "op3_substring_dedup": _PASSAGES, "op4_suffix_dedup": _PASSAGES, "op6_secret_scan": _OP6, "op8_license_scan": _op8_sql(),
-            "op13_merkle_manifest": MERKLE}
+            "op12_collocations": COLLOCATIONS, "op13_merkle_manifest": MERKLE}
