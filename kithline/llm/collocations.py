@@ -28,18 +28,23 @@ from kithline.llm.words import mix
 
 LEAST, TOP, LONGEST = 30, 2000, 4
 #: A shard is about so much text of one language, and an automaton has so many phrases at most.
-SHARD_BYTES, AUTOMATON_PHRASES = 16 << 20, 200_000
+SHARD_BYTES, AUTOMATON_PHRASES = 8 << 20, 200_000
 #: The bitmap has so many bits for each cell that passed, and 2 to this power at most (64 MB).
 BITS_PER_CELL, LARGEST_BITMAP = 64, 29
 #: Ranks within a language are first taken in so many parts of it.
 PARTS = 64
 
 _U = np.uint64
-_TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
+#: Stands between pieces; no UTF-8 text has this byte.
+_CUT = b"\xff"
+_TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _CUT * 10)
 
 
 class _Numbers(dict):
-    """Numbers of words, in the order in which they come."""
+    """Numbers of words, in the order in which they come; 0 is the cut between pieces."""
+
+    def __init__(self):
+        super().__init__({_CUT: 0})
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -51,28 +56,29 @@ class Shard:
 
     def __init__(self, lang: str):
         self.lang, self.number, self.bytes = lang, _Numbers(), 0
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.texts: list[np.ndarray] = []
 
-    def add(self, words: list[bytes], size: int) -> None:
-        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
-        self.sizes.append(len(words))
-        self.bytes += size
+    def add(self, data: bytes) -> None:
+        words = data.replace(_CUT, b" \xff ").split()
+        self.texts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        self.bytes += len(data)
 
     def close(self) -> None:
+        cut = np.zeros(1, np.int32)
+        every = np.concatenate([x for t in self.texts for x in (t, cut)])
+        kept = every != 0
         self.words = list(self.number)
-        self.all = np.concatenate(self.ids)
-        self.piece = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.all, self.piece = every[kept], np.cumsum(~kept, dtype=np.int32)[kept]
         salt = xxhash.xxh64_intdigest(self.lang.encode(), 1)
         own = np.array([xxhash.xxh64_intdigest(w) for w in self.words], _U) ^ _U(salt)
-        self.cells = {1: mix(own)[self.all]}
-        for n in (2, 3, 4):
-            self.cells[n] = self._next(self.cells[n - 1], self.cells[1][n - 1:], n)
+        self._cells = {1: mix(own)[self.all]}
 
-    @staticmethod
-    def _next(first: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-        size = min(len(first), len(word))
-        return mix(first[:size] * _U(0x9E3779B97F4A7C15) + word[:size] * _U(2 * n + 1))
+    def cells(self, n: int) -> np.ndarray:
+        """The hash of the n words from each word on."""
+        if n not in self._cells:
+            first, word = self.cells(n - 1), self._cells[1][n - 1:]
+            self._cells[n] = mix(first[: len(word)] * _U(0x9E3779B97F4A7C15) + word * _U(2 * n + 1))
+        return self._cells[n]
 
     def inside(self, n: int) -> np.ndarray:
         """Where n words of one piece begin."""
@@ -80,34 +86,48 @@ class Shard:
         return self.piece[: len(end)] == end
 
     def text(self) -> Iterator[str]:
-        """Each piece with a space around every word."""
-        for ids in self.ids:
-            yield (b" " + b" ".join([self.words[i] for i in ids.tolist()]) + b" ").decode()
+        """Each text with a space around every word, and a line end between pieces."""
+        words = [b"\n", *self.words[1:]]
+        for ids in self.texts:
+            yield (b" " + b" ".join([words[i] for i in ids.tolist()]) + b" ").decode()
+
+
+def _parts(data: bytes, size: int) -> Iterator[bytes]:
+    """data cut between pieces into parts of about size bytes; a piece stays whole."""
+    begin = 0
+    while len(data) - begin > size:
+        end = data.find(_CUT, begin + size)
+        if end < 0:
+            break
+        yield data[begin:end]
+        begin = end + 1
+    yield data[begin:] if begin else data
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
     """A text is cut between pieces where a shard is full; only a piece larger than a shard makes it larger."""
     held: dict[str, Shard] = {}
+
+    def closed(lang: str) -> Shard:
+        own = held.pop(lang)
+        own.close()
+        return own
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             lang = "und" if lang is None else lang
-            for piece in (text.as_py() or "").encode().translate(_TABLE).split(b"\n"):
-                if words := piece.split():
-                    if lang not in held:
-                        held[lang] = Shard(lang)
-                    held[lang].add(words, len(piece))
-                    if held[lang].bytes >= size:
-                        own = held.pop(lang)
-                        own.close()
-                        yield own
-            # Many small languages together hold no more than a few shards' text.
+            data = (text.as_py() or "").encode().translate(_TABLE)
+            for part in _parts(data, size):
+                if lang not in held:
+                    held[lang] = Shard(lang)
+                held[lang].add(part)
+                if held[lang].bytes >= size:
+                    yield closed(lang)
+            # Many small languages together hold no more than two shards' text.
             if sum(s.bytes for s in held.values()) >= 2 * size:
-                own = held.pop(max(held, key=lambda k: held[k].bytes))
-                own.close()
-                yield own
-    for own in held.values():
-        own.close()
-        yield own
+                yield closed(max(held, key=lambda k: held[k].bytes))
+    for lang in list(held):
+        yield closed(lang)
 
 
 class Passed:
@@ -180,19 +200,19 @@ def _runs(shard: Shard, pairs: np.ndarray, n: int) -> np.ndarray:
 def _phrases(shard: Shard, short: Passed, long: Passed) -> Iterator[list[str]]:
     """The shard's candidates of one, two, three and four words, each once."""
     ids, words = shard.all, shard.words
-    for i in np.unique(ids[short(shard.cells[1])]):
+    for i in np.unique(ids[short(shard.cells(1))]):
         yield [words[i]]
     pairs = shard.inside(2)
-    pairs &= short(shard.cells[2])
+    pairs &= short(shard.cells(2))
     at = np.flatnonzero(pairs)
-    _, first, number = np.unique(ids[at] << 32 | ids[at + 1], return_index=True, return_inverse=True)
+    _, first, number = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_index=True, return_inverse=True)
     for i in at[first]:
         yield [words[j] for j in ids[i: i + 2]]
     pair = np.full(len(ids), -1, np.int64)
     pair[at] = number
     for n in (3, 4):
         at = np.flatnonzero(_runs(shard, pairs, n))
-        at = at[long(shard.cells[n][at])]
+        at = at[long(shard.cells(n)[at])]
         _, first = np.unique(pair[at] << 32 | (ids[at + 2] if n == 3 else pair[at + 2]), return_index=True)
         for i in at[first]:
             yield [words[j] for j in ids[i: i + n]]
@@ -222,13 +242,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
     """
     ship(docs.sparkSession)
     own = docs.select("lang", "text")
-    hot, bits = _sketch(own, lambda s: [s.cells[1], s.cells[2][s.inside(2)]], least, shard_bytes, "words-and-pairs")
+    hot, bits = _sketch(own, lambda s: [s.cells(1), s.cells(2)[s.inside(2)]], least, shard_bytes, "words-and-pairs")
     short = _passed(hot, bits, largest_bitmap)
 
     def longer(shard: Shard) -> list[np.ndarray]:
         pairs = shard.inside(2)
-        pairs &= Passed(*short.value)(shard.cells[2])
-        return [shard.cells[n][_runs(shard, pairs, n)] for n in (3, 4)]
+        pairs &= Passed(*short.value)(shard.cells(2))
+        return [shard.cells(n)[_runs(shard, pairs, n)] for n in (3, 4)]
 
     long = _passed(_sketch(own, longer, least, shard_bytes, "longer")[0], bits, largest_bitmap)
 
@@ -236,7 +256,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
         short_map, long_map = Passed(*short.value), Passed(*long.value)
         for shard in _shards(batches, shard_bytes):
             found = [(len(p), b" ".join(p).decode()) for p in _phrases(shard, short_map, long_map)]
-            rows = [(0, "", len(shard.all))]
+            rows = [(0, "", len(shard.all))] if len(shard.all) else []
             for k in range(0, len(found), AUTOMATON_PHRASES):
                 part = found[k: k + AUTOMATON_PHRASES]
                 rows += [(n, p, f) for (n, p), f in zip(part, _scan(shard, [p for _, p in part]).tolist(), strict=True)]
