@@ -820,12 +820,10 @@ _FEATURE_SQL = "u AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxi
 
 @_query(f"WITH {_FEATURE_SQL}, m AS (SELECT avg(p) AS a, stddev_pop(p) AS b, avg(toxic) AS c, stddev_pop(toxic) AS d FROM fr) SELECT pair_id, round((p - a) / b, 6) AS p, CASE WHEN d > 0 THEN round((toxic - c) / d, 6) ELSE 0.0 END AS toxic, 0.0::DOUBLE AS constant FROM fr, m")
 def training_matrix(s, d):
-    from pyspark.ml.functions import vector_to_array
-
     rows = _feature_rows(s, d)
     names = learning.feature_names(rows)
     z, _, _ = learning.standardise(learning.matrix(rows, names), len(names))
-    return z.select("pair_id", *(F.round(vector_to_array("z")[i], 6).alias(n) for i, n in enumerate(names)))
+    return z.select("pair_id", *(F.round(F.col("z")[i], 6).alias(n) for i, n in enumerate(names)))
 
 
 @_query(f"WITH {_FEATURE_SQL} SELECT count(*) AS n, count(DISTINCT label) * 5 AS cells, CAST(1 AS BIGINT) AS spread FROM fr")
@@ -836,17 +834,74 @@ def stratified_folds(s, d):
     return per.agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"), F.greatest(F.max("spread"), F.lit(1)).alias("spread"))
 
 
+def _verdict_rows(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "labels")
+    return x.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("pair_id"), F.when((F.col("doc_id") % 5 == 1) != (F.col("quality") == 1), "same").otherwise("different").alias("verdict")).dropDuplicates(["pair_id"])
+
+
 @_query()
 def cross_validation(s, d):
-    x = _t(s, d, "labels")
-    v = x.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("pair_id"), F.when((F.col("doc_id") % 5 == 1) != (F.col("quality") == 1), "same").otherwise("different").alias("verdict")).dropDuplicates(["pair_id"])
-    return learning.cross_validate(_feature_rows(s, d), v, 70.0)
+    return learning.cross_validate(_feature_rows(s, d), _verdict_rows(s, d), 70.0)
+
+
+@_query()
+def cross_validation_by_type(s, d):
+    return learning.cross_validate(_feature_rows(s, d), _verdict_rows(s, d), 70.0, by_type=True)
+
+
+@_query()
+def trained_scorers(s, d):
+    """The scorers of all types together and of each type, saved as versions of one name and loaded again: their weights and thresholds."""
+    rows = _feature_rows(s, d)
+    found = {"all": learning.train_scorer(rows, floor=0.0)} | learning.train_by_type(rows, ("t0", "t1", "t2"), floor=0.0)
+    path, out = f"{shared_dir(s)}/kithline-scorers-{uuid.uuid4().hex}", []
+    for name, scorer in found.items():
+        if scorer is not None:
+            scorer.save(s, path, f"{name}_v1")
+            own = learning.Scorer.load(s, path, name)
+            top = own.strongest(1)[0]
+            out += [(name, n, round(w, 5), round(own.intercept, 5), own.theta_merge, own.theta_reject, top[0]) for n, w in zip(own.names, own.weights, strict=True)]
+    return s.createDataFrame(out, "scorer string, feature string, weight double, intercept double, theta_merge double, theta_reject double, strongest string")
+
+
+@_query()
+def feedback_rounds(s, d):
+    p = F.col("features")["p"]
+    fixed = F.when(p >= 0.8, "merge").when(p < 0.3, "reject").otherwise("escalate")
+    return learning.feedback_rounds(_feature_rows(s, d).withColumn("decision", fixed))
+
+
+@_query()
+def learners_compared(s, d):
+    return learning.compare_learners(_feature_rows(s, d), trees=20)
+
+
+def _aligned_labels(s: SparkSession, d: str) -> DataFrame:
+    """Parts beside parts with a similar name: the pairs a learned aligner is tested on."""
+    x = _t(s, d, "part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type")
+    side = lambda e, k: x.select(k.alias("j"), F.col("p_partkey").cast("string").alias(f"id_{e}"), F.concat(F.lit(f"http://{e}/"), F.regexp_replace("p_name", " ", "_")).alias(f"uri_{e}"), F.col("p_name").alias(f"label_{e}"),
+                                 F.array("p_brand", "p_type").alias(f"attributes_{e}"), (F.col("p_size") % 9).cast("double").alias(f"degree_{e}"))
+    same = side("a", F.col("p_partkey")).join(side("b", F.col("p_partkey")), "j").withColumn("label", F.lit(1))
+    other = side("a", F.col("p_partkey")).join(side("b", F.col("p_partkey") - 1), "j").withColumn("label", F.lit(0))
+    both = same.unionByName(other)
+    noisy = F.col("j") % 4 == 0
+    return both.withColumn("label_b", F.when(noisy, F.lit("item")).otherwise(F.col("label_b"))).withColumn("pair_id", F.concat_ws("|", "id_a", "id_b")).drop("j")
+
+
+@_query()
+def aligner_cross_validation(s, d):
+    return crosslingual.cross_validated(_aligned_labels(s, d))
+
+
+_SWEPT = "swept AS (SELECT t.m AS merge_t, count(*) AS n, count(*) FILTER (p >= t.m OR p < 0.3) AS decided, count(*) FILTER (p >= t.m AND label = 1 OR p < 0.3 AND p < t.m AND label = 0) AS correct FROM fr, (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS m) t GROUP BY 1)"
 
 
-@_query("SELECT round(merge_t, 2) AS merge_t, round((0.9 * i + 0.8 * (1 - i)) * 100, 2) AS adaptive_pct FROM (SELECT unnest([0.4, 0.5, 0.6]::DOUBLE[]) AS merge_t, unnest([0.9, 0.7, 0.5]::DOUBLE[]) AS i)")
+@_query(f"WITH {_FEATURE_SQL}, {_SWEPT} SELECT merge_t, round(decided * 100.0 / n, 2) AS interception_pct, round((0.9 * round(decided * 100.0 / n, 2) / 100 + 0.8 * (1 - round(decided * 100.0 / n, 2) / 100)) * 100, 2) AS adaptive_pct FROM swept")
 def adaptive_pipeline_column(s, d):
-    rows = s.createDataFrame([(0.4, 90.0), (0.5, 70.0), (0.6, 50.0)], "merge_t double, interception_pct double")
-    return evaluation.adaptive_pipeline(rows, 0.9, 0.8).select("merge_t", "adaptive_pct")
+    """The estimate over a sweep of all pairs."""
+    rows = _feature_rows(s, d).select("label", F.col("features")["p"].alias("score"))
+    swept = evaluation.merge_threshold_sweep(rows, [0.4, 0.5, 0.6, 0.7, 0.8, 0.9], 0.8).withColumnRenamed("threshold", "merge_t")
+    return evaluation.adaptive_pipeline(swept, 0.9, 0.8).select("merge_t", "interception_pct", "adaptive_pct")
 
 
 @_query(f"WITH {_FEATURE_SQL}, g AS (SELECT unnest([0.5, 0.6]::DOUBLE[]) AS m), h AS (SELECT unnest([0.1, 0.2]::DOUBLE[]) AS r), c AS (SELECT m, r, round(count(*) FILTER (p <= r OR p >= m) * 100.0 / count(*), 3) AS v FROM fr, g, h GROUP BY 1, 2) SELECT m AS merge_t, max(v) FILTER (r = 0.1) AS r_0_1, max(v) FILTER (r = 0.2) AS r_0_2 FROM c GROUP BY 1")

@@ -97,11 +97,10 @@ def cross_validated(pairs: DataFrame, k: int = 5, key: str = "pair_id") -> DataF
 
     pairs: as for features, with key and label.
     """
-    from kithline.operators.learning import dealt, fit_logistic, out_of_fold
-    from pyspark.ml.functions import array_to_vector
-
-    x = F.array(*(F.col(c).cast("double") for c in ALIGNER))
-    rows = features(pairs).select(F.col(key).alias("pair_id"), "label", array_to_vector(x).alias("z"))
-    rows = dealt(rows, "fold", k)
-    plain = lambda train: fit_logistic(train.withColumn("w", F.lit(1.0)), float(train.count()))
-    return escalated_confusion(out_of_fold(rows, k, plain).withColumnRenamed("p", "score"), "fold")
+    from kithline.operators.learning import dealt, out_of_fold
+    from kithline.scratch import materialise
+
+    x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ALIGNER))
+    rows = features(pairs).select(F.col(key).alias("pair_id"), "label", x.alias("z"))
+    rows = materialise(dealt(rows, "fold", k), "folds")
+    return escalated_confusion(out_of_fold(rows, len(ALIGNER), k, balanced=False).withColumnRenamed("p", "score"), "fold")

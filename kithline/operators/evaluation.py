@@ -58,11 +58,11 @@ def _cascade_rates(df: DataFrame, digits: int | None = 3) -> DataFrame:
             .withColumn("resolved_pct", percent(right, resolved, digits)).withColumn("intercept_pct", percent(c("l1_decided"), c("total"), digits)))
 
 
-def cascade_report(predictions: DataFrame, verdicts: DataFrame, digits: int | None = 3) -> DataFrame:
-    """One row; verdicts: pair_id, verdict (same, different, anything else is unresolved)."""
+def cascade_report(predictions: DataFrame, verdicts: DataFrame, digits: int | None = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group; verdicts: pair_id, verdict (same, different, anything else is unresolved)."""
     judged = F.when(F.col("verdict") == "same", 1).when(F.col("verdict") == "different", 0).otherwise(-1)
     both = predictions.join(verdicts.select("pair_id", "verdict"), "pair_id", "left")
-    return _cascade_rates(both.agg(*_cascade_counts(F.col("prediction"), F.col("label"), judged)), digits)
+    return _cascade_rates(both.groupBy(*by).agg(*_cascade_counts(F.col("prediction"), F.col("label"), judged)), digits)
 
 
 def grid(spark: SparkSession, merge: list[float], reject: list[float], below: bool = False) -> DataFrame:
@@ -90,8 +90,8 @@ def _below(p: Column, thresholds: list[float], strict: bool) -> Column:
     return F.size(F.filter(own, lambda t: (p > t) if strict else (p >= t)))
 
 
-def sweep(probabilities: DataFrame, thresholds: DataFrame, verdicts: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """The cascade's counts and rates at each row of the grid, a table of a few hundred rows at most.
+def sweep(probabilities: DataFrame, thresholds: DataFrame, verdicts: DataFrame | None = None, digits: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The cascade's counts and rates at each row of the grid, a table of a few hundred rows at most; for each group of by.
 
     Pairs are counted once, by how many of the grid's thresholds their probability reaches; only
     these counts, whose number the grid bounds, meet the grid.
@@ -106,61 +106,82 @@ def sweep(probabilities: DataFrame, thresholds: DataFrame, verdicts: DataFrame |
     ms, rs = sorted({c.merge_t for c in cells}), sorted({c.reject_t for c in cells})
     # p >= the i-th merge threshold exactly if i < m, and p <= the i-th reject threshold exactly if i >= r.
     m, r = _below(F.col("p"), ms, False), F.when(F.col("p").isNull(), len(rs)).otherwise(_below(F.col("p"), rs, True))
-    counted = rows.select(m.alias("m"), r.alias("r"), "label", judged.alias("judged")).groupBy("m", "r", "label", "judged").agg(F.count("*").alias("w"))
+    counted = rows.select(*by, m.alias("m"), r.alias("r"), "label", judged.alias("judged")).groupBy(*by, "m", "r", "label", "judged").agg(F.count("*").alias("w"))
     place = lambda own, c: F.array_position(F.array(*map(F.lit, own)), F.col(c)) - 1
     grid_rows = thresholds.select("ordinal", "merge_t", "reject_t", place(ms, "merge_t").alias("im"), place(rs, "reject_t").alias("ir"))
     p, y, j, w = F.when(F.col("ir") >= F.col("r"), 0).when(F.col("im") < F.col("m"), 1).otherwise(-1), F.col("label"), F.col("judged"), F.col("w")
     of = lambda test: F.sum(F.when(test, w).otherwise(0))
-    at = counted.crossJoin(F.broadcast(grid_rows)).groupBy("ordinal", "merge_t", "reject_t").agg(
+    at = counted.crossJoin(F.broadcast(grid_rows)).groupBy(*by, "ordinal", "merge_t", "reject_t").agg(
         F.sum(w).alias("total"), of(p >= 0).alias("l1_decided"), of((p >= 0) & (p == y)).alias("l1_correct"), of(p < 0).alias("l2_used"), of((p < 0) & (j == y)).alias("l2_correct"),
         of((p < 0) & (j == -1)).alias("unresolved"), of(p == 1).alias("merges"), of((p == 1) & (y == 1)).alias("true_merges"))
     return _cascade_rates(at, digits)
 
 
-def best_legacy(swept: DataFrame, min_decided: int = 5, min_accuracy: float = 75.0) -> DataFrame:
-    """(merge_t, reject_t) with the largest accuracy times interception; the first of equals; (0.7, 0.3) if none passes."""
-    ok = swept.filter((F.col("l1_decided") >= min_decided) & (F.col("l1_acc_pct") >= min_accuracy))
-    found = ok.agg(F.max_by(F.struct("merge_t", "reject_t"), F.struct(F.col("l1_acc_pct") * F.col("intercept_pct"), -F.col("ordinal"))).alias("b"))
-    return found.select(F.coalesce("b.merge_t", F.lit(0.7)).alias("merge_t"), F.coalesce("b.reject_t", F.lit(0.3)).alias("reject_t"))
+def _first(ok: Column, row: Column, *key: Column) -> Column:
+    """row where ok holds and the key is largest; null if it holds nowhere."""
+    return F.max_by(row, F.when(ok, F.struct(*(k.alias(f"k{i}") for i, k in enumerate(key)))))
 
 
-def best_production(swept: DataFrame, min_accuracy: float = 0.75, min_precision: float = 0.75) -> DataFrame:
+def best_legacy(swept: DataFrame, min_decided: int = 5, min_accuracy: float = 75.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, merge_t, reject_t) with the largest accuracy times interception; the first of equals; (0.7, 0.3) if none passes."""
+    ok = (F.col("l1_decided") >= min_decided) & (F.col("l1_acc_pct") >= min_accuracy)
+    found = swept.groupBy(*by).agg(_first(ok, F.struct("merge_t", "reject_t"), F.col("l1_acc_pct") * F.col("intercept_pct"), -F.col("ordinal")).alias("b"))
+    return found.select(*by, F.coalesce("b.merge_t", F.lit(0.7)).alias("merge_t"), F.coalesce("b.reject_t", F.lit(0.3)).alias("reject_t"))
+
+
+def best_production(swept: DataFrame, min_accuracy: float = 0.75, min_precision: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
     """As best_legacy with a floor on the precision of merges too; (0.6, 0.4) if none passes."""
-    acc, hit = F.col("l1_correct") / F.col("l1_decided"), F.col("l1_decided") / F.col("total")
+    acc, hit = F.col("l1_correct") / F.nullif(F.col("l1_decided"), F.lit(0)), F.col("l1_decided") / F.col("total")
     precision = F.when(F.col("merges") > 0, F.col("true_merges") / F.col("merges")).otherwise(F.lit(1.0))
-    ok = swept.filter("l1_decided > 0").filter((acc >= min_accuracy) & (precision >= min_precision))
+    ok = (F.col("l1_decided") > 0) & (acc >= min_accuracy) & (precision >= min_precision)
     row = F.struct("merge_t", "reject_t", acc.alias("accuracy"), precision.alias("merge_precision"), hit.alias("intercept_rate"))
-    found = ok.agg(F.max_by(row, F.struct(acc * hit, -F.col("ordinal"))).alias("b"))
-    return found.select(F.coalesce("b.merge_t", F.lit(0.6)).alias("merge_t"), F.coalesce("b.reject_t", F.lit(0.4)).alias("reject_t"), "b.accuracy", "b.merge_precision", "b.intercept_rate")
+    found = swept.groupBy(*by).agg(_first(ok, row, acc * hit, -F.col("ordinal")).alias("b"))
+    return found.select(*by, F.coalesce("b.merge_t", F.lit(0.6)).alias("merge_t"), F.coalesce("b.reject_t", F.lit(0.4)).alias("reject_t"), "b.accuracy", "b.merge_precision", "b.intercept_rate")
 
 
-def best_pipeline(swept: DataFrame, target: float | None = None, fixed: tuple[float, float] = (0.8, 0.3), min_decided: int = 5, min_accuracy: float | None = None) -> DataFrame:
-    """(merge_t, reject_t, feasible) for the best strict accuracy, or, with a target for it, the widest interception that reaches it.
+def best_pipeline(swept: DataFrame, target: float | None = None, fixed: tuple[float, float] = (0.8, 0.3), min_decided: int = 5, min_accuracy: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, merge_t, reject_t, feasible) for the best strict accuracy, or, with a target for it, the widest interception that reaches it.
 
     Ties go to the thresholds nearest to fixed, then to the first.  If nothing reaches the
     target, the nearest accuracy wins.
     """
-    ok = swept.filter(F.col("l1_decided") >= min_decided)
+    ok = F.col("l1_decided") >= min_decided
     if min_accuracy is not None:
-        ok = ok.filter(F.col("l1_acc_pct") >= min_accuracy)
+        ok = ok & (F.col("l1_acc_pct") >= min_accuracy)
     r = lambda c: F.round(c, 6)
     near, first = -(F.abs(F.col("merge_t") - fixed[0]) + F.abs(F.col("reject_t") - fixed[1])), -F.col("ordinal")
-    strict, wide, acc = r("strict_pct"), r("intercept_pct"), r("l1_acc_pct")
-    pick = lambda *key: F.max_by(F.struct("merge_t", "reject_t"), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(key))))
+    strict, wide, acc, row = r("strict_pct"), r("intercept_pct"), r("l1_acc_pct"), F.struct("merge_t", "reject_t")
     if target is None:
-        return ok.agg(pick(strict, wide, acc, near, first).alias("b")).select("b.merge_t", "b.reject_t", F.lit(True).alias("feasible"))
-    reached = F.col("strict_pct") >= target
-    best = ok.filter(reached).agg(pick(wide, strict, acc, near, first).alias("b"))
-    nearest = ok.agg(pick(-F.abs(F.col("strict_pct") - target), wide, acc, first).alias("c"))
-    both = best.crossJoin(nearest)
-    return both.select(F.coalesce("b.merge_t", "c.merge_t").alias("merge_t"), F.coalesce("b.reject_t", "c.reject_t").alias("reject_t"), F.col("b").isNotNull().alias("feasible"))
-
-
-def pareto_frontier(swept: DataFrame) -> DataFrame:
-    """Rows of the grid that no other row beats in strict accuracy and interception."""
-    b = swept.select(F.col("strict_pct").alias("s2"), F.col("intercept_pct").alias("i2")).distinct()
-    beaten = (F.col("s2") >= F.col("strict_pct")) & (F.col("i2") >= F.col("intercept_pct")) & ((F.col("s2") > F.col("strict_pct")) | (F.col("i2") > F.col("intercept_pct")))
-    return swept.join(F.broadcast(b), beaten, "left_anti")
+        return swept.groupBy(*by).agg(_first(ok, row, strict, wide, acc, near, first).alias("b")).select(*by, "b.merge_t", "b.reject_t", F.lit(True).alias("feasible"))
+    best = _first(ok & (F.col("strict_pct") >= target), row, wide, strict, acc, near, first)
+    nearest = _first(ok, row, -F.abs(F.col("strict_pct") - target), wide, acc, first)
+    both = swept.groupBy(*by).agg(best.alias("b"), nearest.alias("c"))
+    return both.select(*by, F.coalesce("b.merge_t", "c.merge_t").alias("merge_t"), F.coalesce("b.reject_t", "c.reject_t").alias("reject_t"), F.col("b").isNotNull().alias("feasible"))
+
+
+def pareto_frontier(swept: DataFrame, slices: int | None = None) -> DataFrame:
+    """Rows that no other row beats in strict accuracy and interception; rows of equal rates stay together, null rates go.
+
+    A skyline without comparing pairs.  Rates are cut into slices of equal width by interception.  The
+    best accuracy of each slice, a table of as many rows as slices, gives each slice the best of
+    those after it; a row stays if it is the best of its own interception, better than what comes after
+    it within its slice and better than the slices after.  There are four slices for each shuffle
+    partition if slices is not given.
+    """
+    slices = slices or 4 * int(swept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s, i = F.col("strict_pct"), F.col("intercept_pct")
+    points = swept.filter(s.isNotNull() & i.isNotNull()).groupBy("intercept_pct").agg(F.max("strict_pct").alias("strict_pct"))
+    ends = points.agg(F.min("intercept_pct").alias("_lo"), F.max("intercept_pct").alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (i - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    cut = points.crossJoin(F.broadcast(ends)).select("strict_pct", "intercept_pct", F.least(F.floor(share * slices), F.lit(slices - 1)).alias("_slice"))
+    best = cut.groupBy("_slice").agg(F.max("strict_pct").alias("_best"))
+    later = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    above = best.select("_slice", F.max("_best").over(later).alias("_above"))
+    within = Window.partitionBy("_slice").orderBy(F.desc("intercept_pct")).rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("_within", F.max("strict_pct").over(within)).join(F.broadcast(above), "_slice")
+    beyond = F.greatest("_within", "_above")
+    sky = own.filter(beyond.isNull() | (s > beyond)).select("strict_pct", "intercept_pct")
+    return swept.join(sky, ["strict_pct", "intercept_pct"], "left_semi").select(*swept.columns)
 
 
 def confusion(predictions: DataFrame, *by: str) -> DataFrame:

@@ -34,9 +34,9 @@ def score_pairs(pairs: DataFrame, profile: Profile = PRODUCTION) -> DataFrame:
     values_a and values_b, if there are any, are the props as normalised gives them: made
     once for each entity, not once for each of its pairs.
     """
-    # Pairs may come from a join in few partitions, but scoring them is the work.
-    spark, ids = pairs.sparkSession, [c for c in ("pair_id", "vid_a", "vid_b", "name_a", "name_b") if c in pairs.columns]
-    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *ids)
+    if {"vid_a", "vid_b"} <= set(pairs.columns):  # they may come from a join in few partitions, but scoring them is the work
+        spark = pairs.sparkSession
+        pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vid_a", "vid_b")
     base = l1_score(F.col("props_a"), F.col("props_b"), F.col("entity_type"), profile, compared=F.col("_fields"), values=(F.col("_a"), F.col("_b")))
     scored = prepared(pairs, profile).withColumn("_base", base).withColumn("_s", with_name(F.col("_base"), F.col("name_a"), F.col("name_b")))
     return scored.select(*(c for c in pairs.columns if c not in ("values_a", "values_b")), "_s.score", "_s.decision", "_s.detail")
