@@ -440,7 +440,7 @@ def entity_details(s, d):
     ev = _t(s, d, "events").select(F.col("event_id").alias("id"), _key("person", "user_id").alias("vid"), F.col("ts").alias("reported_at"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"))
     out = listing.entity_detail(v.filter("tag = 'person'").select("vid", "name"), e, v, records, articles, ev)
     size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
-    return out.select("vid", size("relations").alias("n_relations"), size("articles").alias("n_articles"), size("positions").alias("n_positions"), F.get("positions", F.lit(0))["reported_at"].alias("newest"), "source")
+    return out.select("vid", "n_relations", size("articles").alias("n_articles"), size("positions").alias("n_positions"), F.get("positions", F.lit(0))["reported_at"].alias("newest"), "source")
 
 
 # --- lists ----------------------------------------------------------------------------
@@ -936,3 +936,37 @@ def labelled_union(s, d):
 @_query(f"WITH {_FEATURE_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (p >= 0.5 AND label = 1) AS tp, count(*) FILTER (p >= 0.5 AND label = 0) AS fp, count(*) FILTER (p < 0.3 AND label = 0) AS tn, count(*) FILTER (p < 0.3 AND label = 1) AS fn, count(*) FILTER (p >= 0.3 AND p < 0.5) AS escalated FROM fr) SELECT *, round((tp + tn) / greatest(n - escalated, 1), 4) AS accuracy, round((n - escalated) / n, 4) AS interception FROM n")
 def escalated_confusion(s, d):
     return crosslingual.escalated_confusion(_feature_rows(s, d).select("label", F.col("features")["p"].alias("score")))
+
+
+_PAGE_A = "coalesce(nullif(trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]+', ' ', 'g')), ''), 'none')"
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_PAGE_A} AS a FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN CASE WHEN len(a || ' tail of it') > 200 THEN a || ' tail of it' WHEN len(a || ' tail of it') = 200 THEN a || ' tail of it' ELSE a || 'x last' END ELSE a || 'x last' END AS text FROM d""")
+def article_texts(s, d):
+    """Pages with the text in nested elements of the selectors' kinds, menus before and after, or in paragraphs only."""
+    a = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9]+", " ")), F.lit("")), F.lit("none"))
+    x = _t(s, d, "documents").select("doc_id", a.alias("a"))
+    kind = F.col("doc_id") % 4
+    opens = F.when(kind == 0, '<article data-x="a > b"><article>').when(kind == 1, "<section role='main'><section>").when(kind == 2, '<div class="wide story-body"><div>').otherwise("<ul><li>")
+    closes = lambda end: F.when(kind == 0, f"</article>{end}</article>").when(kind == 1, f"</section>{end}</section>").when(kind == 2, f"</div>{end}</div>").otherwise(f"</li>{end}</ul>")
+    long = F.concat(F.lit("<html><body><nav>menu</nav><script>var p = '<p>no</p>'</script>"), opens, F.lit("<!-- <p>no</p> -->"), F.col("a"), closes(" tail of it "), F.lit("<footer>foot</footer>"))
+    html = F.concat(long, F.lit("<p class='p'>\n "), F.col("a"), F.lit(" <b>x</b></p><p>last</body></html>"))
+    return x.select("doc_id", text.article_text(html).alias("text"))
+
+
+@_query("""WITH p AS (SELECT * FROM part), e AS (SELECT * FROM events)
+SELECT 'ship' AS layer, 'equip_' || p_partkey AS vid, p_name AS name, NULL::DOUBLE AS lat, NULL::DOUBLE AS lng, NULL::BIGINT AS n FROM p WHERE p_type = 'ECONOMY' AND p_size % 2 = 0
+UNION ALL SELECT 'location', 'loc_' || s_suppkey, s_name, (s_suppkey % 80)::DOUBLE, (s_suppkey % 170)::DOUBLE, NULL FROM supplier WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT 'activity', 'event_' || o_orderkey, 'o' || o_orderkey, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'kpi', NULL, k, NULL, NULL, n FROM (SELECT 'n_ship' AS k, count(*) AS n FROM p WHERE p_type = 'ECONOMY' UNION ALL SELECT 'n_aircraft', count(*) FROM p WHERE p_type = 'SMALL' UNION ALL SELECT 'n_weapon', 0
+  UNION ALL SELECT 'n_located', count(*) FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'n_week', count(*) FROM e WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY UNION ALL SELECT 'n_events', count(*) FROM orders)""")
+def map_overview(s, d):
+    """The map's three layers and its indicators as one result."""
+    kind = F.when(F.col("p_type") == "ECONOMY", "ship").when(F.col("p_type") == "SMALL", "aircraft").otherwise("other")
+    own = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    equipment = _t(s, d, "part").select(own("equip_", "p_partkey").alias("vid"), F.col("p_name").alias("name"), kind.alias("equip_type"), F.when(F.col("p_size") % 2 == 0, "active").otherwise("sunk").alias("state"))
+    place = F.when(F.col("s_suppkey") % 3 != 0, F.concat_ws(",", (F.col("s_suppkey") % 80).cast("string"), (F.col("s_suppkey") % 170).cast("string"))).otherwise("none")
+    locations = _t(s, d, "supplier").select(own("loc_", "s_suppkey").alias("vid"), F.col("s_name").alias("name"), place.alias("coordinates"))
+    activities = _t(s, d, "orders").select(own("event_", "o_orderkey").alias("vid"), own("o", "o_orderkey").alias("name"))
+    return listing.map_overview(equipment, locations, activities, _t(s, d, "events").select(F.col("ts").alias("published_at")), F.lit("2024-01-31").cast("timestamp_ntz"))

@@ -206,11 +206,92 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+#: Where an article's text is looked for, in this order: a tag, a role or a class.  Fixed values.
+ARTICLE_SELECTORS = (("tag", "article"), ("role", "main"), ("class", "article-body"), ("class", "post-content"), ("class", "entry-content"), ("class", "story-body"), ("class", "article-content"))
+
+_TAG = r"<(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
+#: Entities that are resolved; the ampersand last, so that nothing is resolved twice.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(found, r"""^["']|["']$""", "")
+
+
+def _tokens(html: Column) -> Column:
+    """Tags and the texts between them: text, name (null for a text), closing, role, classes."""
+    def told(t: Column) -> Column:
+        tag = t.rlike(r"(?s)^<[A-Za-z/!?].*>$")
+        opening = t.rlike(r"^<[A-Za-z]")
+        return F.struct(t.alias("text"), F.when(tag, F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))).alias("name"), t.startswith("</").alias("closing"),
+                        F.when(opening, _attribute(t, "role")).alias("role"), F.when(opening, F.split(F.trim(_attribute(t, "class")), r"\s+")).alias("class"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TAG + r"|[^<]++|<"), F.lit(0)), told)
+
+
+def _resolved(text: Column) -> Column:
+    for name, char in _ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def _strings(tokens: Column) -> Column:
+    """The texts between tags, trimmed, without empty ones."""
+    texts = F.transform(F.filter(tokens, lambda t: t["name"].isNull()), lambda t: F.regexp_replace(_resolved(t["text"]), r"(?U)^\s+|\s+$", ""))
+    return F.filter(texts, lambda t: t != "")
+
+
+def _until_end(rest: Column) -> Column:
+    """The tokens of the element that the first one opens, elements of its name inside it included; without an end tag, all."""
+    def end(name: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+        def step(state: Column, token: Column) -> Column:
+            own = F.coalesce(token["name"] == name, F.lit(False))
+            depth = state["depth"] + F.when(~own, 0).when(token["closing"], -1).otherwise(1)
+            seen = state["seen"] + 1
+            return F.struct(depth.alias("depth"), seen.alias("seen"), F.when((state["end"] == 0) & own & (depth == 0), seen).otherwise(state["end"]).alias("end"))
+
+        return F.aggregate(rest, start, step, lambda x: F.when(x["end"] > 0, x["end"]).otherwise(x["seen"]))
+
+    return F.slice(rest, F.lit(1), _let(F.get(rest, F.lit(0))["name"], end))
+
+
+def _element(tokens: Column, kind: str, value: str) -> Column:
+    """The text of the first element that the selector names, null if there is none."""
+    def chosen(t: Column) -> Column:
+        if kind == "class":
+            return F.coalesce(F.array_contains(t["class"], value), F.lit(False))
+        return F.coalesce((t["name"] == value) & ~t["closing"] if kind == "tag" else t["role"] == value, F.lit(False))
+
+    text = lambda at: F.when(at > 0, _let(F.slice(tokens, F.greatest(at, F.lit(1)).cast("int"), F.size(tokens)), lambda rest: F.array_join(_strings(_until_end(rest)), " ")))
+    return _let(F.array_position(F.transform(tokens, chosen), True), text)
+
+
 def article_text(html: Column, enough: int = 200) -> Column:
-    """The text of the first of article, main and body that has more than enough characters, else of all paragraphs."""
-    inside = [plain_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)) for tag in ("article", "main", "body")]
-    paragraphs = F.array_join(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), plain_text), "\n")
-    return F.coalesce(*(F.when(F.length(x) > enough, x) for x in inside), paragraphs)
+    """The text of an article's page: of the first selector's element with more than enough characters, else of all paragraphs.
+
+    The texts inside an element are trimmed and joined by a space, those of a paragraph without one;
+    paragraphs are joined by a space.  Scripts, styles and comments are left out, common entities
+    resolved.  A null page has no text.
+    """
+    def paragraphs(bare: Column) -> Column:
+        found = F.regexp_extract_all(bare, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[\s>]|</(?:article|blockquote|body|div|html|li|main|section|td)\s*>|\z)"), F.lit(1))
+        return F.array_join(F.transform(found, lambda p: F.array_join(_strings(_tokens(p)), "")), " ")
+
+    def picked(bare: Column) -> Column:
+        found = _let(_tokens(bare), lambda tokens: F.filter(F.array(*(_element(tokens, *s) for s in ARTICLE_SELECTORS)), lambda x: x.isNotNull()))
+        first = lambda xs: F.get(F.filter(xs, lambda x: F.length(x) > enough), F.lit(0))
+        last = lambda xs: F.get(xs, F.size(xs) - 1)
+        return _let(found, lambda xs: F.coalesce(first(xs), F.when(F.length(last(xs)) >= enough, last(xs)), paragraphs(bare)))
+
+    return _let(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "<!>"), picked)
 
 
 def feed_time(value: Column) -> Column:

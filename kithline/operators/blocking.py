@@ -2,8 +2,8 @@
 
 The blocking predicate is a union of equalities but for one arm, containment of one name in the
 other.  The equalities become keys: name, aliases, synonyms, significant words.  A key
-with very many entities would give pairs in the square of their number; such keys are
-reported and left out only if the caller sets max_key_size, and by default nothing is.
+with very many entities gives pairs in the square of their number, in many tasks; such keys
+are left out only if the caller sets max_key_size, and by default nothing is.
 """
 
 from __future__ import annotations
@@ -23,15 +23,27 @@ def blocking_keys(entities: DataFrame) -> DataFrame:
     return entities.select("entity_type", "vid", F.explode(both).alias("k")).select("entity_type", "vid", "k.key", "k.plain")
 
 
-def token_pairs(entities: DataFrame, max_key_size: int | None = None) -> DataFrame:
-    """(entity_type, vid_a, vid_b), vid_a < vid_b: pairs that meet under a key."""
+#: A key's entities are dealt into blocks of about so many, and two blocks meet in a task of their own.
+BLOCK = 1000
+
+
+def token_pairs(entities: DataFrame, max_key_size: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(entity_type, vid_a, vid_b), vid_a < vid_b: pairs that meet under a key.
+
+    A key of n entities is m = n / block blocks.  An entity stands in a row of m tiles on the
+    left and a column of m on the right, so each two meet in one tile, and no tile has more than about
+    block squared pairs, whatever the key.
+    """
     keys = blocking_keys(entities)
+    sizes = keys.groupBy("entity_type", "key").agg(F.count("*").alias("n"))
     if max_key_size is not None:
-        usual = keys.groupBy("entity_type", "key").agg(F.count("*").alias("n")).filter(F.col("n") <= max_key_size).drop("n")
-        keys = keys.join(usual, ["entity_type", "key"], "left_semi")
-    a = keys.select("entity_type", "key", F.col("vid").alias("vid_a"), F.col("plain").alias("plain_a"))
-    b = keys.filter("plain").select("entity_type", "key", F.col("vid").alias("vid_b"))
-    met = a.join(b, ["entity_type", "key"]).filter((F.col("vid_a") < F.col("vid_b")) | (~F.col("plain_a") & (F.col("vid_a") != F.col("vid_b"))))
+        keys = keys.join(sizes.filter(F.col("n") <= max_key_size).drop("n"), ["entity_type", "key"], "left_semi")
+    large = sizes.filter(F.col("n") > block).select("entity_type", "key", F.ceil(F.col("n") / block).cast("int").alias("m"))
+    keys = keys.join(large, ["entity_type", "key"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    a = keys.select("entity_type", "key", F.col("own").alias("i"), all_blocks.alias("j"), F.col("vid").alias("vid_a"), F.col("plain").alias("plain_a"))
+    b = keys.filter("plain").select("entity_type", "key", all_blocks.alias("i"), F.col("own").alias("j"), F.col("vid").alias("vid_b"))
+    met = a.join(b, ["entity_type", "key", "i", "j"]).filter((F.col("vid_a") < F.col("vid_b")) | (~F.col("plain_a") & (F.col("vid_a") != F.col("vid_b"))))
     return met.select("entity_type", F.least("vid_a", "vid_b").alias("vid_a"), F.greatest("vid_a", "vid_b").alias("vid_b")).distinct()
 
 

@@ -55,23 +55,37 @@ def block_key(label: Column) -> Column:
 
 
 def negatives(left: DataFrame, right: DataFrame, gold: DataFrame, most: int = 2000, seed: int = 42) -> DataFrame:
-    """(uri_a, uri_b) with a common block key that are not in gold, in a seeded order.
+    """(uri_a, uri_b) with a common block key that are not in gold (in either direction): most of them, or all there are.
 
-    Each left entity meets one right entity of its block, chosen by a hash, so a block
-    of any size gives as many pairs as it has left entities.
+    A walk through a block deals its left entities in turn, in a seeded order, and gives each its right
+    entities from a seeded start on, so it meets every pair of the block once; the block gives the first pairs of
+    its walk that are not in gold.  Each block gives one pair at least while most allows, and beyond that by its
+    number of pairs.  Only the pairs that are looked at are ever made.
     """
-    part = 1024  # a block of more entities is dealt into parts of about so many
-    keyed = right.select(F.col("uri").alias("uri_b"), block_key(F.col("label")).alias("k")).filter("k <> ''")
-    parts = keyed.groupBy("k").agg(F.ceil(F.count("*") / part).alias("parts"))
-    dealt = keyed.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("uri_b"), F.col("parts")))
-    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("k", "part").orderBy("uri_b")) - 1).select("k", "part", "i", "uri_b")
-    sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("n"))
-    own = left.select(F.col("uri").alias("uri_a"), block_key(F.col("label")).alias("k")).join(parts, "k").withColumn("part", F.pmod(F.xxhash64("uri_a", F.lit(seed + 1)), F.col("parts")))
-    own = own.join(sizes, ["k", "part"]).withColumn("i", F.pmod(F.xxhash64("uri_a", F.lit(seed)), F.col("n")))
-    pairs = own.join(numbered, ["k", "part", "i"]).select("uri_a", "uri_b")
-    ga = gold.select("uri_a", "uri_b")
-    both = ga.unionByName(ga.select(F.col("uri_b").alias("uri_a"), F.col("uri_a").alias("uri_b")))
-    return pairs.join(both, ["uri_a", "uri_b"], "left_anti").orderBy(F.xxhash64("uri_a", "uri_b", F.lit(seed)), "uri_a").limit(most)
+    from kithline.operators.listing import numbered
+    from kithline.scratch import materialise
+
+    side = lambda d, e: d.select(F.col("uri").alias(f"uri_{e}"), block_key(F.col("label")).alias("k")).filter("k <> ''").distinct()
+    a, b = side(left, "a"), side(right, "b")
+    sizes = a.groupBy("k").agg(F.count("*").alias("na")).join(b.groupBy("k").agg(F.count("*").alias("nb")), "k").withColumn("pairs", F.col("na") * F.col("nb"))
+    known = gold.select("uri_a", "uri_b")
+    known = known.unionByName(known.select(F.col("uri_b").alias("uri_a"), F.col("uri_a").alias("uri_b"))).distinct()
+    taken = known.join(a, "uri_a").join(b.withColumnRenamed("k", "kb"), "uri_b").filter("k = kb").groupBy("k").agg(F.count("*").alias("taken"))
+    free = materialise(sizes.join(taken, "k", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).withColumn("free", F.col("pairs") - F.col("taken")).filter("free > 0"), "blocks")
+    blocks, total = free.agg(F.count("*"), F.coalesce(F.sum("free"), F.lit(0))).first()
+    # Shares of what is left after one each, by running sums over the blocks in the order of their keys.
+    rest, spare = max(min(most, total) - blocks, 0), max(total - blocks, 1)
+    part = Window.orderBy("k")  # a row for each block key: three characters of a word
+    run = F.sum(F.col("free") - 1).over(part.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(38,0)")
+    cut = lambda x: F.floor(x * rest / spare)
+    share = (cut(run) - cut(run - (F.col("free") - 1)) + F.when(F.row_number().over(part) <= most, 1).otherwise(0)).cast("long")
+    wanted = free.withColumn("want", F.least(share, F.col("free"))).filter("want > 0")
+    drawn = wanted.select("k", "na", "nb", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("want") + F.col("taken"), F.col("pairs")) - 1)).alias("t"))
+    at = drawn.withColumn("i", F.col("t") % F.col("na")).withColumn("j", F.pmod(F.floor(F.col("t") / F.col("na")) + F.pmod(F.xxhash64("k", "i", F.lit(seed + 1)), F.col("nb")), F.col("nb")))
+    pairs = at.join(numbered(a, "uri_a", "k", name="i", seed=seed), ["k", "i"]).join(numbered(b, "uri_b", "k", name="j", seed=seed), ["k", "j"]).join(known, ["uri_a", "uri_b"], "left_anti")
+    # A block's looked-at pairs are at most what it gives and the gold pairs in it.
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("t"))).filter("r <= want")
+    return first.select("uri_a", "uri_b")
 
 
 #: The features of the learned aligner; the fixed score is left out, as it is made of them.

@@ -190,15 +190,44 @@ def location_detail(locations: DataFrame) -> DataFrame:
     return locations.withColumn("_p", coordinates(F.col("coordinates"))).withColumn("lat", F.col("_p.lat")).withColumn("lng", F.col("_p.lng")).drop("_p")
 
 
-def entity_detail(entities: DataFrame, edges: DataFrame, vertices: DataFrame, records: DataFrame, articles: DataFrame, positions: DataFrame) -> DataFrame:
-    """Each entity with coordinates, relations, newest articles and positions; source: where it is known from."""
+def top_rows(rows: DataFrame, key: str, order: list[str], most: int, parts: int = 64) -> DataFrame:
+    """With rank and total: the first rows of each key in this order, and how many the key has.
+
+    A key's rows are first ranked within parts, by a hash of the order's columns, so a key of any size leaves
+    at most parts times most rows for the task that ranks them.
+    """
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    within = Window.partitionBy(key, "_part").orderBy(*order)
+    first = part.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= most)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= most)
+    totals = rows.groupBy(key).agg(F.count("*").alias("total"))
+    return ranked.drop("_part", "_rank").join(totals, key)
+
+
+def entity_detail(entities: DataFrame, edges: DataFrame, vertices: DataFrame, records: DataFrame, articles: DataFrame, positions: DataFrame, most: int = 1000) -> DataFrame:
+    """Each entity with coordinates, its first most relations and their number, newest articles and positions; source: where it is known from."""
     from kithline.operators.graph import one_hop, provenance
 
     vids = entities.select("vid")
-    near = one_hop(vids, edges, vertices).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("type", "direction", "neighbour", "neighbour_name"))).alias("relations"))
+    near = top_rows(one_hop(vids, edges, vertices), "vid", ["type", "direction", "neighbour", "neighbour_name"], most)
+    near = near.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("type", "direction", "neighbour", "neighbour_name"))).alias("relations"), F.max("total").alias("n_relations"))
     seen = provenance(vids, edges, records, articles).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("rank", "article_id", "title"))).alias("articles"))
     at = newest_positions(positions).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("rank", "reported_at", "lat", "lng"))).alias("positions"))
     out = entities
     for part in (near, seen, at):
         out = out.join(part, "vid", "left")
-    return out.withColumn("source", F.when(F.size(F.coalesce("articles", F.array())) > 0, "news_extract").otherwise("seed"))
+    return out.withColumn("n_relations", F.coalesce("n_relations", F.lit(0).cast("long"))).withColumn("source", F.when(F.size(F.coalesce("articles", F.array())) > 0, "news_extract").otherwise("seed"))
+
+
+def map_overview(equipment: DataFrame, locations: DataFrame, activities: DataFrame, articles: DataFrame, now: Column) -> DataFrame:
+    """(layer, vid, name, lat, lng, n): the ships in service, the places with coordinates, the activities and the indicators of a map.
+
+    Indicators have their name and n, the layers' rows no n; only places have coordinates.
+    """
+    kpis = map_kpis(equipment, locations, articles, activities, now)
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda d, layer, lat=None, lng=None: d.select(F.lit(layer).alias("layer"), "vid", "name", (lat if lat is not None else none("double")).alias("lat"), (lng if lng is not None else none("double")).alias("lng"), none("long").alias("n"))
+    counts = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in kpis.columns))).alias("x")
+    placed = location_detail(locations).filter("lat is not null and lng is not null")
+    indicators = kpis.select(counts).select(F.lit("kpi").alias("layer"), none("string").alias("vid"), "x.name", none("double").alias("lat"), none("double").alias("lng"), "x.n")
+    return row(active_ships(equipment), "ship").unionByName(row(placed, "location", F.col("lat"), F.col("lng"))).unionByName(row(activities, "activity")).unionByName(indicators)
