@@ -13,7 +13,7 @@ from kithline.operators import crosslingual, evaluation, graph, learning, listin
 from kithline.plans import extraction, fusion
 from kithline.scratch import shared_dir
 from kithline.sources import feeds, files
-from kithline.streaming import streams
+from kithline.streaming import lifecycle, streams
 
 
 def _key(prefix: str, column: str):
@@ -797,11 +797,67 @@ def stream_new_articles(s, d):
     return s.table(table).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT count(*) AS n, 1 AS trained FROM events")
+def _sliced(s: SparkSession, rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """rows as a stream of so many micro-batches, in order: a file each, written one after another."""
+    base = f"{shared_dir(s)}/kithline-slices-{uuid.uuid4().hex}"
+    share = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10000)).first()[0]
+    for i in range(parts):
+        low, high = (F.lit(True) if i == 0 else F.col(order) > share[i - 1]), (F.lit(True) if i == parts - 1 else F.col(order) <= share[i])
+        rows.filter(low & high).coalesce(1).write.mode("append").parquet(base)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
+@_query("SELECT count(*) AS n, count(*) // 50 > 0 AS trained, 4 AS batches FROM events")
 def stream_retrain(s, d):
+    """Four micro-batches; the count goes on from batch to batch, and a second run of the same stream adds nothing."""
     table, calls = f"kithline_counts_{uuid.uuid4().hex}", []
-    streams.retrain_every(_stream(s, d), table, 50, lambda: calls.append(1), f"{shared_dir(s)}/kithline-stream-{table}").awaitTermination()
-    return s.table(table).agg(F.sum("n").alias("n")).withColumn("trained", F.lit(len(calls)))
+    rows = _sliced(s, _t(s, d, "events").select("event_id"), "event_id", 4)
+    for _ in range(2):
+        streams.retrain_every(rows, table, 50, lambda: calls.append(1), f"{shared_dir(s)}/kithline-stream-{table}").awaitTermination()
+    return s.table(table).agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("batches")).withColumn("trained", F.lit(1 <= len(calls) <= 4))
+
+
+_KINDS = ("arrived", "claimed", "extracted", "no_result", "error", "reset")
+
+
+def _article_events(s: SparkSession, d: str) -> DataFrame:
+    """Each user's events as those of an article: it arrives first, then whatever the events' values say."""
+    e = _t(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("article_id"), "value")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod(F.floor(F.col("value") * 10), F.lit(6)) + 1).cast("int"))
+    first = F.row_number().over(Window.partitionBy("article_id").orderBy("ts", "event_id")) == 1
+    return e.select("article_id", "event_id", "ts", F.when(first, "arrived").otherwise(kind).alias("kind"), (F.col("article_id") % 5 == 0).alias("empty"))
+
+
+@_query()
+def stream_article_status(s, d):
+    """Transitions of all articles, from five micro-batches."""
+    import datetime as dt
+
+    out = _ended(lifecycle.transitions(_sliced(s, _article_events(s, d), "ts", 5), dt.timedelta(hours=6)), "append")
+    return out.select("article_id", F.col("at").cast("timestamp_ntz").alias("at"), "was", "now", "why")
+
+
+@_query("SELECT event_id, user_id, upper(event_type) AS label FROM events")
+def stream_resumed(s, d):
+    """A stream of four micro-batches that stops twice, once with a batch written but not committed, and goes on."""
+    base = f"{shared_dir(s)}/kithline-ledger-{uuid.uuid4().hex}"
+    rows, stops = _sliced(s, _t(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 4), [1, 2]
+
+    def stop(number: int) -> None:
+        if stops and number == stops[0]:
+            stops.pop(0)
+            raise lifecycle.Stopped(f"batch {number}")
+
+    while True:
+        query = lifecycle.ledgered(rows, lambda r: r.select("event_id", "user_id", F.upper("event_type").alias("label")), base, f"{base}/checkpoint", stop)
+        try:
+            query.awaitTermination()
+            break
+        except Exception as e:  # noqa: BLE001
+            if "Stopped" not in str(e):
+                raise
+    assert not stops
+    return lifecycle.ledger_rows(s, base)
 
 
 # --- learning -------------------------------------------------------------------------
