@@ -136,9 +136,14 @@ class Model:
         #: The score of every text if the labels do not tell two classes apart.
         self.constant: float | None = None
 
+    def release(self) -> None:
+        """Let a worker forget the tables it has read; the next task reads them from the worker's files again."""
+        for block in self.blocks:
+            block.__dict__.pop("_value", None)
+
     def word_ratios(self, data: np.ndarray, spans: np.ndarray, model: int = 0) -> np.ndarray:
         out = np.zeros(len(spans))
-        step = 50_000  # bounds the memory for batches of many distinct words
+        step = 20_000  # bounds the memory for batches of many distinct words
         for lo in range(0, len(spans), step):
             key, word = _grams(data, spans[lo: lo + step])
             distinct, of = np.unique(key, return_inverse=True)
@@ -343,6 +348,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_
         for batch in _small(batches, 2):
             score = model.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        model.release()
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out")
@@ -362,5 +368,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, at):
             yield batch.filter(pa.array(model.scores(batch.column(at)) < 0.5))
+        model.release()
 
     return docs.mapInArrow(run, docs.schema)
