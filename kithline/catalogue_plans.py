@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from kithline.catalogue import _query, _t
 from kithline.functions import replies, text
-from kithline.operators import crosslingual, evaluation, graph, learning, listing, mutations, scorer
+from kithline.operators import crosslingual, evaluation, graph, learning, listing, lookups, mutations, scorer
 from kithline.plans import extraction, fusion
-from kithline.scratch import shared_dir
+from kithline.scratch import materialise, shared_dir
 from kithline.sources import feeds, files
 from kithline.streaming import lifecycle, streams
 
@@ -1026,3 +1026,79 @@ def map_overview(s, d):
     locations = _t(s, d, "supplier").select(own("loc_", "s_suppkey").alias("vid"), F.col("s_name").alias("name"), place.alias("coordinates"))
     activities = _t(s, d, "orders").select(own("event_", "o_orderkey").alias("vid"), own("o", "o_orderkey").alias("name"))
     return listing.map_overview(equipment, locations, activities, _t(s, d, "events").select(F.col("ts").alias("published_at")), F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+# --- look-ups and merges that come later ----------------------------------------------
+
+
+def _indexed(s: SparkSession, rows: DataFrame, *fields: str) -> str:
+    path = f"{shared_dir(s)}/kithline-index-{uuid.uuid4().hex}"
+    lookups.build(rows, fields, path)
+    return path
+
+
+@_query("""WITH x AS (SELECT 'c' || c_custkey AS vid, 'name' AS field, lower(c_name) AS value FROM customer UNION ALL SELECT 'c' || c_custkey, 'segment', lower(c_mktsegment) FROM customer UNION ALL SELECT 's' || s_suppkey, 'name', lower(s_name) FROM supplier),
+q AS (SELECT DISTINCT lower(right(c_name, 5)) AS q FROM customer WHERE c_custkey % 50 = 0 UNION SELECT lower(substr(c_mktsegment, 2, 4)) FROM customer UNION SELECT 'no such text')
+SELECT q, field, value, vid FROM x, q WHERE contains(value, q)""")
+def index_texts(s, d):
+    """A search for the ends of each fiftieth customer's name and for parts of all segments, by the index of 3-grams."""
+    c = _t(s, d, "customer")
+    rows = c.select(_key("c", "c_custkey"), "c_name", "c_mktsegment").toDF("vid", "name", "segment").withColumn("vid", F.regexp_replace("vid", "_", ""))
+    rows = rows.unionByName(_t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("vid"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("segment")))
+    texts = c.filter("c_custkey % 50 = 0").select(F.expr("right(c_name, 5)").alias("q")).union(c.select(F.substring("c_mktsegment", 2, 4))).union(s.createDataFrame([("no such text",)], "q string"))
+    return lookups.containing(s, _indexed(s, rows, "name", "segment"), texts)
+
+
+@_query("SELECT 'name' AS field, lower(p_name) AS value, 'part_' || p_partkey AS vid FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0) UNION ALL SELECT 'brand', lower(p_brand), 'part_' || p_partkey FROM part WHERE p_brand = 'Brand#7'")
+def index_values(s, d):
+    """Exact look-ups: the names of each fiftieth part, and one brand."""
+    p = _t(s, d, "part")
+    path = _indexed(s, p.select(_key("part", "p_partkey").alias("vid"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")), "name", "brand")
+    wanted = p.filter("p_partkey % 50 = 0").select(F.lit("name").alias("field"), F.upper("p_name").alias("value")).union(s.createDataFrame([("brand", "brand#7")], "field string, value string"))
+    return lookups.equal(s, path, wanted)
+
+
+@_query(f"WITH {_MERGES_SQL} SELECT 'person_' || k AS vid, 'person_' || keep AS keep FROM mp")
+def merges_in_batches(s, d):
+    """The merges of merge_map_chain in three batches that cut its chains anywhere."""
+    merges, state = materialise(_merges(s, d), "merges"), None
+    for i in range(3):
+        state = graph.merged_later(state, merges.filter(F.pmod(F.xxhash64("ordinal"), F.lit(3)) == i))
+    return state.select("vid", "keep")
+
+
+def _staged_sources(s: SparkSession, d: str) -> list[dict]:
+    """Staged files of three sources: items of customers and orders, the latter also by an interface; one source is not there."""
+    def staged(rows: DataFrame, name: str, line) -> str:
+        path = f"{shared_dir(s)}/kithline-staged-{name}-{uuid.uuid4().hex}"
+        rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", "title", "url"))).alias("a")).select(line.alias("line")).write.option("maxRecordsPerFile", 1).text(path)
+        return path
+
+    item = F.array_join(F.transform("a", lambda a: F.concat(F.lit("<item><title>"), a["title"], F.lit("</title><link>"), a["url"], F.lit("</link><description>&lt;p&gt;about "), a["title"], F.lit("&lt;/p&gt;</description></item>"))), "")
+    rss = F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>"))
+    c = _t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 25).alias("file"), F.concat(F.when(F.col("c_nationkey") % 2 == 0, "Navy ").otherwise("cooking "), "c_name").alias("title"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("url"))
+    o = _t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(0).alias("file"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "Navy yoga ").otherwise("Navy "), "s_name").alias("title"), F.concat(F.lit("u"), (F.col("s_suppkey") * 3).cast("string")).alias("url"))
+    paths = staged(c, "rss", rss), staged(c.filter("k < 40"), "tracker", rss), staged(o, "json", F.to_json(F.struct(F.transform("a", lambda a: F.struct(a["url"].alias("url"), a["title"].alias("title"))).alias("articles"))))
+    return [{"name": n, "type": t, "path": p} for n, t, p in (("daily", "rss", paths[0]), ("fleet tracker", "rss", paths[1]), ("api", "json", paths[2]), ("gone", "rss", f"{shared_dir(s)}/kithline-not-there"))]
+
+
+_STAGED_SQL = """x AS (SELECT 0 AS o, 'daily' AS source, 'Navy ' || c_name AS title, 'u' || c_custkey AS url, 'about Navy ' || c_name AS content FROM customer WHERE c_nationkey % 2 = 0
+UNION ALL SELECT 1, 'fleet tracker', CASE WHEN c_nationkey % 2 = 0 THEN 'Navy ' ELSE 'cooking ' END || c_name, 'u' || c_custkey, 'about ' || CASE WHEN c_nationkey % 2 = 0 THEN 'Navy ' ELSE 'cooking ' END || c_name FROM customer WHERE c_custkey < 40
+UNION ALL SELECT 2, 'api', 'Navy ' || s_name, 'u' || s_suppkey * 3, '' FROM supplier WHERE s_suppkey % 3 <> 0)"""
+
+
+@_query(f"WITH {_STAGED_SQL} SELECT source, title, url, content FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY url ORDER BY o) = 1) UNION ALL SELECT 'gone', 'FileNotFoundError', NULL, NULL")
+def staged_feeds(s, d):
+    """The articles of all staged sources, one for each URL, and a row for the source that is not there."""
+    found, errors = feeds.read_all(s, _staged_sources(s, d))
+    failed = errors.select("source", F.substring_index("error", ":", 1).alias("title"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("content"))
+    return found.select("source", "title", "url", "content").unionByName(failed)
+
+
+@_query(f"WITH {_STAGED_SQL} SELECT DISTINCT url FROM x WHERE source <> 'gone'")
+def stream_staged_feeds(s, d):
+    """The same sources as a stream into a table, which a second run adds nothing to."""
+    table, sources = f"kithline_articles_{uuid.uuid4().hex}", _staged_sources(s, d)
+    for _ in range(2):
+        streams.new_articles(s, feeds.stream_articles(s, sources), table, f"{shared_dir(s)}/kithline-stream-{table}").awaitTermination()
+    return s.table(table).select("url")

@@ -135,10 +135,7 @@ def merge_map(merges: DataFrame) -> DataFrame:
     keep, one that no other decision removes is kept, of several the one of the last
     decision, then the one with the smallest number.
     """
-    given = F.col("keep_vid") if "keep_vid" in merges.columns else F.lit(None).cast("string")
-    ordinal = F.col("ordinal") if "ordinal" in merges.columns else F.lit(0)
-    own = merges.filter("vid_a is not null and vid_b is not null").select("vid_a", "vid_b", ordinal.cast("long").alias("ordinal"), F.when(given.isin(F.col("vid_a"), F.col("vid_b")), given).otherwise(F.col("vid_a")).alias("wins"))
-    own = own.withColumn("loses", F.when(F.col("wins") == F.col("vid_a"), F.col("vid_b")).otherwise(F.col("vid_a")))
+    own = _decisions(merges)
     reached = materialise(components(own, "vid_a", "vid_b"), "components")
     removed = own.filter("wins <> loses").select(F.col("loses").alias("wins"), F.lit(True).alias("removed")).distinct()
     votes = own.groupBy("wins").agg(F.max("ordinal").alias("ordinal")).join(removed, "wins", "left").join(reached, F.col("wins") == F.col("node"), "left")
@@ -150,6 +147,41 @@ def merge_map(merges: DataFrame) -> DataFrame:
     return materialise(of.join(keep, "component").select("vid", "keep"), "merges")
 
 
+def merged_later(state: DataFrame | None, merges: DataFrame) -> DataFrame:
+    """(vid, component, ordinal, removed, keep): stored merges with further decisions, as if all had come at once.
+
+    state: what this function gave before (None at first); merges: see merge_map.  The earlier links are not needed.
+    New pairs are carried over to the components of their ends, and those alone are connected anew, so the search
+    for components costs what the new pairs cost; of the state only rows of components that are met change.
+    ordinal is that of the last decision that keeps the vertex (null: none does), removed says whether one removes it.
+    """
+    own = _decisions(merges)
+    if state is None:
+        state = own.select(F.col("vid_a").alias("vid"), F.col("vid_a").alias("component"), "ordinal", F.lit(False).alias("removed"), F.col("vid_a").alias("keep")).filter(F.lit(False))
+    own = materialise(own, "decisions")
+    ends = own.select(F.explode(F.array("vid_a", "vid_b")).alias("vid")).distinct()
+    at = materialise(ends.join(state.select("vid", "component"), "vid", "left").select("vid", F.coalesce("component", "vid").alias("at")), "ends")
+    links = own.select("vid_a", "vid_b").join(at.toDF("vid_a", "a"), "vid_a").join(at.toDF("vid_b", "b"), "vid_b").select("a", "b")
+    moved = materialise(at.select("at").distinct().join(components(links).toDF("at", "component"), "at", "left").select("at", F.coalesce("component", "at").alias("to")), "contracted")
+    votes = own.groupBy(F.col("wins").alias("vid")).agg(F.max("ordinal").alias("ordinal"))
+    removed = own.filter("wins <> loses").select(F.col("loses").alias("vid"), F.lit(True).alias("removed")).distinct()
+    fresh = at.join(votes, "vid", "left").join(removed, "vid", "left").select("vid", F.col("at").alias("component"), "ordinal", F.coalesce("removed", F.lit(False)).alias("removed"))
+    met = state.join(moved.select(F.col("at").alias("component")), "component", "left_semi").select("vid", "component", "ordinal", "removed").unionByName(fresh)
+    met = met.groupBy("vid").agg(F.min("component").alias("at"), F.max("ordinal").alias("ordinal"), F.max("removed").alias("removed")).join(moved, "at").select("vid", F.col("to").alias("component"), "ordinal", "removed")
+    rank = F.struct("removed", -F.col("ordinal"), F.coalesce(vid_number(F.col("vid")), F.lit(2**63 - 1)), F.col("vid"))
+    keep = met.filter("ordinal is not null").groupBy("component").agg(F.min_by("vid", rank).alias("keep"))
+    rest = state.join(moved.select(F.col("at").alias("component")), "component", "left_anti").select("vid", "component", "ordinal", "removed", "keep")
+    return materialise(rest.unionByName(met.join(keep, "component").select("vid", "component", "ordinal", "removed", "keep")), "merge-state")
+
+
+def _decisions(merges: DataFrame) -> DataFrame:
+    """(vid_a, vid_b, ordinal, wins, loses); see merge_map for what is given."""
+    given = F.col("keep_vid") if "keep_vid" in merges.columns else F.lit(None).cast("string")
+    ordinal = F.col("ordinal") if "ordinal" in merges.columns else F.lit(0)
+    own = merges.filter("vid_a is not null and vid_b is not null").select("vid_a", "vid_b", ordinal.cast("long").alias("ordinal"), F.when(given.isin(F.col("vid_a"), F.col("vid_b")), given).otherwise(F.col("vid_a")).alias("wins"))
+    return own.withColumn("loses", F.when(F.col("wins") == F.col("vid_a"), F.col("vid_b")).otherwise(F.col("vid_a")))
+
+
 def rewire(edges: DataFrame, mapping: DataFrame, merged_as: str = "fusion_merge") -> DataFrame:
     """The edges between the vertices that are kept.
 
