@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.llm.scratch import materialise
@@ -232,7 +232,12 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def _shared_estimates(grams: DataFrame) -> DataFrame:
-    """(gram, p): the Kneser-Ney estimate of sequences one byte shorter, from how many bytes precede each."""
+    """(gram, p): the Kneser-Ney estimate of sequences one byte shorter, from how many bytes precede each.
+
+    A context's sequences, 256 at most, are a window, so a level is dealt by context once.  There
+    are at most 256 and 65536 sequences of one and two bytes; these are broadcast.
+    """
+    of = Window.partitionBy("context")
     counts, levels = grams.select("gram"), []
     for n in range(ORDER - 1, 0, -1):
         mask = F.lit((1 << (8 * n)) - 1)
@@ -241,13 +246,12 @@ def _shared_estimates(grams: DataFrame) -> DataFrame:
         levels.append((n, counts))
     lower = None
     for n, own in reversed(levels):
-        own = own.withColumn("context", F.shiftright("gram", 8))
-        of = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        row = own.join(of, "context")
+        row = own.withColumn("context", F.shiftright("gram", 8)).select("*", F.sum("n").over(of).alias("total"), F.count("*").over(of).alias("types"))
         if lower is None:
             row = row.withColumn("base", 1 / (F.col("types") + 1))
         else:
-            row = row.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1))).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("base")), "short")
+            base = lower.select(F.col("gram").alias("short"), F.col("p").alias("base"))
+            row = row.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1))).join(F.broadcast(base) if n <= 3 else base, "short")
         p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("base")) / F.col("total")
         lower = row.select("gram", p.alias("p"))
     return lower
@@ -262,8 +266,8 @@ def _ratios(counts: DataFrame) -> DataFrame:
     models = {m: [f for f in LEARNED if f != m] for m in (0, *LEARNED)}
     classes = [(m, c) for m in models for c in (1, 0)]
     grams = counts.select("gram", context.alias("context"), *(sum((F.col(f"c{c}_{f}") for f in models[m]), F.lit(0)).alias(f"n{c}_{m}") for m, c in classes))
-    contexts = grams.groupBy("context").agg(*(x for m, c in classes for x in (F.sum(f"n{c}_{m}").alias(f"total{c}_{m}"), F.count_if(F.col(f"n{c}_{m}") > 0).alias(f"types{c}_{m}"))))
-    row = grams.join(contexts, "context").withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (ORDER - 1))) - 1)))
+    of = Window.partitionBy("context")  # 256 sequences at most
+    row = grams.select("*", *(x for m, c in classes for x in (F.sum(f"n{c}_{m}").over(of).alias(f"total{c}_{m}"), F.count_if(F.col(f"n{c}_{m}") > 0).over(of).alias(f"types{c}_{m}")))).withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (8 * (ORDER - 1))) - 1)))
     row = row.join(_shared_estimates(counts).select(F.col("gram").alias("short"), "p"), "short")
 
     def likelihood(m: int, c: int) -> Column:
