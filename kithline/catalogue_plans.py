@@ -175,6 +175,47 @@ def resolve_new_routes(s, d):
     return fusion.resolve_new(new, _known(s, d), verdicts).select("name", "route", "vid")
 
 
+@_query("""WITH k AS (SELECT 'equip_' || p_partkey AS vid, p_name AS name, lower(p_brand) AS category, CASE WHEN p_partkey % 3 = 0 THEN 'active' ELSE 'retired' END AS state FROM part WHERE p_size < 25),
+w AS (SELECT CASE WHEN length(a.p_name) % 3 = 0 THEN reverse(a.p_name) ELSE a.p_name END AS name, min(b.p_name) AS designation FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 GROUP BY 1),
+c AS (SELECT *, 'brand#1' || (length(name) % 5) AS category FROM w),
+t AS (SELECT name, category, 1 AS ordinal, name AS key FROM c UNION ALL SELECT name, category, 0, designation FROM c WHERE designation IS NOT NULL),
+m AS (SELECT t.name, ordinal, vid, (CASE WHEN t.category = k.category OR contains(t.category, k.category) OR contains(k.category, t.category) THEN 0.5 ELSE -0.75 END) + CASE WHEN state = 'active' THEN 0.5 ELSE -0.75 END AS raw FROM t JOIN k ON k.name = t.key),
+s AS (SELECT name, ordinal, vid, greatest(-1.0, least(1.0, raw)) AS score FROM m),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, ordinal, vid) = 1),
+n AS (SELECT name, count(DISTINCT vid) AS n_candidates FROM s GROUP BY 1)
+SELECT name, CASE WHEN score IS NULL OR score <= -0.4 THEN 'new' WHEN score >= 0.6 THEN 'merge' ELSE 'new' END AS route, CASE WHEN score >= 0.6 THEN vid END AS vid, coalesce(n_candidates, 0) AS n_candidates
+FROM w LEFT JOIN b USING (name) LEFT JOIN n USING (name)""")
+def resolve_designations(s, d):
+    """New entities that are met by their designation, by their name or by both; the name of a third of them is known to nobody."""
+    p = _t(s, d, "part")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("designation"))
+    name = F.when(F.length("p_name") % 3 == 0, F.reverse("p_name")).otherwise(F.col("p_name"))
+    own = p.join(after, "p_partkey", "left").groupBy(name.alias("name")).agg(F.min("designation").alias("designation"))
+    props = F.create_map(F.lit("category"), F.concat(F.lit("brand#1"), (F.length("name") % 5).cast("string")), F.lit("state"), F.lit("active"))
+    new = own.select(F.lit("equipment").alias("entity_type"), "name", "designation", props.alias("props"))
+    return fusion.resolve_new(new, _known(s, d)).select("name", "route", "vid", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+@_query("SELECT DISTINCT 'source ' || l_suppkey AS name FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)")
+def new_sources(s, d):
+    known = _t(s, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("source "), F.col("s_suppkey").cast("string")).alias("name"))
+    wanted = _t(s, d, "lineitem").select(F.concat(F.lit("source "), F.col("l_suppkey").cast("string")).alias("name"))
+    return feeds.new_sources(known, wanted)
+
+
+@_query("SELECT DISTINCT 'record_article_' || l_orderkey AS src, 'equipment_' || l_partkey AS dst FROM lineitem")
+def legacy_mention_edges(s, d):
+    rows = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_partkey").alias("equipment_id"))
+    return mutations.legacy_mentions(rows, "equipment", "equipment_id")
+
+
+@_query("""SELECT 'persons_' || c_custkey AS vid, 'person' AS tag, c_name AS name FROM customer UNION ALL SELECT 'equipment_' || p_partkey, 'equipment', p_name FROM part
+UNION ALL SELECT 'locations_' || n_nationkey, 'location', n_name FROM nation""")
+def legacy_vertex_rows(s, d):
+    c, p, n = _t(s, d, "customer"), _t(s, d, "part"), _t(s, d, "nation")
+    return mutations.legacy_vertices({"persons": (c.withColumn("name", F.col("c_name")), "c_custkey", "person"), "equipment": (p.withColumn("name", F.col("p_name")), "p_partkey", "equipment"), "locations": (n.withColumn("name", F.col("n_name")), "n_nationkey", "location")})
+
+
 @_query("""WITH k AS (SELECT 'equip_' || p_partkey AS vid, p_name AS name, p_partkey % 5 = 0 AS aliased FROM part WHERE p_size < 25), l AS (SELECT p_name AS name, 'local' AS vid FROM part WHERE p_size = 30 GROUP BY 1),
 w AS (SELECT p_name AS name FROM part UNION SELECT reverse(p_name) FROM part),
 a AS (SELECT x AS name, min(vid) AS vid FROM (SELECT vid, unnest([name, reverse(name)]) AS x FROM k WHERE aliased) GROUP BY 1), n AS (SELECT name, min(vid) AS vid FROM k GROUP BY 1)
