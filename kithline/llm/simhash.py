@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from kithline.llm.components import components
 from kithline.llm.scratch import free_name, materialise
 from kithline.llm.shipping import ship
-from kithline.llm.similar import drop_similar
 from kithline.llm.skew import join_groups
 from kithline.llm.words import word_runs
 
@@ -51,6 +50,12 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes as a signed number; zero of none."""
+    value = sum(1 << int(i) for i in np.flatnonzero(2 * _bit_counts(hashes) > len(hashes)))
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """The SimHash of one text as a signed 64-bit number."""
     import xxhash
@@ -151,12 +156,15 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bu
     """The row with the smallest doc_id of each component, with all its columns.
 
     Fingerprints within two bits are linked or, with a similarity, texts whose sets of shingles
-    have at least that Jaccard similarity: most such pairs differ in more bits than fingerprints
-    can be looked up by, so they are found and compared by their shingles (see similar).  Rows
+    have at least that Jaccard similarity: they meet by fingerprints within two bits, and, as most
+    such pairs differ in more bits than fingerprints can be looked up by, by minima of their
+    shingles; either way they are compared by their shingles (see similar).  Rows
     whose doc_id is null are all kept.  A doc_id that several rows have goes if any of them is
     linked to a smaller one.
     """
     if similarity is not None:
+        from kithline.llm.similar import drop_similar
+
         return drop_similar(docs, similarity, shingle_words, bucket_limit)
     goes = free_name(docs, "goes")
     ids = near_duplicates(docs, shingle_words, bucket_limit).filter("component_id < doc_id").select(F.col("doc_id").alias(goes)).distinct()

@@ -47,3 +47,50 @@ def test_stage_drops_a_copy_with_one_changed_word(spark):
     words = [f"w{i}" for i in range(100)]
     docs = documents(spark, [(1, " ".join(words)), (2, " ".join(words[:50] + ["other"] + words[51:]))])
     assert [r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()] == [1]
+
+
+def _crowd(n=150):
+    """Near copies of one text of which most are unlike each other, but that its words stand in."""
+    rng = random.Random(9)
+    words = [f"b{i}" for i in range(110)]
+    rows = []
+    for k in range(n):
+        own = list(words)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 6, 7))):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(100_000)}"
+        if k % 5 == 1:  # a copy of a far copy
+            own = rows[rng.randrange(len(rows))][1].split()
+            own[rng.randrange(len(own))] = f"c{k}"
+        rows.append((1000 + k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [8, 64])
+def test_crowd_equals_brute_force(spark, limit):
+    rows = _crowd() + _near_copies()
+    kept = module.drop_similar(documents(spark, rows), bucket_limit=limit)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == brute(rows)
+
+
+def test_a_crowd_makes_no_pairs_of_all_unlike_sets(spark):
+    """Unlike sets of one crowd meet only if they share enough of what differs from its leading set."""
+    rng, base = random.Random(3), list(range(1, 141))
+    sets, crowds = {}, []
+    for node in range(400):
+        gone = rng.sample(base, 25 if node else 0)
+        own = sorted({*base, *(rng.randrange(10_000, 10**9) for _ in gone)} - set(gone))
+        sets[node] = own
+        crowds.append((0, node, len(own), node))
+    sets[400] = sorted({*sets[399], 7} - {sets[399][-1]})
+    crowds.append((0, 400, len(sets[400]), 400))
+    found = module._differences(spark.createDataFrame(crowds, "crowd long, node long, size long, label long"), spark.createDataFrame([(k, v) for k, v in sets.items()], "node long, shingles array<long>"), 0.8)
+    pairs = {(r.a, r.b) for r in module._crowd_pairs(found, 0.8).collect()}
+    assert (399, 400) in pairs and len(pairs) < 400
+
+
+def test_fingerprints_bring_pairs_to_the_comparison(spark):
+    nodes = spark.createDataFrame([(1, 100, 5), (2, 100, 5), (3, 100, 7), (4, 100, 5 ^ 7 << 20), (5, 10, 5)], "node long, size long, fp long")
+    assert {(r.a, r.b) for r in module.fingerprint_pairs(nodes, 0.8).collect()} == {(1, 2), (1, 3)}
+    docs = documents(spark, [(1, "a b c d e f g"), (2, "A b  c d e f g")])
+    got = module.signatures(docs).collect()
+    assert got[0].fp == got[1].fp != 0
