@@ -8,7 +8,8 @@ bitmap of bounded size; a bitmap too small for its cells lets more phrases pass
 
 In the third pass each shard of text compiles the candidates that occur in it into automata, with
 a space before and behind each phrase and each word of the text, scans its text with them, and hands
-on its counts.  Their sums are exact, and the thresholds hold on them.
+on its counts, packed by buckets of the phrases' hashes.  A bucket's task adds them.  The sums are
+exact, and the thresholds hold on them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,6 +237,16 @@ def _scan(shard: Shard, phrases: list[str]) -> np.ndarray:
     return out + np.bincount(np.array(held, np.int64), minlength=len(phrases))
 
 
+def _packed(lang: str, sizes: np.ndarray, phrases: list[bytes], f: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A shard's counts, a row for each bucket of the phrases' hashes."""
+    bucket = np.array([xxhash.xxh64_intdigest(p) for p in phrases], _U) >> _U(64 - bits)
+    order = np.argsort(bucket, kind="stable")
+    some, first = np.unique(bucket[order], return_index=True)
+    ends = pa.array([*first, len(order)], pa.int32())
+    lists = [pa.array(sizes[order]), pa.array([phrases[i].decode() for i in order], pa.string()), pa.array(f[order])]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([lang] * len(some), pa.string()), *(pa.ListArray.from_arrays(ends, x) for x in lists)], ["bucket", "lang", "sizes", "phrases", "counts"])
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, largest_bitmap: int = LARGEST_BITMAP) -> DataFrame:
     """(lang, size, phrase, f): phrases of one to four words that occur least times or more; size 0: all words.
 
@@ -255,17 +267,26 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short_map, long_map = Passed(*short.value), Passed(*long.value)
         for shard in _shards(batches, shard_bytes):
-            found = [(len(p), b" ".join(p).decode()) for p in _phrases(shard, short_map, long_map)]
-            rows = [(0, "", len(shard.all))] if len(shard.all) else []
+            found = [(len(p), b" ".join(p)) for p in _phrases(shard, short_map, long_map)]
+            sizes, phrases, f = [n for n, _ in found], [p for _, p in found], []
             for k in range(0, len(found), AUTOMATON_PHRASES):
-                part = found[k: k + AUTOMATON_PHRASES]
-                rows += [(n, p, f) for (n, p), f in zip(part, _scan(shard, [p for _, p in part]).tolist(), strict=True)]
-            for k in range(0, len(rows), 50_000):
-                n, p, f = zip(*rows[k: k + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array(p, pa.string()), pa.array(f, pa.int64())], ["lang", "size", "phrase", "f"])
-
-    counted = own.mapInArrow(count, "lang string, size int, phrase string, f long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("size") == 0) | (F.col("f") >= least))
+                f.append(_scan(shard, [p.decode() for p in phrases[k: k + AUTOMATON_PHRASES]]))
+            if len(shard.all):
+                sizes, phrases = [*sizes, 0], [*phrases, b""]
+                f.append(np.array([len(shard.all)]))
+            if phrases:
+                yield _packed(shard.lang, np.array(sizes, np.int32), phrases, np.concatenate(f), bits)
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [table[c].combine_chunks() for c in ("sizes", "phrases", "counts")]
+        langs = table["lang"].combine_chunks().take(pc.list_parent_indices(lists[0]))
+        size, phrase, f = (x.flatten() for x in lists)
+        summed = pa.table({"lang": langs, "size": size, "phrase": phrase, "f": f}).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        summed = pa.table({"lang": summed["lang"], "size": summed["size"], "phrase": summed["phrase"], "f": summed["f_sum"]})
+        return summed.filter(pc.or_(pc.equal(summed["size"], 0), pc.greater_equal(summed["f"], least)))
+
+    packed = own.mapInArrow(count, "bucket long, lang string, sizes array<int>, phrases array<string>, counts array<long>")
+    return packed.groupBy("bucket").applyInArrow(add, "lang string, size int, phrase string, f long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_bytes: int = SHARD_BYTES, largest_bitmap: int = LARGEST_BITMAP) -> DataFrame:

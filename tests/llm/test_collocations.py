@@ -73,3 +73,15 @@ def test_edge_rows(spark):
     assert want and _rows(collocations(docs, least=3, top=50)) == want
     assert collocations(documents(spark, [])).collect() == []
     assert collocations(documents(spark, [(1, None), (2, " ., ")])).collect() == []
+
+
+def test_counts_travel_in_a_row_for_each_bucket():
+    import numpy as np
+
+    from kithline.llm.collocations import _packed
+
+    phrases = [f"w{i} é".encode() for i in range(2000)]
+    packed = [_packed(lang, np.full(2000, 2, np.int32), phrases, np.arange(2000), 4).to_pylist() for lang in ("en", "de")]
+    assert all(len(rows) <= 16 for rows in packed)
+    assert sorted((p.encode(), f) for r in packed[0] for p, f in zip(r["phrases"], r["counts"], strict=True)) == sorted(zip(phrases, range(2000), strict=True))
+    assert [(r["bucket"], r["phrases"]) for r in packed[0]] == [(r["bucket"], r["phrases"]) for r in packed[1]]
