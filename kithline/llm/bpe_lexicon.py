@@ -97,23 +97,19 @@ class Automaton:
             self.arrays.append(view[at: at + 4 * size].cast("i"))
             at += 4 * size
         self.size = at
+        #: A label is one byte, so a state's transition is found by a search of bytes.
+        self.labels = np.frombuffer(self.arrays[2], "<i4").astype(np.uint8).tobytes()
 
     def number(self, word: bytes) -> int:
         """-1 if the word is not accepted."""
-        begin, accepts, label, target, output = self.arrays
-        state, total = self.root, 0
+        begin, accepts, _, target, output = self.arrays
+        find, state, total = self.labels.find, self.root, 0
         for b in word:
-            lo, hi = begin[state], begin[state + 1]
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if label[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == begin[state + 1] or label[lo] != b:
+            at = find(b, begin[state], begin[state + 1])
+            if at < 0:
                 return -1
-            total += output[lo]
-            state = target[lo]
+            total += output[at]
+            state = target[at]
         return total if accepts[state] else -1
 
 
@@ -153,10 +149,17 @@ class Rules:
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.name = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
+        letters = byte_letters()
+        if not all(x in self.vocab and x + self.end in self.vocab for x in letters.values()) or not all(a in self.vocab and b in self.vocab and a + b in self.vocab for a, b in pairs):
+            raise ValueError("a letter or a rule's symbol has no id")
+        #: Symbols are their ids: the rank of a pair, what each rank makes, and the ids of a byte within and at the end of a word.
+        self.rank = {(self.vocab[a], self.vocab[b]): i for i, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
+        self.inner = [self.vocab[letters[b]] for b in range(256)]
+        self.last = [self.vocab[letters[b] + self.end] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letter = byte_letters()
+        self.letter = letters
         self.pattern = _plain_pattern()
         self.library = Tokenizer.from_str(spec.decode())
         self.beyond = re.compile(f"[^\\x00-{chr(PLAIN_END - 1)}]")
@@ -171,38 +174,39 @@ class Rules:
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: of all neighbours that a rule joins, the first rule's leftmost are joined, again and again."""
-        symbols = [self.letter[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return [self.vocab[s] for s in (self._merge_short(symbols) if len(symbols) <= SHORT else self._merge_long(symbols))]
+        data = word.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        return self._merge_short(symbols) if len(symbols) <= SHORT else self._merge_long(symbols)
 
-    def _merge_short(self, symbols: list[str]) -> list[str]:
+    def _merge_short(self, symbols: list[int]) -> list[int]:
         get, none = self.rank.get, len(self.rank)
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            symbols[i: i + 2] = [symbols[i] + symbols[i + 1]]
-            del ranks[i]
+            symbols[i] = new = self.made[best]
+            del symbols[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+                ranks[i - 1] = get((symbols[i - 1], new), none)
             if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+                ranks[i] = get((new, symbols[i + 1]), none)
         return symbols
 
-    def _merge_long(self, own: list[str]) -> list[str]:
-        symbols: list[str | None] = list(own)
+    def _merge_long(self, own: list[int]) -> list[int]:
+        symbols: list[int | None] = list(own)
         n, rank = len(symbols), self.rank
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if symbols[i] != a or j >= n or symbols[j] != b:
                 continue
-            symbols[i], symbols[j] = a + b, None
+            symbols[i], symbols[j] = self.made[best], None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -225,18 +229,18 @@ class Lexicon(dict):
         rest = memoryview(self.memory)[self.automaton.size:]
         (n,) = struct.unpack_from("<i", rest)
         self.bounds = rest[4: 4 + 4 * (n + 1)].cast("i")
-        self.ids = rest[4 + 4 * (n + 1):]
+        self.ids = rest[4 + 4 * (n + 1):].cast("I")
 
-    def entry(self, ids: bytes) -> tuple[bytes, str]:
-        return ids, " ".join(self.rules.name[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids))
+    def entry(self, ids: list[int]) -> tuple[bytes, str]:
+        name = self.rules.name
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([name[i] for i in ids])
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
         number = self.automaton.number(word.encode()) if len(word) <= LONGEST else -1
         if number >= 0:
-            found = self.entry(bytes(self.ids[4 * self.bounds[number]: 4 * self.bounds[number + 1]]))
+            found = self.entry(self.ids[self.bounds[number]: self.bounds[number + 1]].tolist())
         else:
-            ids = self.rules.merge(word)
-            found = self.entry(struct.pack(f"<{len(ids)}I", *ids))
+            found = self.entry(self.rules.merge(word))
         if len(word) <= LONGEST:
             if len(self) >= CACHE_SIZE:
                 self.clear()
@@ -249,7 +253,7 @@ class Lexicon(dict):
         found = []
         for i, part in enumerate(rules.cut.split(text) if rules.cut and "<|" in text else [text]):
             if i % 2:
-                found.append(self.entry(struct.pack("<I", rules.special[part])))
+                found.append(self.entry([rules.special[part]]))
             elif part:
                 found += map(self.__getitem__, rules.split(part))
         return b"".join([a for a, _ in found]), " ".join([b for _, b in found])

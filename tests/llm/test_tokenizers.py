@@ -94,3 +94,13 @@ def test_automaton_numbers_words_and_shares_suffixes():
     states = struct.unpack_from("<i", table)[0]
     assert states < sum(map(len, words)) / 4
     assert bpe_lexicon.Automaton(bpe_lexicon.build_automaton([])).number(b"a") == -1
+
+
+def test_rules_join_ids_and_labels_are_bytes():
+    rng, rules, library = random.Random(7), _LEXICON.rules, _library()
+    assert _LEXICON.automaton.labels == bytes(list(_LEXICON.automaton.arrays[2]))
+    for _ in range(300):
+        word = "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 90)))
+        symbols = [rules.inner[b] for b in word.encode()[:-1]] + [rules.last[word.encode()[-1]]]
+        want = library.encode(word, add_special_tokens=False).ids
+        assert rules._merge_short(list(symbols)) == rules._merge_long(list(symbols)) == rules.merge(word) == want
