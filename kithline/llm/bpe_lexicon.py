@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from kithline.llm.frequent import LONGEST, frequent_pieces
 from kithline.llm.shipping import ship
+from kithline.llm.workers import kept, sole
 
 TABLE_SIZE = 50_000
 CACHE_SIZE = 400_000
@@ -222,7 +223,7 @@ class Lexicon(dict):
     def __init__(self, spec: bytes, path: str):
         """path: the file of compile_lexicon; it is mapped read-only, so all workers of a machine share its pages."""
         super().__init__()
-        self.rules = Rules(spec)
+        self.rules = _rules(spec)
         with open(path, "rb") as f:
             self.memory = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.automaton = Automaton(self.memory)
@@ -268,15 +269,13 @@ def compile_lexicon(spec: bytes, words: list[str]) -> bytes:
     return build_automaton(keys) + struct.pack("<i", len(keys)) + bounds.astype("<i4").tobytes() + np.array([i for x in ids for i in x], "<u4").tobytes()
 
 
-_LEXICONS: dict[str, Lexicon] = {}
-
-
 def _lexicon(spec: bytes, name: str) -> Lexicon:
     """The lexicon in a file that Spark brought to this executor."""
-    if name not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[name] = Lexicon(spec, SparkFiles.get(name))
-    return _LEXICONS[name]
+    own = kept("bpe_lexicon")
+    if own.get("name") != name:
+        own["lexicon"] = None
+        own |= {"lexicon": Lexicon(spec, SparkFiles.get(name)), "name": name}
+    return own["lexicon"]
 
 
 def _distributed(context: SparkContext, table: bytes) -> str:
@@ -288,14 +287,11 @@ def _distributed(context: SparkContext, table: bytes) -> str:
     return os.path.basename(path)
 
 
-_RULES: dict[bytes, Rules] = {}
-
-
 def _rules(spec: bytes) -> Rules:
-    if spec not in _RULES:
-        _RULES.clear()
-        _RULES[spec] = Rules(spec)
-    return _RULES[spec]
+    own = kept("bpe_lexicon")
+    if own.get("spec") != spec:
+        own |= {"rules": Rules(spec), "spec": spec}
+    return own["rules"]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, table_size: int = TABLE_SIZE) -> DataFrame:
@@ -315,7 +311,7 @@ def encode(docs: DataFrame, tokenizer_path: str, table_size: int = TABLE_SIZE) -
     def split(text: str) -> list[str]:
         return _rules(source.value).split(text)
 
-    table = compile_lexicon(spec, frequent_pieces(docs, split, table_size))
+    table = compile_lexicon(spec, frequent_pieces(docs, split, table_size, owner="bpe_lexicon"))
     name = _distributed(context, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,4 +323,4 @@ def encode(docs: DataFrame, tokenizer_path: str, table_size: int = TABLE_SIZE) -
                 ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(sole("bpe_lexicon", run), f"doc_id {kind}, n_tokens long, ids binary, decoded string")

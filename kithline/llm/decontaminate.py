@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from kithline.llm.scratch import materialise
 from kithline.llm.shipping import ship
+from kithline.llm.workers import sole
 from kithline.llm.words import Words, parts
 
 SHINGLE_WORDS = 5
@@ -204,7 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
                 [batch.column(0).take(rows), pa.array([f[0] for f in found], to_arrow_type(item_ids)), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
                 ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(sole("decontaminate", run), schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -223,4 +224,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CO
             clean[[f[0] for _, f in _matches(blocks, batch.column(at), containment)]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sole("decontaminate", run), docs.schema)

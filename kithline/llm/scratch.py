@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from kithline import scratch
-from kithline.scratch import free_name, shared_dir
+from kithline.scratch import free_name, let_go, shared_dir
 
 __all__ = ["free_name", "let_go", "materialise", "shared_dir"]
 
 
-def let_go(spark: SparkSession) -> None:
-    """Collect what earlier steps left behind in the driver.
-
-    Spark removes the shuffle files and broadcasts of a finished plan, and hands memory back, only
-    once the driver's heap is collected, and it holds a plan as long as Python does.  Arrow
-    keeps the pages of tables that are gone, too.
-    """
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    spark.sparkContext._jvm.System.gc()
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """kithline.scratch.materialise; what led to the table is let go, so that the driver holds a step at a time."""
     out = scratch.materialise(df, name)

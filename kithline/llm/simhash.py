@@ -28,6 +28,7 @@ from kithline.llm.scratch import free_name, materialise
 from kithline.llm.shipping import ship
 from kithline.llm.skew import join_groups
 from kithline.llm.words import word_runs
+from kithline.llm.workers import sole
 
 SEGMENTS = 7
 DISTANCE = 2
@@ -85,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
 
     ship(docs.sparkSession)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(sole("simhash", run), f"doc_id {ids}, fp long")
 
 
 def _masks(segments: int) -> list[list[int]]:

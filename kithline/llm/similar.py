@@ -32,6 +32,7 @@ from kithline.llm.scratch import free_name, materialise
 from kithline.llm.shipping import ship
 from kithline.llm.simhash import near_links, print_of
 from kithline.llm.words import mix, pieces
+from kithline.llm.workers import sole
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -132,7 +133,7 @@ def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
 
     ship(docs.sparkSession)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, node long, size long, fp long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sole("similar", run), f"doc_id {ids}, node long, size long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -144,7 +145,7 @@ def shingle_sets(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), _longs(sets)], ["node", "shingles"])
 
     ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("text").mapInArrow(sole("similar", run), "node long, shingles array<long>")
 
 
 def _pairs(left: DataFrame, right: DataFrame, similarity: float, unit: str = "label") -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from kithline.llm.scratch import materialise
 from kithline.llm.shipping import ship
 from kithline.llm.words import _LOWER, parts, pieces, text_bytes
+from kithline.llm.workers import sole
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -227,7 +228,7 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
             counts = [np.bincount(at, np.bincount(of[part == 10 * c + f], minlength=len(spans))[word], len(distinct)).astype(np.int64) for c in (1, 0) for f in LEARNED]
             yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], ["gram", *_COUNTS])
 
-    rows = labelled.select("text", (F.col("toxic") * 10 + F.col("fold")).alias("part")).mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    rows = labelled.select("text", (F.col("toxic") * 10 + F.col("fold")).alias("part")).mapInArrow(sole("toxicity", run), "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
     return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
@@ -329,8 +330,9 @@ def _calibrate(model: Model, apart: Model, labelled: DataFrame) -> None:
                 own = batch.filter(pa.array(folds == f))
                 x = apart.features(own.column(0), i)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), own.column(1).cast(pa.float64())], ["x", "label"])
+        apart.release()
 
-    rows = materialise(labelled.select("text", "toxic", "fold").mapInArrow(run, "x array<double>, label double"), "calibration")
+    rows = materialise(labelled.select("text", "toxic", "fold").mapInArrow(sole("toxicity", run), "x array<double>, label double"), "calibration")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
         return
@@ -356,7 +358,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held_out, "text").mapInArrow(run, f"doc_id {ids}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out, "text").mapInArrow(sole("toxicity", run), f"doc_id {ids}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -374,4 +376,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, block_grams: int = BLOCK_GRAM
             yield batch.filter(pa.array(model.scores(batch.column(at)) < 0.5))
         model.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sole("toxicity", run), docs.schema)

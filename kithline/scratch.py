@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
@@ -27,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.abspath(known)}"
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect what earlier steps left behind in the driver.
+
+    Spark removes the shuffle files and broadcasts of a finished plan, and hands memory back, only
+    once the driver's heap is collected, and it holds a plan as long as Python does.  Arrow
+    keeps the pages of tables that are gone, too.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -43,10 +58,13 @@ def materialise_counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataF
     """materialise, and aggregates of the rows, read from what was written.
 
     The aggregates are a second, narrow read: an Observation would leave its manager in the
-    session, and plans that carry the session in a closure could not be sent any more.
+    session, and plans that carry the session in a closure could not be sent any more.  Rounds
+    of a loop come through here, so what led to the table is let go.
     """
     written = materialise(df, name)
-    return written, written.agg(*(c.alias(k) for k, c in sums.items())).first().asDict()
+    found = written.agg(*(c.alias(k) for k, c in sums.items())).first().asDict()
+    let_go(df.sparkSession)
+    return written, found
 
 
 def free_name(df: DataFrame, stem: str) -> str:
