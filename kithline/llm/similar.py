@@ -174,6 +174,7 @@ def _labels(links: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     label = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label"))
     for _ in range(rounds - 1):
+        label = materialise(label, "labels")
         far = both.join(label.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
         label = label.join(far, "u").select("u", F.least("label", "m").alias("label"))
     return label.select(F.col("u").alias("node"), "label")
@@ -213,6 +214,7 @@ def _crowd_pairs(differences: DataFrame, similarity: float) -> DataFrame:
     items = own.select("crowd", "node", "size", "label", "d", "most", "width", F.explode("items").alias("item"))
     items = items.withColumn("n", F.count("*").over(Window.partitionBy("crowd", "item")))
     items = items.withColumn("at", F.row_number().over(Window.partitionBy("crowd", "node").orderBy("n", "item"))).filter("at <= most + 1")
+    items = materialise(items, "items")  # met with itself, from here on
     least = F.greatest(F.col("d") - F.col("most"), F.lit(0))
     dealt = items.withColumn("class", F.floor(F.col("d") / F.col("width"))).withColumn("other", F.explode(F.sequence(F.floor(least / F.col("width")), F.floor((F.col("d") + F.col("most")) / F.col("width")))))
     dealt = dealt.filter(F.col("at") <= F.floor((F.col("d") - F.greatest(F.col("other") * F.col("width"), least) + F.col("most")) / 2) + 1)
@@ -252,7 +254,9 @@ def similar_components(signed: DataFrame, sets: DataFrame, similarity: float = S
     rest = rest.drop("lead").join(crowds.select("node", "crowd"), "node", "left").withColumn("unit", F.xxhash64(unit))
     units = rest.groupBy("key", "unit").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("unit", F.struct("m", "unit")).alias("largest"), F.count("*").alias("units"))
     mixed = materialise(rest.join(units.filter("units > 1"), "key"), "rest")
-    pairs = _pairs(mixed.filter("unit <> largest"), mixed, similarity, "unit").unionByName(_crowd_pairs(differences, similarity)).distinct()
+    # Each table is a plan of its own, so that the driver need not hold the tasks of all at once.
+    within = materialise(_crowd_pairs(differences, similarity), "crowd")
+    pairs = _pairs(mixed.filter("unit <> largest"), mixed, similarity, "unit").unionByName(within).distinct()
     pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     return components(links.unionByName(near).unionByName(materialise(_alike(pairs, sets, similarity), "alike")))
 
