@@ -8,7 +8,7 @@ are left out only if the caller sets max_key_size, and by default nothing is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithline.functions.text import alias_keys, name_tier, normal, related, significant_words, synonyms
@@ -47,6 +47,38 @@ def token_pairs(entities: DataFrame, max_key_size: int | None = None, block: int
     return met.select("entity_type", F.least("vid_a", "vid_b").alias("vid_a"), F.greatest("vid_a", "vid_b").alias("vid_b")).distinct()
 
 
+def kind_tiles(entities: DataFrame, key: str, kind: list[str], block: int = BLOCK) -> DataFrame:
+    """(kind, tile, keys): the sorted keys of entities that are alike in the columns of kind, in tiles of about block."""
+    own = entities.select(F.struct(*kind).alias("kind"), F.col(key).alias("key"))
+    large = own.groupBy("kind").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("kind", F.ceil(F.col("n") / block).cast("int").alias("m"))
+    dealt = own.join(large, "kind", "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("key"), F.col("m")), F.lit(0)).cast("int"))
+    return dealt.groupBy("kind", "tile").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+
+
+def kind_pairs(tiles: DataFrame, on: list[str]) -> DataFrame:
+    """The tiles that meet by the kind's columns `on`, with _a and _b: two meet both ways, and each with itself, if a key of a is below one of b.
+
+    What depends on the kinds alone is made here, once for all pairs of their entities, which
+    pair_count counts and each_pair gives.
+    """
+    a, b = (tiles.select(*(F.col(f"kind.{c}").alias(c) for c in on), *(F.col(c).alias(f"{c}_{x}") for c in tiles.columns)) for x in "ab")
+    return a.join(b, on).filter(F.get("keys_a", F.lit(0)) < F.element_at("keys_b", -1)).drop(*on)
+
+
+def pair_count() -> Column:
+    """How many pairs of a key of keys_a and a larger one of keys_b there are: both in one order, and before each of b's, so many of a's."""
+    side = lambda keys, last: F.transform(F.col(keys), lambda k: F.struct(k.alias("key"), F.lit(last).alias("a")))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, k: F.struct((s["seen"] + k["a"]).alias("seen"), (s["n"] + F.when(k["a"] == 0, s["seen"]).otherwise(F.lit(0).cast("long"))).alias("n"))
+    return F.aggregate(F.sort_array(F.concat(side("keys_a", 1), side("keys_b", 0))), start, step, lambda s: s["n"])
+
+
+def each_pair(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs of entities, their keys as columns a and b, instead of the pairs of tiles."""
+    met = pairs.withColumn(a, F.explode("keys_a")).withColumn(b, F.explode("keys_b")).filter(F.col(a) < F.col(b))
+    return met.drop("keys_a", "keys_b")
+
+
 def contained_pairs(entities: DataFrame, gram: int = 3) -> DataFrame:
     """Pairs of which one name is contained in the other, without comparing all pairs.
 

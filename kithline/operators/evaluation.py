@@ -15,9 +15,14 @@ def percent(part: Column, whole: Column, digits: int | None = 1) -> Column:
     return x if digits is None else F.round(x, digits)
 
 
-def decision_distribution(decisions: DataFrame) -> DataFrame:
-    """(decision, n, pct, interception_pct); interception: what was not escalated."""
-    n = decisions.groupBy("decision").agg(F.count("*").alias("n"))
+def _count(test: Column, weight: str | None = None) -> Column:
+    """Of the rows that pass; weight: the column that says how many each row stands for."""
+    return F.count_if(test) if weight is None else F.coalesce(F.sum(F.when(test, F.col(weight)).otherwise(0)), F.lit(0))
+
+
+def decision_distribution(decisions: DataFrame, weight: str | None = None) -> DataFrame:
+    """(decision, n, pct, interception_pct); interception: what was not escalated; weight: see _count."""
+    n = decisions.groupBy("decision").agg(_count(F.lit(True), weight).alias("n"))
     whole = Window.partitionBy()
     total, kept = F.sum("n").over(whole), F.sum(F.when(F.col("decision") != "escalate", F.col("n")).otherwise(0)).over(whole)
     return n.select("decision", "n", percent(F.col("n"), total).alias("pct"), percent(kept, total).alias("interception_pct"))
@@ -27,21 +32,22 @@ def as_prediction(decision: Column) -> Column:
     return F.when(decision == "merge", 1).when(decision == "reject", 0).otherwise(-1)
 
 
-def accuracy_report(scored: DataFrame, *by: str) -> DataFrame:
-    """Accuracy of what was decided; scored: decision, label.  With by, for each group."""
+def accuracy_report(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """Accuracy of what was decided; scored: decision, label.  With by, for each group; weight: see _count."""
     p, y = as_prediction(F.col("decision")), F.col("label")
+    of = lambda test: _count(test, weight)
     n = scored.groupBy(*by).agg(
-        F.count("*").alias("total"), F.count_if(p >= 0).alias("decided"), F.count_if((p >= 0) & (p == y)).alias("correct"),
-        F.count_if(p == 1).alias("merges"), F.count_if((p == 1) & (y == 0)).alias("false_merges"),
-        F.count_if(p == 0).alias("rejects"), F.count_if((p == 0) & (y == 1)).alias("false_rejects"))
+        of(F.lit(True)).alias("total"), of(p >= 0).alias("decided"), of((p >= 0) & (p == y)).alias("correct"),
+        of(p == 1).alias("merges"), of((p == 1) & (y == 0)).alias("false_merges"),
+        of(p == 0).alias("rejects"), of((p == 0) & (y == 1)).alias("false_rejects"))
     c = F.col
     return n.select(*by, "total", "decided", "correct", "false_merges", "false_rejects", percent(c("correct"), c("decided")).alias("accuracy_pct"), percent(c("decided"), c("total")).alias("interception_pct"),
                     percent(c("merges") - c("false_merges"), c("merges")).alias("merge_precision_pct"), percent(c("rejects") - c("false_rejects"), c("rejects")).alias("reject_precision_pct"))
 
 
-def label_buckets(scored: DataFrame) -> DataFrame:
-    """(decision, n, same, same_pct)"""
-    n = scored.groupBy("decision").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("same"))
+def label_buckets(scored: DataFrame, weight: str | None = None) -> DataFrame:
+    """(decision, n, same, same_pct); weight: see _count."""
+    n = scored.groupBy("decision").agg(_count(F.lit(True), weight).alias("n"), _count(F.col("label") == 1, weight).alias("same"))
     return n.withColumn("same_pct", percent(F.col("same"), F.col("n")))
 
 

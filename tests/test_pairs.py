@@ -1,7 +1,16 @@
 """Pair queries on many rows: what an entity or a pair has is made once."""
 
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from kithline import catalogue, catalogue_plans  # noqa: F401  (the second adds its queries to the first)
 
+from kithline.operators import blocking
+from kithline.plans import fusion
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -12,3 +21,42 @@ def plan(df):
 def test_features_of_a_pair_normalise_each_side_once(spark):
     shown = plan(catalogue.queries()["every_pair_feature"](spark, DATA))
     assert shown.count("transform_values(") == 2
+
+
+@pytest.fixture(scope="module")
+def alike(tmp_path_factory):
+    """Every part of DATA five times, with keys that go on."""
+    d = str(tmp_path_factory.mktemp("alike"))
+    duckdb.connect().execute(f"copy (select * replace (p_partkey + i * 200 as p_partkey) from '{DATA}/part.parquet', range(5) r(i)) to '{d}/part.parquet' (format parquet)")
+    return d
+
+
+def same_as_sql(spark, d, name):
+    db = duckdb.connect()
+    db.execute(f"create view part as select * from '{d}/part.parquet'")
+    df = catalogue.queries()[name](spark, d)
+    cell = lambda v: round(float(v), 6) if isinstance(v, (int, float)) else str(v)
+    want = Counter(tuple(map(cell, r)) for r in db.execute(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall())
+    return Counter(tuple(map(cell, r)) for r in df.collect()) == want
+
+
+def test_pairs_of_kinds_are_all_pairs(spark):
+    rows = [(k * 7 % 101, "xyz"[k % 3], k % 2) for k in range(60)]
+    e = spark.createDataFrame(rows, "key int, kind string, other int")
+    want = Counter((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2])
+    for block in (1000, 4):
+        met = blocking.kind_pairs(blocking.kind_tiles(e, "key", ["kind", "other"], block), ["other"])
+        assert Counter((r.x, r.y) for r in blocking.each_pair(met, "x", "y").collect()) == want
+        assert met.agg(F.sum(blocking.pair_count())).first()[0] == sum(want.values())
+        assert block > 10 or met.select(F.max(F.size("keys_a"))).first()[0] < 10
+
+
+@pytest.mark.parametrize("name", ["field_results"])
+def test_alike_parts_are_compared_once(spark, alike, monkeypatch, name):
+    assert same_as_sql(spark, alike, name)
+    seen, prepared = [], fusion.prepared
+    monkeypatch.setattr(fusion, "prepared", lambda pairs, *a: seen.append(pairs.count()) or prepared(pairs, *a))
+    for d in (DATA, alike):
+        catalogue.queries()[name](spark, d)
+    # Five times the parts are 25 times the pairs, but no more kinds; kinds meet both ways, and themselves.
+    assert seen[1] <= 2 * seen[0] + spark.read.parquet(f"{DATA}/part.parquet").count()
