@@ -60,3 +60,12 @@ def test_alike_parts_are_compared_once(spark, alike, monkeypatch, name):
         catalogue.queries()[name](spark, d)
     # Five times the parts are 25 times the pairs, but no more kinds; kinds meet both ways, and themselves.
     assert seen[1] <= 2 * seen[0] + spark.read.parquet(f"{DATA}/part.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["effective_fields"])
+def test_pairs_come_after_comparisons(spark, alike, name):
+    assert same_as_sql(spark, alike, name)
+    lines = plan(catalogue.queries()[name](spark, alike)).splitlines()
+    made = [i for i, x in enumerate(lines) if "Generate explode(keys_" in x]
+    # Plans are read from below.
+    assert len(made) == 2 and max(made) < min(i for i, x in enumerate(lines) if "transform(" in x or "map_keys(" in x)
