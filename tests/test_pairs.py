@@ -51,7 +51,7 @@ def test_pairs_of_kinds_are_all_pairs(spark):
         assert block > 10 or met.select(F.max(F.size("keys_a"))).first()[0] < 10
 
 
-@pytest.mark.parametrize("name", ["field_results", "property_feature_long", "fusion_summary", "expert_bucket", "l1_accuracy_report", "l1_decision_distribution"])
+@pytest.mark.parametrize("name", ["field_results", "property_feature_long", "fusion_summary", "expert_bucket", "l1_accuracy_report", "l1_decision_distribution", "per_type_accuracy"])
 def test_alike_parts_are_compared_once(spark, alike, monkeypatch, name):
     assert same_as_sql(spark, alike, name)
     seen, prepared = [], fusion.prepared
