@@ -62,7 +62,7 @@ def test_alike_parts_are_compared_once(spark, alike, monkeypatch, name):
     assert seen[1] <= 2 * seen[0] + spark.read.parquet(f"{DATA}/part.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["effective_fields", "l1_pair_scores"])
+@pytest.mark.parametrize("name", ["effective_fields", "l1_pair_scores", "property_diff"])
 def test_pairs_come_after_comparisons(spark, alike, name):
     assert same_as_sql(spark, alike, name)
     lines = plan(catalogue.queries()[name](spark, alike)).splitlines()
