@@ -1,4 +1,4 @@
-"""Queries on rows that the given tables lack: alike parts, whose pairs are compared once, and ties."""
+"""Queries on rows that the given tables lack: alike parts, whose pairs are compared once, ties, and pages of one URL."""
 
 import glob
 import os
@@ -78,3 +78,10 @@ def test_days_at_a_half(spark, tmp_path):
     """2825064 seconds are 32.6975 days, 1000 times which is below 32697.5 as a double."""
     duckdb.connect().execute(f"copy (select i + 1 as event_id, timestamp '2024-01-28 07:15:36.3' - i * interval 216 second as ts from range(500) r(i)) to '{tmp_path}/events.parquet' (format parquet)")
     assert same_as_sql(spark, str(tmp_path), "feed_times")
+
+
+def test_pages_of_one_url(spark, tmp_path):
+    html = ["<p>a  b</p><script>x</script>", "<p>a  b</p>", "no  tag ", None]
+    rows = ", ".join(f"({i}, {u}, {'null' if h is None else repr(h)})" for i, (u, h) in enumerate((u, h) for u in ("'u1'", "'u1'", "'u2'", "null") for h in html))
+    duckdb.connect().execute(f"copy (select * from (values {rows}) t(page_id, url, html)) to '{tmp_path}/pages.parquet' (format parquet)")
+    assert same_as_sql(spark, str(tmp_path), "import_articles")
